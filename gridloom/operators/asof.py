@@ -12,13 +12,14 @@ from gridloom.operators.sharding import carry_in, plan_shards
 KEYS = ["ticker", "field"]
 
 
-def asof_join(events: DataFrame, versions: DataFrame, keys: list[str], carry: list[str], min_rows: int = 50_000, fraction: float = 0.001) -> DataFrame:
+def asof_join(events: DataFrame, versions: DataFrame, keys: list[str], carry: list[str], min_rows: int = 50_000, fraction: float = 0.001, sizes: DataFrame | None = None) -> DataFrame:
     """Each event with the columns ``carry`` of its key's last version at or before it.
 
     events: keys, t (long) and any other columns; versions: keys, t, carry, one row per key and t. Keys that hold more
     than their share of the rows of both sides are cut into time shards; each shard gets a copy of the last version
     before it, and every (key, shard) is merged on its own by one sorted window. Events with a NULL key or time keep
-    NULL in ``carry`` and never enter the merge, so NULL keys cannot form a hot group.
+    NULL in ``carry`` and never enter the merge, so NULL keys cannot form a hot group. ``sizes`` (keys, t), cheaper to
+    read and with at least as many rows, may stand for both sides where shards are planned.
     """
     rest = [c for c in events.columns if c not in keys and c != "t"]
     whole = F.lit(True)
@@ -26,7 +27,8 @@ def asof_join(events: DataFrame, versions: DataFrame, keys: list[str], carry: li
         whole &= F.col(k).isNotNull()
     left = events.where(whole).select(*keys, "t", F.lit(1).alias("_side"), F.struct(*rest).alias("_event"), F.lit(None).cast(versions.select(F.struct("t", *carry).alias("s")).schema["s"].dataType).alias("_known"))
     right = versions.select(*keys, "t", F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event"), F.struct("t", *carry).alias("_known"))
-    plan = plan_shards(left.select(*keys, "t").unionByName(right.select(*keys, "t")), keys, "t", min_rows, fraction)
+    sizes = left.select(*keys, "t").unionByName(right.select(*keys, "t")) if sizes is None else sizes
+    plan = plan_shards(sizes, keys, "t", min_rows, fraction)
     both = plan.assign(left.unionByName(right), "t")
     if plan.hot is not None:
         hot = plan.assign(versions.join(F.broadcast(plan.hot.select(*keys)), keys, "left_semi"), "t")
@@ -50,9 +52,12 @@ def known_at_decision(decisions: DataFrame, facts: DataFrame, min_rows: int = 50
     """
     events = pick(decisions, {c: c for c in ("event_id", "ticker", "decided_at", "field", "used_value")}).select(
         "event_id", symbol("ticker").alias("ticker"), field_name("field").alias("field"), micros(F.col("decided_at").cast("timestamp_ntz")).alias("t"), present("used_value").alias("used_value")
-    ).dropDuplicates()
-    versions = one_per_instant(usable(facts)).select(*KEYS, "t", F.col("value").alias("known_value"), F.col("fact_id").alias("known_fact_id"))
-    out = asof_join(events, versions, KEYS, ["known_value", "known_fact_id"], min_rows, fraction)
+    )
+    rows = usable(facts)
+    sizes = rows.select(*KEYS, "t").unionByName(events.where("ticker is not null and field is not null and t is not null").select(*KEYS, "t"))
+    events = events.dropDuplicates()
+    versions = one_per_instant(rows).select(*KEYS, "t", F.col("value").alias("known_value"), F.col("fact_id").alias("known_fact_id"))
+    out = asof_join(events, versions, KEYS, ["known_value", "known_fact_id"], min_rows, fraction, sizes)
     return out.select("event_id", *KEYS, F.col("t").alias("decided_us"), "used_value", "known_value", "known_fact_id", F.col("known_t").alias("known_us"))
 
 

@@ -12,14 +12,15 @@ from gridloom.operators.sharding import plan_shards
 KEYS = ["ticker", "field"]
 
 
-def validity_intervals(readings: DataFrame, keys: list[str] = KEYS, min_rows: int = 50_000, fraction: float = 0.001) -> DataFrame:
+def validity_intervals(readings: DataFrame, keys: list[str] = KEYS, min_rows: int = 50_000, fraction: float = 0.001, sizes: DataFrame | None = None) -> DataFrame:
     """Step function of each key: keys, t, until (NULL: open), value.
 
     ``readings`` has one row per key and instant ``t``. A reading holds until the key's next one. Hot keys are cut into
     time shards: the next instant is looked up inside the shard, and only a shard's last reading looks at the first
-    instant of the following shard (one summary row per shard).
+    instant of the following shard (one summary row per shard). ``sizes`` (keys, t), cheaper to read than the readings
+    and with at least their rows, may stand for them where shards are planned.
     """
-    plan = plan_shards(readings, keys, "t", min_rows, fraction)
+    plan = plan_shards(readings if sizes is None else sizes, keys, "t", min_rows, fraction)
     rows = plan.assign(readings, "t")
     rows = rows.withColumn("until", F.lead("t").over(Window.partitionBy(*keys, "shard").orderBy("t")))
     if plan.hot is None:
@@ -44,7 +45,8 @@ def to_quarters(facts: DataFrame, fields: list[str] | None = None, min_rows: int
     only where the first reading falls inside it). Unusable rows are ignored; ties at one instant go to the greatest
     period_end, then fact_id; repeated rows count once; empty input gives an empty result.
     """
-    steps = validity_intervals(one_per_instant(usable(facts, fields)), KEYS, min_rows, fraction)
+    rows = usable(facts, fields)
+    steps = validity_intervals(one_per_instant(rows), KEYS, min_rows, fraction, rows.select(*KEYS, "t"))
     q0 = quarter_of(F.col("t"))
     # the last cell a step touches: that of its last covered microsecond; an open step ends with the cell of its reading
     q1 = F.when(F.col("until").isNull(), q0).otherwise(quarter_of(F.col("until") - 1))
