@@ -217,6 +217,15 @@ def graph_factor(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def lead_lag_factor(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The lead-lag factors for the given tables' thin windows: at least 3 names instead of 10."""
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        f = G.GraphFactor(f"leadlag_{kind}_120d", G.lead_lag_statistic(kind, least_names=3))
+        return f.panel(cat(spark, d)).select("ticker", label(), rounded("value", 6))
+
+    return query
+
+
 def neutral_by_sector(spark: SparkSession, d: str) -> DataFrame:
     c = cat(spark, d)
     v = X.FACTORS.get("volatility_60").panel(c)
@@ -247,8 +256,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"q_{f.__name__}
     graph_windows, graph_mst, graph_threshold, graph_lead_lag, graph_nodes, graph_density, cluster_sectors, neutral_by_sector, neutral_by_size, vector_neighbours, item_one_texts,
 )} | {f"q_weights_{s}": weighted(s) for s in ("equal", "signal", "rank")} | {f"q_graph_factor_{k}": graph_factor(n) for k, n in (
     ("eigenvector", "eigenvector_centrality_mst_120d"), ("degree", "degree_centrality_mst_120d"), ("delta_eigenvector", "delta_eigenvector_centrality_mst_120d"),
-    ("leadlag_out", "leadlag_out_120d"), ("leadlag_in", "leadlag_in_120d"), ("leadlag_upstream", "leadlag_upstream_120d"),
-)}
+)} | {f"q_graph_factor_leadlag_{k}": lead_lag_factor(k) for k in ("out", "in", "upstream")}
 
 _ENDS = "ends as (select max(day) as day, max(pos) as pos from cal group by date_trunc('month', day))"
 _SIGNAL = f"""{_RET}, {_ENDS},
