@@ -154,7 +154,8 @@ def simulate(targets: DataFrame, returns: DataFrame, days: DataFrame, exec_lag:
     changes = fresh.join(drifted.join(F.broadcast(spans.select(F.col("start").alias("pos"))), "pos", "left_semi"), ["pos", "ticker"], "full")
     trades = changes.select("pos", "ticker", (F.coalesce("_new", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))).alias("trade")).where("trade <> 0")
     moved = trades.groupBy("pos").agg(F.sum(F.abs("trade")).alias("turnover"))
-    daily = wealth.select("pos", (F.col("_v1") / F.col("_v0") - 1).alias("ret")).join(moved, "pos", "left").join(days, "pos").select("pos", "day", "ret", F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
+    # rounded to 14 digits, so that a day on which nothing moves has return 0
+    daily = wealth.select("pos", (F.round(F.col("_v1") / F.col("_v0") - 1, 14) + 0.0).alias("ret")).join(moved, "pos", "left").join(days, "pos").select("pos", "day", "ret", F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
     return Run(daily, book, trades)
 
 

@@ -238,9 +238,11 @@ def neutralised(values: DataFrame, controls: dict[str, DataFrame] | None = None,
         by = ["day", "sector"] if sectors is not None else ["day"]
         return rows.select("day", "ticker", (F.col("value") - F.avg("value").over(Window.partitionBy(*by))).alias("value"))
 
+    with_sectors = sectors is not None
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         design = [np.ones(len(pdf)), *(pdf[f"_c_{c}"].to_numpy(float) for c in names)]
-        if sectors is not None:
+        if with_sectors:
             labels = np.unique(pdf["sector"].astype(str))
             design += [(pdf["sector"].astype(str) == s).to_numpy(float) for s in labels[1:]]
         return pd.DataFrame({"day": pdf["day"], "ticker": pdf["ticker"], "value": N.residual_of(pdf["value"].to_numpy(float), np.column_stack(design))})

@@ -278,7 +278,7 @@ book as (select gg.pos, gg.ticker, weight * g0 / v0 as weight from gg join v on
 old as (select gg.pos + 1 as pos, gg.ticker, weight * g1 / v1 as w from gg join v on gg.period = v.period and gg.pos = v.pos where gg.pos = gg.stop and gg.pos + 1 in (select start from span)),
 trades as (select coalesce(f.pos, o.pos) as pos, coalesce(f.ticker, o.ticker) as ticker, coalesce(f.weight, 0) - coalesce(o.w, 0) as trade from (select * from r where pos = period) f full join old o on f.pos = o.pos and f.ticker = o.ticker),
 moved as (select pos, sum(abs(trade)) as turnover from trades group by 1),
-daily as (select v.pos, strftime(cal.day, '%Y-%m-%d') as obs_day, cal.day, v1 / v0 - 1 as ret, coalesce(turnover, 0) as turnover from v join cal on v.pos = cal.pos left join moved on moved.pos = v.pos)"""
+daily as (select v.pos, strftime(cal.day, '%Y-%m-%d') as obs_day, cal.day, round(v1 / v0 - 1, 14) + 0.0 as ret, coalesce(turnover, 0) as turnover from v join cal on v.pos = cal.pos left join moved on moved.pos = v.pos)"""
 _ADV = f"adv as (select ticker, pos, avg(close * volume) over {_ROLL.format(20)} as adv from panel)"
 _COST = f"""{_RUN}, {_ADV},
 imp as (select t.pos, sum(abs(trade) * 0.1 * sqrt(coalesce(abs(trade) * 5e8 / case when adv > 0 then adv end, 0))) as impact from trades t left join adv a on t.ticker = a.ticker and t.pos = a.pos group by 1),
