@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.engine.session import checkpoint
 from gridloom.operators.panel import by_ticker, dollar_volume, guarded
 
 #: Columns of a table of weights: pos (the rebalance row), ticker, weight.
@@ -138,6 +139,8 @@ def simulate(targets: DataFrame, returns: DataFrame, days: DataFrame, exec_lag:
     drifted book at a change. returns: ticker, pos, ret.
     """
     end = days.agg(F.max("pos").alias("_end"))
+    # both tables are read several times below; the targets are the rebalance days only
+    targets = checkpoint(targets.select("pos", "ticker", "weight"))
     real = targets.where("weight is not null").withColumn("_g", F.sum(F.abs("weight")).over(Window.partitionBy("pos"))).where("_g > 0").drop("_g")
     starts = real.select("pos").distinct().withColumn("start", F.col("pos") + 1 + exec_lag).withColumn("_next", F.lead("start").over(Window.orderBy("pos"))).join(F.broadcast(end))
     spans = starts.where(F.col("start") <= F.col("_end")).select("pos", "start", F.coalesce(F.col("_next") - 1, F.col("_end")).alias("stop"))
@@ -147,10 +150,11 @@ def simulate(targets: DataFrame, returns: DataFrame, days: DataFrame, exec_lag:
     rows = rows.withColumn("_g1", F.product(1 + F.col("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_g0", F.coalesce(F.lag("_g1").over(w), F.lit(1.0)))
     wealth = rows.groupBy("period", "pos").agg((1 + F.sum(F.col("weight") * (F.col("_g1") - 1))).alias("_v1"), (1 + F.sum(F.col("weight") * (F.col("_g0") - 1))).alias("_v0"))
-    both = rows.join(wealth, ["period", "pos"])
+    both = checkpoint(rows.join(wealth, ["period", "pos"]))
     book = both.select("pos", "ticker", (F.col("weight") * F.col("_g0") / F.col("_v0")).alias("weight"))
     drifted = both.where("pos = stop").select((F.col("pos") + 1).alias("pos"), "ticker", (F.col("weight") * F.col("_g1") / F.col("_v1")).alias("_old"))
-    fresh = rows.where("pos = period").select("pos", "ticker", F.col("weight").alias("_new"))
+    wealth = both.select("period", "pos", "_v1", "_v0").distinct()
+    fresh = both.where("pos = period").select("pos", "ticker", F.col("weight").alias("_new"))
     changes = fresh.join(drifted.join(F.broadcast(spans.select(F.col("start").alias("pos"))), "pos", "left_semi"), ["pos", "ticker"], "full")
     trades = changes.select("pos", "ticker", (F.coalesce("_new", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))).alias("trade")).where("trade <> 0")
     moved = trades.groupBy("pos").agg(F.sum(F.abs("trade")).alias("turnover"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.bars import valid_bars
+from gridloom.operators.columns import day_number, pick, symbol
 
 FIELDS = {"open": "open", "high": "high", "low": "low", "close": "close", "adj": "adj close", "volume": "volume"}
 
@@ -20,28 +21,40 @@ def by_ticker():
 
 
 def calendar(days: DataFrame) -> DataFrame:
-    """day, pos (0, 1, ...) of the distinct days. As many rows as days, whatever the number of bars: small by nature."""
-    return days.select("day").where("day is not null").distinct().select("day", (F.row_number().over(Window.orderBy("day")) - 1).cast("int").alias("pos"))
+    """day, pos (0, 1, ...) of the distinct days, as a small local table.
 
+    A calendar has one row per day, whatever the number of bars (36,525 a century), so it is read once, kept by the driver
+    and broadcast where it is joined.
+    """
+    found = [r["day"] for r in days.select("day").where("day is not null").distinct().orderBy("day").collect()]
+    return days.sparkSession.createDataFrame(list(zip(found, range(len(found)), strict=True)), "day int, pos int")
+
+
+def trading_days(prices: DataFrame) -> DataFrame:
+    """The calendar of a price table: all days with a row that names a ticker. Reads two columns."""
+    rows = pick(prices, {"date": "date", "ticker": "ticker"}).where(symbol("ticker").isNotNull())
+    return calendar(rows.select(day_number("date").alias("day")))
 
-def price_panel(prices: DataFrame, tail: int = 0, fields: tuple[str, ...] = ("close", "adj", "volume")) -> DataFrame:
-    """ticker, pos, day and the fields (NULL on days without a bar); NaN is NULL; valid bars only."""
-    bars = valid_bars(prices, {f: FIELDS[f] for f in fields})
-    days = calendar(bars)
-    placed = bars.join(days, "day").select("ticker", "pos", *fields)
+
+def price_panel(prices: DataFrame, tail: int = 0, fields: tuple[str, ...] = ("close", "adj", "volume"), days: DataFrame | None = None) -> DataFrame:
+    """ticker, pos, day and the fields (NULL on days without a bar); NaN is NULL; valid bars only. ``days``: the table's trading_days(), if known."""
+    days = trading_days(prices) if days is None else days
+    placed = valid_bars(prices, {f: FIELDS[f] for f in fields}).join(F.broadcast(days), "day").select("ticker", "pos", *fields)
     return dense(placed, days, list(fields), tail)
 
 
 def dense(placed: DataFrame, days: DataFrame, fields: list[str], tail: int = 0) -> DataFrame:
-    """Rows (ticker, pos, fields) with every calendar position of a ticker's life: empty rows are generated per ticker and merged by key."""
-    last = days.agg(F.max("pos").alias("_end"))
-    life = placed.groupBy("ticker").agg(F.min("pos").alias("_a"), F.max("pos").alias("_b"))
-    if tail:
-        end = last.first()["_end"] or 0
-        life = life.withColumn("_b", F.least(F.col("_b") + tail, F.lit(end)))
-    grid = life.select("ticker", F.explode(F.sequence("_a", "_b")).alias("pos"))
-    full = grid.join(placed, ["ticker", "pos"], "left")
-    return full.join(days, "pos").select("ticker", "pos", "day", *fields)
+    """Rows (ticker, pos, fields) with every calendar position of a ticker's life: each row unfolds into itself and the empty rows up to the next one.
+
+    One exchange by ticker, which the windows over tickers that follow share.
+    """
+    end = days.agg(F.max("pos")).first()[0] or 0
+    following = F.lead("pos").over(by_ticker())
+    upto = F.coalesce(following - 1, F.least(F.col("pos") + tail, F.lit(end)))
+    rows = placed.withColumn("_own", F.col("pos")).withColumn("_to", upto)
+    rows = rows.select("ticker", "_own", *fields, F.explode(F.sequence("pos", "_to")).alias("pos"))
+    full = rows.select("ticker", "pos", *(F.when(F.col("pos") == F.col("_own"), F.col(f)).alias(f) for f in fields))
+    return full.join(F.broadcast(days), "pos").select("ticker", "pos", "day", *fields)
 
 
 def lagged(c: Column | str, k: int) -> Column:

@@ -29,11 +29,11 @@ class Catalog:
     @cached_property
     def panel(self) -> DataFrame:
         """ticker, pos, day, close, adj, volume over each ticker's life."""
-        return P.price_panel(self.table("prices"), self.tail)
+        return P.price_panel(self.table("prices"), self.tail, days=self.days)
 
     @cached_property
     def days(self) -> DataFrame:
-        return P.calendar(self.panel)
+        return P.trading_days(self.table("prices"))
 
     def returns(self, kind: str = "log", pad_gaps: bool = False) -> DataFrame:
         return P.returns(self.panel, kind, pad_gaps=pad_gaps)
@@ -42,7 +42,7 @@ class Catalog:
     def market(self) -> DataFrame:
         """day, market: log return of the index table if there is one, else of the mean price."""
         index = self._tables.get("index")
-        return P.market_return(index if index is not None else P.average_index(self.panel), self.panel.select("day").distinct())
+        return P.market_return(index if index is not None else P.average_index(self.panel), self.days)
 
     @cached_property
     def periods(self) -> DataFrame:
