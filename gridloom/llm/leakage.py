@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.fmindex import FMIndex
-from gridloom.llm.words import encode, slices, words_of
+from gridloom.llm.words import encode, slices, spread, words_of
 from gridloom.operators.columns import pick
 
 NAMES = ["doc_id", "item_id", "leaked_words", "item_words", "share", "spans"]
@@ -123,7 +123,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, length: int = 8, least_
     whole documents, so no result crosses a shard and nothing is shuffled but the result. Items with fewer than
     ``length`` words and NULL or empty texts leak nothing; repeated items or documents give repeated rows once each.
     """
-    source = pick(documents, {"doc_id": "doc_id", "text": "text"})
+    source = spread(pick(documents, {"doc_id": "doc_id", "text": "text"}))
     asked = pick(items, {"item_id": "item_id", "text": "text"}).where("item_id is not null and text is not null").distinct()
     blocks = max(1, -(-asked.count() // block_items))
     schema = "doc_id long, item_id long, leaked_words long, item_words long, share double, spans array<struct<from:long,to:long>>"

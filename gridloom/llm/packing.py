@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.engine.session import checkpoint
+from gridloom.llm.words import spread
 from gridloom.operators.columns import pick
 
 # Fixed value: how the public byte-level vocabulary splits texts before merging.
@@ -68,7 +69,7 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             sizes = [token_count(t, encoding) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return pick(documents, {"doc_id": "doc_id", "text": "text"}).mapInArrow(run, "doc_id long, n_tokens long")
+    return spread(pick(documents, {"doc_id": "doc_id", "text": "text"})).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 @dataclass

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.words import Words, encode, slices
+from gridloom.llm.words import Words, encode, slices, spread
 from gridloom.operators.columns import pick
 
 
@@ -170,9 +170,9 @@ def ledger(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, one measurement per rule, failed (bitmask of RULES) of every document, whole texts.
 
     NULL and empty texts have no words and fail nothing; texts shorter than a window have measurement 0. One row per row
-    of the input; nothing is shuffled. Very long texts are measured on their own.
+    of the input; nothing is shuffled, unless the input has fewer partitions than there are cores. Very long texts are measured on their own.
     """
-    source = pick(documents, {"doc_id": "doc_id", "text": "text"})
+    source = spread(pick(documents, {"doc_id": "doc_id", "text": "text"}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

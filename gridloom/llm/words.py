@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 # The invisible characters that are dropped (soft hyphen, zero-width signs).
 INVISIBLE = "­​‌‍⁠﻿"
@@ -17,6 +18,16 @@ _DROP = dict.fromkeys(map(ord, INVISIBLE))
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_GAP = r"[\x00-/:-`{-\x7f]+"
 
+
+def spread(documents: DataFrame) -> DataFrame:
+    """documents (doc_id, text) in at least as many partitions as the cluster has cores: a table of a few large files would
+    otherwise keep most of them idle. Tables with enough partitions, as large ones have, are left where they are."""
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    if documents._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return documents
+    return documents.repartition(4 * cores)
+
+
 #: A slice of documents ends with the document that reaches this many characters; one longer document is a slice.
 SLICE_CHARS = 6_000_000
 
