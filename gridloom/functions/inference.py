@@ -189,3 +189,25 @@ def adjusted_rand(pairs: int, rows: int, columns: int, n: int) -> float:
     expected = rows * columns / total if total else 0.0
     most = (rows + columns) / 2
     return 1.0 if most == expected else (pairs - expected) / (most - expected)
+
+
+def f_upper(f: float, d1: int, d2: int) -> float:
+    """Upper tail of the F distribution."""
+    return 1.0 if f <= 0 else incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
+
+
+def granger_p(lead: np.ndarray, follow: np.ndarray, lags: int = 5) -> float | None:
+    """Smallest p over lag orders 1..lags that the leader's past adds to the follower's own past (nested least squares, F test)."""
+    best = None
+    for k in range(1, lags + 1):
+        n = len(follow) - k
+        if n <= 2 * k + 1:
+            break
+        own = np.column_stack([np.ones(n), *(follow[k - j : len(follow) - j] for j in range(1, k + 1))])
+        both = np.column_stack([own, *(lead[k - j : len(lead) - j] for j in range(1, k + 1))])
+        y = follow[k:]
+        r0, r1 = (float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum()) for x in (own, both))
+        if r1 > 0:
+            p = f_upper((r0 - r1) / k / (r1 / (n - 2 * k - 1)), k, n - 2 * k - 1)
+            best = p if best is None else min(best, p)
+    return best

@@ -6,6 +6,7 @@ so a simulation is a product window per (period, ticker) and one aggregate per d
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -123,6 +124,18 @@ def rolling_beta(rets: DataFrame, market: DataFrame, window: int = 252) -> DataF
     return r.select("ticker", "pos", "day", F.try_divide(cov, var).alias("beta"))
 
 
+def weigher(scheme: str = "equal", n_buckets: int = 10, vol: DataFrame | None = None, **limits) -> Callable[[DataFrame], DataFrame]:
+    """A function from signals (pos, ticker, value) to weights: a scheme ('risk' needs vol), then constrained() if any limit is given."""
+    if scheme == "risk" and vol is None:
+        raise ValueError("the risk scheme needs volatilities")
+
+    def run(signal: DataFrame) -> DataFrame:
+        w = risk_weights(signal, vol, n_buckets) if scheme == "risk" else weights(signal, scheme, n_buckets)
+        return constrained(w, **limits) if limits else w
+
+    return run
+
+
 @dataclass
 class Run:
     """daily: pos, day, ret, turnover; book: pos, ticker, weight at the start of the day; trades: pos, ticker, trade."""
@@ -138,12 +151,12 @@ def simulate(targets: DataFrame, returns: DataFrame, days: DataFrame, exec_lag:
     A day without a target (or with zeros only) keeps the book; missing returns are 0; trades are the target less the
     drifted book at a change. returns: ticker, pos, ret.
     """
-    end = days.agg(F.max("pos").alias("_end"))
+    end = days.agg(F.max("pos").alias("p")).first()["p"] or 0
     # both tables are read several times below; the targets are the rebalance days only
     targets = checkpoint(targets.select("pos", "ticker", "weight"))
     real = targets.where("weight is not null").withColumn("_g", F.sum(F.abs("weight")).over(Window.partitionBy("pos"))).where("_g > 0").drop("_g")
-    starts = real.select("pos").distinct().withColumn("start", F.col("pos") + 1 + exec_lag).withColumn("_next", F.lead("start").over(Window.orderBy("pos"))).join(F.broadcast(end))
-    spans = starts.where(F.col("start") <= F.col("_end")).select("pos", "start", F.coalesce(F.col("_next") - 1, F.col("_end")).alias("stop"))
+    starts = real.select("pos").distinct().withColumn("start", F.col("pos") + 1 + exec_lag).withColumn("_next", F.lead("start").over(Window.orderBy("pos")))
+    spans = starts.where(F.col("start") <= end).select("pos", "start", F.coalesce(F.col("_next") - 1, F.lit(end)).alias("stop"))  # at most one row a day
     held = real.where("weight <> 0").join(F.broadcast(spans), "pos").select(F.col("start").alias("period"), "ticker", "weight", "stop", F.explode(F.sequence(F.col("start"), F.col("stop"))).alias("pos"))
     rows = held.join(returns.select("ticker", "pos", "ret"), ["ticker", "pos"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
     w = Window.partitionBy("period", "ticker").orderBy("pos")

@@ -33,8 +33,8 @@ def rebalance_days(days: DataFrame, freq: str | int = "M", start: int | None = N
     if isinstance(freq, int) or str(freq).isdigit():
         if int(freq) < 1:
             raise ValueError("a schedule needs at least one day between dates")
-        first = rows.agg(F.min("pos").alias("_p"))
-        return rows.join(F.broadcast(first), F.expr("pos >= _p")).where((F.col("pos") - F.col("_p")) % int(freq) == 0).select("day", "pos")
+        first = rows.agg(F.min("pos").alias("p")).first()["p"] or 0
+        return rows.where((F.col("pos") - first) % int(freq) == 0).select("day", "pos")
     return rows.groupBy(F.date_trunc(PERIODS[freq], F.date_from_unix_date("day").cast("timestamp")).alias("_g")).agg(F.max("day").alias("day"), F.max("pos").alias("pos")).select("day", "pos")
 
 
@@ -71,11 +71,11 @@ def snapshot_values(rows: DataFrame, function: SnapshotFunction, window: int = 1
 
 def hold_until_next(values: DataFrame, days: DataFrame) -> DataFrame:
     """ticker, pos, day, value: each snapshot's value from its day until the ticker's next one, the last to the calendar's end. Intervals are unfolded, nothing is filled by window."""
-    end = days.agg(F.max("pos").alias("_end"))
+    end = days.agg(F.max("pos").alias("p")).first()["p"] or 0
     following = F.lead("snap").over(Window.partitionBy("ticker").orderBy("snap"))
-    spans = values.withColumn("_next", following).join(F.broadcast(end))
-    rows = spans.select("ticker", F.explode(F.sequence("snap", F.coalesce(F.col("_next") - 1, F.col("_end")))).alias("pos"), "value")
-    return rows.join(days, "pos").select("ticker", "pos", "day", "value")
+    spans = values.withColumn("_to", F.coalesce(following - 1, F.lit(end)))
+    rows = spans.select("ticker", F.explode(F.sequence("snap", "_to")).alias("pos"), "value")
+    return rows.join(F.broadcast(days), "pos").select("ticker", "pos", "day", "value")
 
 
 class GraphFactor(Factor):
@@ -137,6 +137,52 @@ def lead_lag_statistic(kind: str, lags: tuple[int, ...] = N.LAGS, alpha: float =
     return run
 
 
+class VectorFactor(Factor):
+    """Mean recent return of each name's nearest neighbours by the embedding of its latest filing, at each snapshot, held between them.
+
+    store: ticker, filing_date, vec. A filing holds from its date until the ticker's next one, so it is unfolded to the
+    snapshots in between; a snapshot is one group, bounded by the universe.
+    """
+
+    def __init__(self, name: str, store: DataFrame, k: int = 20, freq: str = "M", lookback: int = 21, least_similarity: float = 0.0, least_names: int = 10, direction: int = 1, in_universe: bool = False) -> None:
+        super().__init__(name, direction)
+        self.store, self.k, self.freq, self.lookback, self.least_similarity, self.least_names, self.in_universe = store, k, freq, lookback, least_similarity, least_names, in_universe
+
+    def panel(self, catalog: Catalog) -> DataFrame:
+        snaps = rebalance_days(catalog.days, self.freq)
+        points = sorted((r["day"], r["pos"]) for r in snaps.collect())  # at most one a calendar day
+        at = F.array(*(F.struct(F.lit(d).alias("day"), F.lit(p).alias("snap")) for d, p in points)) if points else F.array().cast("array<struct<day:int,snap:int>>")
+        filed = self.store.groupBy("ticker", F.unix_date(F.to_date("filing_date")).alias("from")).agg(F.max("vec").alias("vec"))
+        filed = filed.withColumn("to", F.lead("from").over(Window.partitionBy("ticker").orderBy("from")))
+        seen = filed.withColumn("at", F.explode(F.filter(at, lambda x: (x["day"] >= F.col("from")) & (F.col("to").isNull() | (x["day"] < F.col("to"))))))
+        known = seen.select("ticker", F.col("at.snap").alias("snap"), F.col("at.day").alias("day"), "vec")
+        known = restrict(known, catalog.periods) if self.in_universe else known
+        recent = window_rows(catalog.returns("log"), snaps, self.lookback, 1).groupBy("snap", "ticker").agg(F.avg("ret").alias("recent"))
+        k, least_similarity, least_names = self.k, self.least_similarity, self.least_names
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("ticker", ignore_index=True)
+            n = len(pdf)
+            if n < least_names:
+                return pd.DataFrame({"snap": np.zeros(0, np.int32), "ticker": np.zeros(0, object), "value": np.zeros(0)})
+            x = np.stack(pdf["vec"].to_numpy())
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(norm > 0, norm, 1.0)
+            sim = np.clip(x @ x.T, -1, 1)
+            np.fill_diagonal(sim, -np.inf)
+            near = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, n - 1)]
+            w = np.take_along_axis(sim, near, axis=1)
+            r = pdf["recent"].to_numpy(float)[near]
+            w = np.where((w >= least_similarity) & ~np.isnan(r), w, 0.0)
+            total = w.sum(axis=1)
+            value = np.divide((w * np.nan_to_num(r)).sum(axis=1), total, out=np.full(n, np.nan), where=total > 0)
+            ok = ~np.isnan(value)
+            return pd.DataFrame({"snap": pdf["snap"].to_numpy(np.int32)[ok], "ticker": pdf["ticker"].to_numpy(object)[ok], "value": value[ok]})
+
+        values = known.select("snap", "ticker", "vec").join(recent, ["snap", "ticker"], "left").groupBy("snap").applyInPandas(run, "snap int, ticker string, value double")
+        return hold_until_next(values, catalog.days)
+
+
 GRAPH_FACTORS = Registry()
 for _f in (
     GraphFactor("eigenvector_centrality_mst_120d", tree_statistic(N.eigenvector)),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,41 @@ def coverage(store: DataFrame, members: DataFrame) -> DataFrame:
     return a.withColumn("coverage", F.try_divide("n_covered", "n_universe"))
 
 
+def embedded(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], id_columns: tuple[str, ...] = ("ticker", "filing_date"), text: str = "text", most: int = 20_000) -> DataFrame:
+    """id columns and ``vec`` of texts. ``encoder()`` is called once per task and gives a function from a batch of texts to a matrix, so a model is loaded once.
+
+    NULL texts count as empty; the model sees at most ``most`` characters, as such models do.
+    """
+    kinds = ", ".join(f"`{c}` {dict(texts.dtypes)[c]}" for c in id_columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            encode = encode or encoder()
+            x = np.asarray(encode([(t or "")[:most] for t in batch.column(text).to_pylist()]), np.float64)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in id_columns), flat], names=[*id_columns, "vec"])
+
+    return texts.select(*id_columns, text).mapInArrow(run, f"{kinds}, vec array<double>")
+
+
+class HashedWords:
+    """A plain encoder: signed counts of hashed words, of unit length. Stands in where no model is at hand."""
+
+    def __init__(self, width: int = 64) -> None:
+        self.width = width
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.width))
+        for i, t in enumerate(texts):
+            for w in t.lower().split():
+                h = zlib.crc32(w.encode())
+                out[i, h % self.width] += 1 if h >> 31 else -1
+        return unit_rows(out)
+
+
 def neighbour_signal(edges: DataFrame, recent: DataFrame, least: int = 2) -> DataFrame:
     """src, value: mean recent return of a node's neighbours weighted by edge weight, over the neighbours that have one.
 

@@ -130,8 +130,8 @@ def embedding_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Share of each month's members with a filed document by then."""
     docs = table(spark, d, "documents").where("ticker is not null and filed_at is not null").select("ticker", F.to_date("filed_at").alias("filing_date"))
     c = cat(spark, d)
-    points = spark.createDataFrame([("2014-06-30",), ("2018-06-30",), ("2022-06-30",)], "c string").select(F.to_date("c").alias("checkpoint"))
-    members = c.periods.join(F.broadcast(points), (F.unix_date("checkpoint") >= F.col("start")) & (F.unix_date("checkpoint") < F.col("end"))).select("checkpoint", "ticker")
+    points = F.array(*(F.to_date(F.lit(p)) for p in ("2014-06-30", "2018-06-30", "2022-06-30")))
+    members = c.periods.withColumn("checkpoint", F.explode(points)).where((F.unix_date("checkpoint") >= F.col("start")) & (F.unix_date("checkpoint") < F.col("end"))).select("checkpoint", "ticker")
     return V.coverage(docs, members).select(F.date_format("checkpoint", "yyyy-MM-dd").alias("checkpoint"), "n_universe", "n_covered", rounded("coverage", 6))
 
 

@@ -481,3 +481,56 @@ def test_streams(spark, rows, tmp_path):
         q = df.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert sorted(r["n"] for r in spark.table(name).collect()) == want
+
+
+def test_reports_and_command_line(spark, rows, tmp_path):
+    from gridloom import __main__ as cli
+    from gridloom.plans import reports
+
+    data = prices(12, 150, 9)
+    folder = str(tmp_path / "data")
+    rows(PRICES, data).write.parquet(f"{folder}/prices.parquet")
+    rows("ticker string, start_date date, end_date date", [(f"T{i:02d}", day(0), None) for i in range(12)]).write.parquet(f"{folder}/membership.parquet")
+    c = Catalog(spark, folder)
+    r = reports.backtest_report(c, X.FACTORS.get("reversal_1m"), 10, backtest.weigher("rank", most=0.2), split_day=(day(60) - dt.date(1970, 1, 1)).days, n_trials=5, var_sharpe=0.01)
+    m = {x["series"]: x for x in r.tables["metrics"].collect()}
+    assert m["gross"]["total_return"] > m["net"]["total_return"] and m["net"]["n"] == 90
+    assert 0 <= r.tables["deflated_sharpe"].first()["deflated"] <= 1 and r.tables["capacity"].count() == 12
+    curve = {x["bps"]: x["net_sharpe"] for x in r.tables["cost_curve"].collect()}
+    assert len(curve) == 7 and curve[0.0] > curve[25.0]
+    sweep = reports.holding_period_sweep(c, X.FACTORS.get("reversal_1m"), (5, 21))
+    assert sweep[5].daily.agg(F.sum("turnover")).first()[0] > sweep[21].daily.agg(F.sum("turnover")).first()[0]
+    assert set(reports.audit_report(c, "2019-01-01", "2019-05-31", str(day(3)))["universe_size"].toPandas()["n"]) == {12}
+    with pytest.raises(ValueError):
+        backtest.weigher("risk")
+    with pytest.raises(SystemExit):
+        cli.find("nothing")
+    cli.main(["backtest", folder, str(tmp_path / "out"), "--factor", "reversal_1m", "--master", "local[4]"])
+    assert (tmp_path / "out" / "report.html").exists()
+
+
+def test_text_neighbours(spark, rows):
+    data = prices(12, 80, 10)
+    c = catalog(spark, rows, data)
+    texts = rows("ticker string, filing_date date, text string", [(f"T{i:02d}", day(0), ("pumps and valves " if i < 6 else "loans and bonds ") * 3) for i in range(12)] + [("T00", day(70), None)])
+    store = vectors.embedded(texts, vectors.HashedWords)
+    f = graphs.VectorFactor("text", store, k=5)
+    got = f.panel(c).collect()
+    ends = sorted(r["pos"] for r in graphs.rebalance_days(c.days).collect())
+    ret = {(r["ticker"], r["pos"]): r["ret"] for r in c.returns("log").collect()}
+    recent = {(t, e): np.mean([ret[t, k] for k in range(max(1, e - 20), e + 1)]) for t in {x[1] for x in data} for e in ends}
+    v = {(r["ticker"], r["pos"]): r["value"] for r in got}
+    for e in ends[:2]:
+        for i in range(12):
+            group = [j for j in (range(6) if i < 6 else range(6, 12)) if j != i]
+            assert v[f"T{i:02d}", e] == pytest.approx(np.mean([recent[f"T{j:02d}", e] for j in group]))
+    assert ("T01", ends[-1]) in v  # T00's new, empty text leaves its old neighbours
+    assert graphs.VectorFactor("text", store, least_names=13).panel(c).count() == 0
+
+
+def test_granger():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=300)
+    y = np.concatenate([[0], 0.5 * x[:-1]]) + rng.normal(size=300)
+    assert I.granger_p(x, y) < 1e-4 and I.granger_p(y[:4], x[:4]) is None
+    assert I.f_upper(4.0, 1, 10) == pytest.approx(I.pvalue_of_t(2.0, 10))
