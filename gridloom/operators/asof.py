@@ -35,7 +35,7 @@ def asof_join(events: DataFrame, versions: DataFrame, keys: list[str], carry: li
         last = hot.groupBy(*keys, "shard").agg(F.max(F.struct("t", *carry)).alias("_known"))
         carried = carry_in(last, keys, plan).select(*keys, F.lit(None).cast("long").alias("t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event"), "_known", "shard")
         both = both.unionByName(carried)
-    w = Window.partitionBy(*keys, "shard").orderBy(F.col("t").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*plan.groups).orderBy(F.col("t").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
     merged = both.withColumn("_known", F.last("_known", ignorenulls=True).over(w)).where("_side = 1")
     out = merged.select(*keys, "t", *(F.col(f"_event.`{c}`").alias(c) for c in rest), F.col("_known.t").alias("known_t"), *(F.col(f"_known.`{c}`").alias(c) for c in carry))
     kinds = dict(out.dtypes)

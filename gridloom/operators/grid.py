@@ -22,7 +22,7 @@ def validity_intervals(readings: DataFrame, keys: list[str] = KEYS, min_rows: in
     """
     plan = plan_shards(readings if sizes is None else sizes, keys, "t", min_rows, fraction)
     rows = plan.assign(readings, "t")
-    rows = rows.withColumn("until", F.lead("t").over(Window.partitionBy(*keys, "shard").orderBy("t")))
+    rows = rows.withColumn("until", F.lead("t").over(Window.partitionBy(*plan.groups).orderBy("t")))
     if plan.hot is None:
         return rows.drop("shard")
     firsts = plan.assign(readings.join(F.broadcast(plan.hot.select(*keys)), keys, "left_semi"), "t").groupBy(*keys, "shard").agg(F.min("t").alias("_first"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,11 @@ class ShardPlan:
     keys: tuple[str, ...]
     hot: DataFrame | None  # keys, _bounds array<long>; None: no key is hot
 
+    @property
+    def groups(self) -> list[str]:
+        """What the rows of a local merge have in common: the keys, and the shard if there are any."""
+        return [*self.keys] if self.hot is None else [*self.keys, "shard"]
+
     def assign(self, df: DataFrame, order: str) -> DataFrame:
         """df with an int column ``shard``: 0 for keys that are not hot, else the number of boundaries at or below ``order``."""
         if self.hot is None:
@@ -36,13 +41,12 @@ class ShardPlan:
 
 def plan_shards(df: DataFrame, keys: list[str], order: str, min_rows: int = 50_000, fraction: float = 0.001) -> ShardPlan:
     """Decide the shards of df's keys along ``order`` (a long column; rows with NULL order fall in shard 0)."""
-    total = df.count()
-    least = max(min_rows, math.ceil(total * fraction))
-    if total <= least:
-        return ShardPlan(tuple(keys), None)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).collect()
-    if not hot:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    seen = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("most")).first()
+    least = max(min_rows, math.ceil((seen["total"] or 0) * fraction))
+    if (seen["most"] or 0) <= least:
         return ShardPlan(tuple(keys), None)
+    hot = counts.where(F.col("_n") > least).collect()
     spark = df.sparkSession
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_n", T.LongType())])
     few = spark.createDataFrame([tuple(r) for r in hot], schema)
@@ -64,8 +68,6 @@ def carry_in(last: DataFrame, keys: list[str], plan: ShardPlan) -> DataFrame:
 
     ``last`` has one row per key and shard (at most MOST per key), so the window below is bounded.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy("shard")
     bounded = last.join(F.broadcast(plan.hot), keys, "inner")
     upto = F.coalesce(F.lead("shard").over(w), F.size("_bounds"))
@@ -76,10 +78,3 @@ def carry_in(last: DataFrame, keys: list[str], plan: ShardPlan) -> DataFrame:
         .drop("_to", "_bounds")
     )
 
-
-def hot_threshold(total: int, min_rows: int, fraction: float) -> int:
-    return max(min_rows, math.ceil(total * fraction))
-
-
-def salted(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
