@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.words import Words, encode, slices, spread
@@ -188,6 +188,22 @@ def ledger(documents: DataFrame) -> DataFrame:
     return source.mapInArrow(run, f"doc_id long, n_words long, {', '.join(f'{m} double' for m in MEASURES)}, failed long")
 
 
+def store(entries: DataFrame, path: str) -> DataFrame:
+    """Write a ledger with the rules it was made by; policies and ablations then read it instead of the texts."""
+    entries.withColumn("rules", F.lit(",".join(r.name for r in RULES))).write.mode("overwrite").parquet(path)
+    return stored(entries.sparkSession, path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """A written ledger. One made by other rules, or rules in another order, is an error: its bits would mean something else."""
+    entries = spark.read.parquet(path)
+    names = [r.name for r in RULES]
+    for r in entries.select("rules").distinct().limit(2).collect():
+        if r["rules"].split(",") != names[: len(r["rules"].split(","))]:
+            raise ValueError("the ledger was made by other rules")
+    return entries.drop("rules")
+
+
 def apply_policy(entries: DataFrame, policy: str) -> DataFrame:
     """Ledger rows that fail any rule of the policy."""
     return entries.where(F.col("failed").bitwiseAND(F.lit(mask_of(policy))) != 0)

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 # The invisible characters that are dropped (soft hyphen, zero-width signs).
-INVISIBLE = "­​‌‍⁠﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _DROP = dict.fromkeys(map(ord, INVISIBLE))
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_GAP = r"[\x00-/:-`{-\x7f]+"

@@ -174,6 +174,15 @@ def test_policies_and_ablations(rows):
     assert repetition.ledger(rows(DOCS)).count() == 0 and repetition.ablations(repetition.ledger(rows(DOCS))).count() == 0
 
 
+def test_stored_ledger(rows, spark, tmp_path):
+    entries = repetition.ledger(rows(DOCS, repeated_corpus()))
+    kept = repetition.store(entries, str(tmp_path / "ledger"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, entries.collect()))
+    kept.withColumn("rules", F.lit("other")).write.parquet(str(tmp_path / "odd"))
+    with pytest.raises(ValueError):
+        repetition.stored(spark, str(tmp_path / "odd"))
+
+
 def test_windows_under_one_key_are_compared():
     codes = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.int32)
     at = np.array([0, 3, 6])
