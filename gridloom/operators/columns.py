@@ -6,10 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Characters that count as blank at either end of a ticker or field.
-BLANKS = " \t\n\r\x0b\x0c "
+BLANKS = " \t\n\r\x0b\x0c\u00a0"
 DAY_US = 86_400_000_000
 
 
@@ -82,6 +81,3 @@ def day_label(c: Column) -> Column:
     """yyyy-MM-dd of a day number."""
     return F.date_format(F.date_from_unix_date(c.cast("int")), "yyyy-MM-dd")
 
-
-def is_string(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.StringType)
