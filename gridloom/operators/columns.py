@@ -65,8 +65,17 @@ def micros(c: Column | str) -> Column:
     return day_number(c).cast("long") * F.lit(DAY_US).cast("long") + clock + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
 
 
-def quarter_index(c: Column | str) -> Column:
-    return F.year(c) * 4 + F.quarter(c) - 1
+def day_of(us: Column | str) -> Column:
+    """Day number of microseconds since 1970-01-01, in whole numbers."""
+    us = F.col(us) if isinstance(us, str) else us
+    d = F.lit(DAY_US).cast("long")
+    return ((us - F.pmod(us, d)) / d).cast("int")
+
+
+def quarter_of(us: Column | str) -> Column:
+    """Quarters since year 0 of microseconds since 1970-01-01."""
+    day = F.date_from_unix_date(day_of(us))
+    return F.year(day) * 4 + F.quarter(day) - 1
 
 
 def quarter_start_us(q: Column) -> Column:

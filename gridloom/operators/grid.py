@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.columns import quarter_label, quarter_start_us
+from gridloom.operators.columns import quarter_label, quarter_of, quarter_start_us
 from gridloom.operators.readings import one_per_instant, usable
 from gridloom.operators.sharding import plan_shards
 
@@ -31,11 +31,6 @@ def validity_intervals(readings: DataFrame, keys: list[str] = KEYS, min_rows: in
     return rows.join(F.broadcast(following), [*keys, "shard"], "left").withColumn("until", F.coalesce("until", "_next")).drop("shard", "_next")
 
 
-def quarter_of(us: F.Column) -> F.Column:
-    day = F.date_from_unix_date(F.floor(us / 86_400_000_000).cast("int"))
-    return F.year(day) * 4 + F.quarter(day) - 1
-
-
 def to_quarters(facts: DataFrame, fields: list[str] | None = None, min_rows: int = 50_000, fraction: float = 0.001) -> DataFrame:
     """One row per ticker, field and calendar quarter from the first to the last quarter with a usable reading.
 

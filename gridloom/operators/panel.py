@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.bars import valid_bars
-from gridloom.operators.columns import day_number, pick, symbol
+from gridloom.operators.columns import day_number, day_of, pick, symbol
 
 FIELDS = {"open": "open", "high": "high", "low": "low", "close": "close", "adj": "adj close", "volume": "volume"}
 
@@ -127,7 +127,7 @@ def facts_on_calendar(panel: DataFrame, facts: DataFrame, field: str, exact_days
     """
     from gridloom.operators.readings import usable
 
-    own = usable(facts, [field]).withColumn("day", F.floor(F.col("t") / 86_400_000_000).cast("int"))
+    own = usable(facts, [field]).withColumn("day", day_of("t"))
     daily = own.groupBy("ticker", "day").agg(F.max(F.struct("t", "period_end", "fact_id", "value")).alias("_r")).select("ticker", "day", F.col("_r.value").alias("_v"))
     if exact_days:
         joined = panel.join(daily, ["ticker", "day"], "left")

@@ -95,10 +95,10 @@ def coverage(store: DataFrame, members: DataFrame) -> DataFrame:
     return a.withColumn("coverage", F.try_divide("n_covered", "n_universe"))
 
 
-def embedded(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], id_columns: tuple[str, ...] = ("ticker", "filing_date"), text: str = "text", most: int = 20_000) -> DataFrame:
+def embedded(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], id_columns: tuple[str, ...] = ("ticker", "filing_date"), text: str = "text") -> DataFrame:
     """id columns and ``vec`` of texts. ``encoder()`` is called once per task and gives a function from a batch of texts to a matrix, so a model is loaded once.
 
-    NULL texts count as empty; the model sees at most ``most`` characters, as such models do.
+    NULL texts count as empty; the encoder gets whole texts.
     """
     kinds = ", ".join(f"`{c}` {dict(texts.dtypes)[c]}" for c in id_columns)
 
@@ -108,7 +108,7 @@ def embedded(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.nd
             if not batch.num_rows:
                 continue
             encode = encode or encoder()
-            x = np.asarray(encode([(t or "")[:most] for t in batch.column(text).to_pylist()]), np.float64)
+            x = np.asarray(encode([t or "" for t in batch.column(text).to_pylist()]), np.float64)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in id_columns), flat], names=[*id_columns, "vec"])
 
