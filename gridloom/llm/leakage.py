@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.fmindex import FMIndex
-from gridloom.llm.words import encode, slices, spread, words_of
+from gridloom.llm.words import distinct_texts, encode, slices, spread, words_of
 from gridloom.operators.columns import pick
 
 NAMES = ["doc_id", "item_id", "leaked_words", "item_words", "share", "spans"]
 
 #: Items are searched in blocks of about this many, so what a task is sent stays bounded however many items there are.
 BLOCK_ITEMS = 5_000
-#: A shard ends with the document that reaches this many characters (about two million words).
-SHARD_CHARS = 12_000_000
+#: A shard ends with the document that reaches this many bytes (about two million words).
+SHARD_BYTES = 12_000_000
 
 
 class Phrases:
@@ -115,7 +115,7 @@ def leaks_in(texts: list[str | None], phrases: Phrases, least_share: float = 0.0
     return Leaks(pairs[keep] // len(phrases.ids), item[keep], leaked[keep], np.stack((a, b), axis=1), each)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, length: int = 8, least_share: float = 0.0, block_items: int = BLOCK_ITEMS, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, length: int = 8, least_share: float = 0.0, block_items: int = BLOCK_ITEMS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, item_id, leaked_words, item_words, share, spans of each document and item that share ``length`` consecutive words and at least ``least_share``.
 
     A word of the item is leaked if it lies in such a passage; share is leaked_words / item_words; spans are the merged
@@ -135,15 +135,23 @@ def leaked_items(documents: DataFrame, items: DataFrame, length: int = 8, least_
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             phrases = shared.value
             for batch in batches:
-                ids, texts = batch.column(0), batch.column(1).to_pylist()
-                for a, z in slices(texts, shard_chars):
-                    found = leaks_in(texts[a:z], phrases, least_share)
-                    if found is not None:
-                        size = phrases.sizes[found.item]
-                        span = pa.StructArray.from_arrays([pa.array(found.spans[:, 0]), pa.array(found.spans[:, 1])], ["from", "to"])
-                        spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(found.spans_each))), pa.int32()), span)
-                        columns = [ids.take(pa.array(found.document + a)).cast(pa.int64()), pa.array(np.array(phrases.ids, np.int64)[found.item]), pa.array(found.words), pa.array(size), pa.array(found.words / size), spans]
-                        yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+                ids = batch.column(0).cast(pa.int64())
+                texts, place = distinct_texts(batch.column(1))
+                rows_of = np.argsort(place, kind="stable")  # rows of text u: rows_of[first[u]:first[u + 1]]
+                copies = np.bincount(place, minlength=len(texts))
+                first = np.cumsum(copies) - copies
+                for a, _, some in slices(texts, shard_bytes):
+                    found = leaks_in(some, phrases, least_share)
+                    if found is None:
+                        continue
+                    text = found.document + a
+                    pair = np.repeat(np.arange(len(text)), copies[text])  # every pair of a text goes to all its copies
+                    row = rows_of[ranges(first[text], copies[text])]
+                    size = phrases.sizes[found.item]
+                    span = pa.StructArray.from_arrays([pa.array(found.spans[:, 0]), pa.array(found.spans[:, 1])], ["from", "to"])
+                    spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(found.spans_each))), pa.int32()), span)
+                    item = pa.array(np.array(phrases.ids, np.int64)[found.item][pair])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), item, pa.array(found.words[pair]), pa.array(size[pair]), pa.array((found.words / size)[pair]), spans.take(pa.array(pair))], names=NAMES)
 
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

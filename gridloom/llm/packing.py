@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.engine.session import checkpoint
-from gridloom.llm.words import spread
+from gridloom.llm.words import distinct_texts, slices, spread
 from gridloom.operators.columns import pick
 
 # Fixed value: how the public byte-level vocabulary splits texts before merging.
@@ -66,8 +66,9 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokenizer(vocabulary)
         for batch in batches:
-            sizes = [token_count(t, encoding) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
+            texts, place = distinct_texts(batch.column(1))
+            sizes = np.array([token_count(t, encoding) for _, _, some in slices(texts) for t in some], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes[place])], names=["doc_id", "n_tokens"])
 
     return spread(pick(documents, {"doc_id": "doc_id", "text": "text"})).mapInArrow(run, "doc_id long, n_tokens long")
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.words import Words, encode, slices, spread
+from gridloom.llm.words import Words, distinct_texts, encode, slices, spread
 from gridloom.operators.columns import pick
 
 
@@ -176,14 +176,16 @@ def ledger(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, z in slices(texts):
-                found = measure(texts[a:z])
-                failed = np.zeros(z - a, np.int64)
-                for bit, rule in enumerate(RULES):
-                    failed |= (found[rule.measure] >= rule.least).astype(np.int64) << bit
-                arrays = [batch.column(0).slice(a, z - a).cast(pa.int64()), pa.array(found["n_words"], pa.int64()), *(pa.array(found[m], pa.float64()) for m in MEASURES), pa.array(failed)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", *MEASURES, "failed"])
+            texts, place = distinct_texts(batch.column(1))
+            parts = [measure(some) for _, _, some in slices(texts)]
+            if not parts:
+                continue
+            found = {k: np.concatenate([p[k] for p in parts])[place] for k in parts[0]}
+            failed = np.zeros(len(place), np.int64)
+            for bit, rule in enumerate(RULES):
+                failed |= (found[rule.measure] >= rule.least).astype(np.int64) << bit
+            arrays = [batch.column(0).cast(pa.int64()), pa.array(found["n_words"], pa.int64()), *(pa.array(found[m], pa.float64()) for m in MEASURES), pa.array(failed)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", *MEASURES, "failed"])
 
     return source.mapInArrow(run, f"doc_id long, n_words long, {', '.join(f'{m} double' for m in MEASURES)}, failed long")
 

@@ -28,8 +28,8 @@ def spread(documents: DataFrame) -> DataFrame:
     return documents.repartition(4 * cores)
 
 
-#: A slice of documents ends with the document that reaches this many characters; one longer document is a slice.
-SLICE_CHARS = 6_000_000
+#: A slice of documents ends with the document that reaches this many bytes; one longer document is a slice.
+SLICE_BYTES = 6_000_000
 
 
 def normalise(text: str) -> str:
@@ -71,13 +71,21 @@ def encode(texts: list[str | None]) -> Words:
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), offsets[:-1], offsets[1:], coded.dictionary)
 
 
-def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """[from, to) of consecutive texts of about ``chars`` characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def distinct_texts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different texts of a batch, NULL last, and each row's place among them, so that copies are worked on once."""
+    coded = column.dictionary_encode()
+    texts = coded.dictionary
+    if coded.null_count:
+        texts = pa.concat_arrays([texts, pa.nulls(1, texts.type)])
+    return texts, pc.fill_null(coded.indices, len(texts) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(from, to, texts) of consecutive texts of about ``size`` bytes; only one slice at a time is turned into Python strings."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(lengths.tolist()):
+        total += n
+        if total >= size or i + 1 == len(lengths):
+            yield start, i + 1, texts.slice(start, i + 1 - start).to_pylist()
+            start, total = i + 1, 0

@@ -4,12 +4,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import leakage, packing, repetition
 from gridloom.llm.fmindex import FMIndex, suffix_array
-from gridloom.llm.words import encode, slices, words_of
+from gridloom.llm.words import distinct_texts, encode, slices, words_of
 
 DOCS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -22,7 +23,19 @@ def test_words():
     for t, a, b in zip(ODD, w.starts, w.ends, strict=True):
         assert [w.dictionary[int(c)].as_py() for c in w.codes[a:b]] == words_of(t)
     assert len(encode([]).codes) == 0 and len(encode([None]).starts) == 1
-    assert list(slices(["abc", None, "d" * 9, "e"], 3)) == [(0, 1), (1, 3), (3, 4)]
+    assert list(slices(pa.array(["abc", None, "d" * 9, "e"]), 3)) == [(0, 1, ["abc"]), (1, 3, [None, "d" * 9]), (3, 4, ["e"])]
+
+
+def test_copies_are_worked_on_once(rows):
+    texts, place = distinct_texts(pa.array(["a", None, "b", "a", "", None]))
+    assert texts.to_pylist() == ["a", "b", "", None] and place.tolist() == [0, 3, 1, 0, 2, 3]
+    assert distinct_texts(pa.array([None, None], pa.string()))[0].to_pylist() == [None] and len(distinct_texts(pa.array([], pa.string()))[0]) == 0
+    docs, items = make_corpus(12, 8)
+    docs = [(d * 100 + c, t) for d, t in docs[:8] for c in range(25)]  # a corpus of copies
+    got = {(r["doc_id"], r["item_id"]): r["leaked_words"] for r in leakage.leaked_items(rows(DOCS, docs), rows(ITEMS, items)).collect()}
+    assert got == {k: a for k, (a, _) in leaks_by_hand(docs, items).items()} and got
+    led = {r["doc_id"]: r["window_8"] for r in repetition.ledger(rows(DOCS, docs)).collect()}
+    assert all(led[d] == pytest.approx(repeated_by_hand(t)[0] / max(1, len(words_of(t)))) for d, t in docs) and len(led) == len(docs)
 
 
 def random_docs(rng, n=6, words=3, most=14):
@@ -78,7 +91,7 @@ def make_corpus(seed, n=60):
     return docs, items
 
 
-@pytest.mark.parametrize("limits", [{}, {"shard_chars": 500}, {"block_items": 4}])
+@pytest.mark.parametrize("limits", [{}, {"shard_bytes": 500}, {"block_items": 4}])
 def test_leaks_against_brute_force(rows, limits):
     docs, items = make_corpus(2)
     got = leakage.leaked_items(rows(DOCS, docs + docs[:5]), rows(ITEMS, items + items[:3]), **limits).collect()
