@@ -14,8 +14,8 @@ from gridloom.operators import graphs as G
 from gridloom.operators import metrics as M
 from gridloom.operators import universe as U
 from gridloom.operators import vectors as V
-from gridloom.plans.problems import _TICKER
-from gridloom.plans.signals import _CAP, _MKT, _PANEL, _RET, _ROLL, _SPANS, _W, AS_OF, cat, label, rounded
+from gridloom.plans.problems import _TICKER, _USABLE
+from gridloom.plans.signals import _CAP, _MKT, _PANEL, _RET, _ROLL, _SPANS, _W, AS_OF, _known, cat, label, rounded
 from gridloom.sources.catalog import Catalog
 from gridloom.sources.tables import table
 
@@ -184,11 +184,11 @@ def graph_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_mst(spark: SparkSession, d: str) -> DataFrame:
-    return G.edges(windows(cat(spark, d)), "mst")
+    return G.edges(windows(cat(spark, d)), "mst").select("snap", "src", "dst", rounded("weight"))
 
 
 def graph_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return G.edges(windows(cat(spark, d)), "threshold", least=0.05)
+    return G.edges(windows(cat(spark, d)), "threshold", least=0.05).select("snap", "src", "dst", rounded("weight"))
 
 
 def graph_lead_lag(spark: SparkSession, d: str) -> DataFrame:
@@ -279,6 +279,13 @@ old as (select gg.pos + 1 as pos, gg.ticker, weight * g1 / v1 as w from gg join
 trades as (select coalesce(f.pos, o.pos) as pos, coalesce(f.ticker, o.ticker) as ticker, coalesce(f.weight, 0) - coalesce(o.w, 0) as trade from (select * from r where pos = period) f full join old o on f.pos = o.pos and f.ticker = o.ticker),
 moved as (select pos, sum(abs(trade)) as turnover from trades group by 1),
 daily as (select v.pos, strftime(cal.day, '%Y-%m-%d') as obs_day, cal.day, round(v1 / v0 - 1, 14) + 0.0 as ret, coalesce(turnover, 0) as turnover from v join cal on v.pos = cal.pos left join moved on moved.pos = v.pos)"""
+
+
+def _with_schedule(n: int) -> str:
+    """The simulation's SQL with a rebalance every n calendar rows."""
+    return f"with {_RUN}".replace(_ENDS, f"ends as (select day, pos from cal where pos % {n} = 0)")
+
+
 _ADV = f"adv as (select ticker, pos, avg(close * volume) over {_ROLL.format(20)} as adv from panel)"
 _COST = f"""{_RUN}, {_ADV},
 imp as (select t.pos, sum(abs(trade) * 0.1 * sqrt(coalesce(abs(trade) * 5e8 / case when adv > 0 then adv end, 0))) as impact from trades t left join adv a on t.ticker = a.ticker and t.pos = a.pos group by 1),
@@ -290,6 +297,28 @@ beta as (select *, case when count(r * market) over w = 60 and count(r) over w =
   (avg(r * market) over w - avg(r) over w * avg(market) over w) / nullif(avg(market * market) over w - power(avg(market) over w, 2), 0) end as beta from j window w as {_R60})"""
 _SECTORS = f"sec as (select {_TICKER.format('')} as ticker, min(sector) as sector from listings where sector is not null group by 1)"
 
+#: Complete windows of 120 returns at month ends and their shrunk correlations (c: snap, i < j, rho).
+_SHRUNK = f"""{_RET}, {_ENDS}, w as (select e.pos as snap, t.ticker, t.pos, t.r from ret t join ends e on t.pos between e.pos - 119 and e.pos where t.r is not null),
+k as (select *, count(*) over (partition by snap, ticker) as c, var_pop(r) over (partition by snap, ticker) as vr from w), x as (select snap, ticker, pos, r - avg(r) over (partition by snap, ticker) as x from k where c = 120 and vr > 0),
+s as (select a.snap, a.ticker as i, b.ticker as j, sum(a.x * b.x) / 120 as s from x a join x b on a.snap = b.snap and a.pos = b.pos group by all),
+g as (select snap, avg(s) filter (i = j) as mu, sum(s * s) as norm, count(*) filter (i = j) as p from s group by 1),
+q as (select snap, sum(t * t) as quad from (select snap, pos, sum(x * x) as t from x group by 1, 2) group by 1),
+h as (select g.snap, mu, quad / (14400.0 * p) - norm / (120.0 * p) as noise, norm / p - mu * mu as spread from g join q on g.snap = q.snap),
+sh as (select snap, mu, case when spread <= 0 then 0 else least(greatest(noise, 0), spread) / spread end as d from h),
+v as (select s.snap, i, d * mu + (1 - d) * s as v from s join sh on s.snap = sh.snap where i = j),
+c as (select s.snap, s.i, s.j, least(1, greatest(-1, (1 - d) * s / sqrt(a.v * b.v))) as rho from s join sh on s.snap = sh.snap join v a on a.snap = s.snap and a.i = s.i join v b on b.snap = s.snap and b.i = s.j where s.i < s.j)"""
+
+
+def _tree() -> str:
+    """Spanning trees: the edges that no path of shorter ones goes around. Four squarings of the minimax matrix reach paths of 16 edges, more than the given tables' snapshots have."""
+    steps = ["dist as (select snap, i, j, rho, sqrt(greatest(2 * (1 - rho), 0)) as d from c), b0 as (select snap, i, j, d from dist union all select snap, j, i, d from dist)"]
+    for k in range(4):
+        steps.append(f"b{k + 1} as (select snap, i, j, min(d) as d from (select * from b{k} union all select a.snap, a.i, b.j, greatest(a.d, b.d) from b{k} a join b{k} b on a.snap = b.snap and a.j = b.i and a.i <> b.j) group by 1, 2, 3)")
+    return ", ".join([*steps, "tree as (select t.snap, t.i, t.j, greatest(abs(rho), 1e-12) as weight from dist t join b4 on t.snap = b4.snap and t.i = b4.i and t.j = b4.j where t.d <= b4.d)"])
+
+
+_TREE = _tree()
+
 SQL: dict[str, str] = {
     "q_schedule_month": f"with {_PANEL}, {_ENDS} select strftime(day, '%Y-%m-%d') as obs_day, pos from ends",
     "q_schedule_ten_days": f"with {_PANEL} select strftime(day, '%Y-%m-%d') as obs_day, pos from cal where pos % 10 = 0",
@@ -344,6 +373,23 @@ select snap, count(distinct ticker) as n_names, count(r) as n_returns, round(sum
 x as (select v.*, sector, count(*) over (partition by pos) as n from v join sec on v.ticker = sec.ticker where value is not null),
 rk as (select *, rank() over (partition by pos order by value) + (count(*) over (partition by pos, value) - 1) / 2.0::double as k from x where n >= 5)
 select ticker, obs_day, round(k - avg(k) over (partition by pos, sector), 6) + 0.0 as value from rk""",
+    "q_neutral_by_size": f"""with {_USABLE}, {_RET}, {_known('shares_outstanding', 'sh')},
+z as (select ticker, pos, ln(close * known) as size from sh where close * known > 0),
+v as (select ticker, pos, obs_day, case when count(r) over w >= 40 then stddev_samp(r) over w end as value from ret window w as {_R60}),
+b as (select v.*, z.size, count(*) over (partition by v.pos) as n from v join z on v.ticker = z.ticker and v.pos = z.pos where value is not null),
+k as (select *, rank() over (partition by pos order by value) + (count(*) over (partition by pos, value) - 1) / 2.0::double as y, rank() over (partition by pos order by size) + (count(*) over (partition by pos, size) - 1) / 2.0::double as x from b where n >= 5),
+f as (select pos, regr_slope(y, x) as slope, regr_intercept(y, x) as base from k group by 1)
+select ticker, obs_day, round(y - base - slope * x, 6) + 0.0 as value from k join f on k.pos = f.pos""",
+    "q_graph_threshold": f"with {_SHRUNK} select snap, i as src, j as dst, round(abs(rho), 8) + 0.0 as weight from c where abs(rho) >= 0.05",
+    "q_graph_mst": f"with {_SHRUNK}, {_TREE} select snap, i as src, j as dst, round(weight, 8) + 0.0 as weight from tree",
+    "q_graph_factor_degree": f"""with {_SHRUNK}, {_TREE}, node as (select snap, ticker, count(*) over (partition by snap) as p from (select distinct snap, ticker from x)),
+ends2 as (select snap, i as ticker, weight from tree union all select snap, j, weight from tree),
+deg as (select n.snap, n.ticker, coalesce(sum(weight), 0) / (any_value(p) - 1) as value from node n left join ends2 e on n.snap = e.snap and n.ticker = e.ticker where p >= 3 group by 1, 2),
+held as (select ticker, value, unnest(range(snap, coalesce(lead(snap) over (partition by ticker order by snap), (select max(pos) + 1 from cal)))) as pos from deg)
+select ticker, strftime(day, '%Y-%m-%d') as obs_day, round(value, 6) + 0.0 as value from held join cal on held.pos = cal.pos""",
+    "q_holding_periods": " union all ".join(
+        f"select * from ({_with_schedule(n)} select cast({n} as integer) as held, count(*) as n_days, round(avg(ret), 8) as mean_ret, round(avg(turnover), 8) as mean_turnover from daily)" for n in (1, 5, 21)
+    ),
     "q_vector_neighbours": """with q as (select vec_id as src, embedding as a from embeddings where vec_id % 100 = 0),
 s as (select src, e.vec_id as dst, round(list_cosine_similarity(a::double[], e.embedding::double[]), 12) as sim from q join embeddings e on e.vec_id <> src)
 select src, dst, round(sim, 6) + 0.0 as similarity from (select *, row_number() over (partition by src order by sim desc, dst) as n from s) where n <= 20 and sim >= 0""",

@@ -179,6 +179,14 @@ _ITEM = r"nullif(trim(regexp_extract(trim(regexp_replace(regexp_replace(text, '<
 
 SQL: dict[str, str] = {
     "q_long_short_moments": f"{S._SIDED}, {S._LS} select factor, count(ret) as n, round(avg(ret) / stddev_samp(ret), 6) + 0.0 as sharpe, round(skewness(ret), 6) + 0.0 as skew, round(kurtosis(ret), 6) + 0.0 as kurtosis from ls where ret is not null group by 1",
+    "q_grid": """with w as (select unnest([120, 180, 250]) as w), s as (select unnest(['threshold', 'mst', 'pmfg']) as s), c as (select unnest(['degree', 'eigenvector', 'betweenness', 'clustering']) as f), t as (select unnest(['level', 'delta']) as t),
+cf as (select f, t from c, t union all select unnest(['community_louvain', 'community_leiden']), 'level'),
+a as (select 'correlation' as feature_class, f as feature, t as transform, w as "window", s as sparsifier, null as lag, null as knn, '{"feature":"' || f || '","feature_class":"correlation","sparsifier":"' || s || '","transform":"' || t || '","window":' || w || '}' as js from w, s, cf),
+l as (select unnest([1, 2, 3, 4, 5]) as lag), lf as (select unnest(['in_degree', 'out_degree', 'upstream']) as f),
+b as (select 'leadlag', f, null, null, null, lag, null, '{"feature":"' || f || '","feature_class":"leadlag","lag":' || lag || '}' from l, lf),
+k as (select unnest([5, 10, 20]) as knn), x as (select 'text', 'neighbour_return', null, null, null, null, knn, '{"feature":"neighbour_return","feature_class":"text","knn":' || knn || '}' from k),
+every as (select * from a union all select * from b union all select * from x)
+select substr(sha1(js), 1, 12) as config_id, feature_class, feature, transform, cast("window" as integer) as "window", sparsifier, cast(lag as integer) as lag, cast(knn as integer) as knn from every""",
     "q_grid_by_class": "select * from (values ('correlation', cast(90 as bigint), cast(90 as bigint)), ('leadlag', 15, 15), ('text', 3, 3)) t(feature_class, n, n_ids)",
     "q_earliest_disclosures": f"""with {_USABLE} select ticker, field, epoch_us(t) as available_date, round_even(value, 2) as value, epoch_us(period_end) as period_end from (
 select *, row_number() over (partition by ticker, field, period_end, round_even(value, 2) order by t, value) as k from good) where k = 1""",
