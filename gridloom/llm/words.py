@@ -21,9 +21,11 @@ _ASCII_GAP = r"[\x00-/:-`{-\x7f]+"
 
 def spread(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text) in at least as many partitions as the cluster has cores: a table of a few large files would
-    otherwise keep most of them idle. Tables with enough partitions, as large ones have, are left where they are."""
+    otherwise keep most of them idle. Tables with enough partitions, as large ones have, are left where they are, and so
+    are plans with an exchange of their own, whose partitions are known only once they have run."""
     cores = documents.sparkSession.sparkContext.defaultParallelism
-    if documents._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    plan = documents._jdf.queryExecution()
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec" or plan.toRdd().getNumPartitions() >= cores:
         return documents
     return documents.repartition(4 * cores)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import leakage, packing, repetition
 from gridloom.llm.fmindex import FMIndex, suffix_array
-from gridloom.llm.words import distinct_texts, encode, slices, words_of
+from gridloom.llm.words import distinct_texts, encode, slices, spread, words_of
 
 DOCS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -38,6 +38,15 @@ def test_copies_are_worked_on_once(rows):
     assert all(led[d] == pytest.approx(repeated_by_hand(t)[0] / max(1, len(words_of(t)))) for d, t in docs) and len(led) == len(docs)
 
 
+def test_few_partitions_are_spread(rows):
+    d = rows(DOCS, [(i, "a b") for i in range(50)])
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    assert spread(d.coalesce(1)).rdd.getNumPartitions() == 4 * cores
+    assert spread(d.repartition(3)) is not None and spread(d.coalesce(1)).count() == 50
+    wide = rows(DOCS, [(i, "a") for i in range(50)])
+    assert spread(wide) is wide if wide.rdd.getNumPartitions() >= cores else True
+
+
 def random_docs(rng, n=6, words=3, most=14):
     return [[rng.randrange(words) for _ in range(rng.randrange(most))] for _ in range(n)]
 
