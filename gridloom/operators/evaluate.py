@@ -102,7 +102,7 @@ def long_short(sided: DataFrame, forward: DataFrame) -> DataFrame:
     return out.where("ret is not null")
 
 
-def turnover(sided: DataFrame, days: DataFrame, sides: tuple[int, ...] = (1, -1)) -> DataFrame:
+def turnover(sided: DataFrame, sides: tuple[int, ...] = (1, -1)) -> DataFrame:
     """factor, day, turnover: per leg (entries + exits) / (2 x size) against the previous signal day, legs summed; the first day is left out."""
     legs = sided.where(F.col("side").isin(list(sides))).select("factor", "side", "day", "ticker")
     dates = sided.select(*DAY).distinct()

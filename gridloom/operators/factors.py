@@ -5,11 +5,11 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.moments import bias_corrected_skewness
-from gridloom.operators.panel import by_ticker, dollar_volume, guarded, lagged, log_positive, returns, trailing
+from gridloom.operators.panel import dollar_volume, guarded, lagged, log_positive, returns, trailing
 from gridloom.sources.catalog import Catalog
 
 KEYS = ["ticker", "pos", "day"]
@@ -146,10 +146,6 @@ for _f in (
     FACTORS.register(_f)
 
 
-def change(rows: DataFrame, k: int = 1) -> Column:
-    return F.col("value") - F.lag("value", k).over(by_ticker())
-
-
 def rolling_volatility(panel: DataFrame, window: int = 63) -> DataFrame:
     """Sample deviation of simple returns; at least max(2, window // 4) of them."""
     return volatility(returns(panel, "simple"), window, max(2, window // 4))

@@ -143,13 +143,13 @@ def long_short(spark: SparkSession, d: str) -> DataFrame:
 
 def bucket_turnover(spark: SparkSession, d: str) -> DataFrame:
     c = cat(spark, d)
-    return E.turnover(sided(c), c.days).select("factor", label(), rounded("turnover"))
+    return E.turnover(sided(c)).select("factor", label(), rounded("turnover"))
 
 
 def net_long_short(spark: SparkSession, d: str) -> DataFrame:
     c = cat(spark, d)
     s = sided(c)
-    return E.net_long_short(E.long_short(s, E.forward_returns(c.panel, (21,))), E.turnover(s, c.days)).select("factor", label(), rounded("ret"), rounded("net"))
+    return E.net_long_short(E.long_short(s, E.forward_returns(c.panel, (21,))), E.turnover(s)).select("factor", label(), rounded("ret"), rounded("net"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"q_{f.__name__}": f for f in (

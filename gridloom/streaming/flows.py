@@ -63,7 +63,7 @@ def sessions(events: DataFrame, time: str, keys: list[str], gap: str, delay: str
 
 
 def upsert_into(path: str, keys: list[str], order: str):
-    """foreachBatch sink: keep the row with the greatest ``order`` per keys in a parquet folder per batch; a batch id written before is skipped, so a retry changes nothing."""
+    """foreachBatch sink: keep the row with the greatest ``order`` per keys in one parquet folder per batch; a batch that is retried is written again in its place, so a retry changes nothing."""
     def save(df: DataFrame, batch: int) -> None:
         best = df.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in df.columns if c not in keys and c != order])).alias("r")).select(*keys, "r.*")
         best.write.mode("overwrite").parquet(f"{path}/batch={batch}")

@@ -100,7 +100,7 @@ def test_ranks_and_buckets(rows):
 
 def test_turnover_counts_entries_and_exits(rows):
     s = [("f", t, 0, d, side) for d, top, low in ((1, "ab", "cd"), (2, "ac", "bd"), (3, "ac", "bd")) for side, names in ((1, top), (-1, low)) for t in names]
-    t = {r["day"]: r["turnover"] for r in evaluate.turnover(rows("factor string, ticker string, pos int, day int, side int", s), None).collect()}
+    t = {r["day"]: r["turnover"] for r in evaluate.turnover(rows("factor string, ticker string, pos int, day int, side int", s)).collect()}
     assert t == {2: 1.0, 3: 0.0}
 
 
@@ -144,6 +144,7 @@ def test_networks_in_closed_form():
     label = N.communities(two)
     assert label.tolist() == [0] * 4 + [1] * 4 and N.cohesion(two, label)[0] == 1
     assert N.align_labels({"a": 0, "b": 0, "c": 1}, {"a": 1, "b": 1, "c": 0, "d": 2}) == {"a": 0, "b": 0, "c": 1, "d": 2}
+    assert list(graphs.iterate_labels([{"a": 0, "b": 1}, {"a": 5, "b": 3, "c": 3}])) == [{"a": 0, "b": 1}, {"a": 0, "b": 1, "c": 1}]
     with pytest.raises(ValueError):
         N.eigenvector(-star)
     assert not N.eigenvector(np.zeros((3, 3))).any() and N.betweenness(np.zeros((2, 2))).tolist() == [0, 0]
@@ -371,6 +372,9 @@ def test_other_sources(spark, rows, tmp_path):
     assert len(f) == 1 and f[0].asDict() == {"date": dt.date(2020, 1, 2), "mkt_rf": 0.01, "smb": None, "rf": 0.005}
     with pytest.raises(ValueError):
         filings.factor_file(rows("value string", [("x",)]))
+    (tmp_path / "facts").mkdir()
+    (tmp_path / "facts" / "AB.json").write_text('{"a":\n1}')
+    assert [tuple(r) for r in filings.json_files(spark, f"{tmp_path}/facts/*.json").collect()] == [("AB", '{"a":\n1}')]
     reports = json.dumps({"filings": {"recent": {"form": ["10-K", "8-K", "10-K"], "filingDate": ["2020-01-02", "2020-01-03", "2020-01-04"], "accessionNumber": ["1-2", "3", "4"], "primaryDocument": ["a.htm", "b", ""]}}})
     assert [tuple(r) for r in filings.annual_reports(rows("ticker string, json string", [("A", reports)])).collect()] == [("A", dt.date(2020, 1, 2), "12", "a.htm")]
     log = filings.change_log(rows("date string, added string, removed string", [("January 2, 2020", "b.c", "nan"), ("March 5, 2020", "None", None)]))
@@ -447,6 +451,8 @@ def test_grid_and_ledger(spark, tmp_path):
 
 def test_folds(rows):
     days = rows("day int, pos int", [(k, k) for k in range(20)])
+    a, b = backtest.split_days(days, 12)
+    assert (a.count(), b.count()) == (12, 8)
     f = backtest.walk_forward(days, 6, 3, 4).collect()
     by = {}
     for r in f:
@@ -471,6 +477,15 @@ def test_streams(spark, rows, tmp_path):
     iso = lambda k: str(dt.date(1970, 1, 1) + dt.timedelta(days=k))
     assert {(r["ticker"], r["kind"], iso(r["from_day"]), iso(r["to_day"])) for r in now.collect()} == {tuple(r) for r in continuous_periods(rows(schema, data)).collect()}
 
+    bars = "ticker string, close double, loaded_at timestamp"
+    at = dt.datetime(2024, 1, 1)
+    for part in ([("a", 1.0, at), ("a", 1.0, at)], [("a", 1.0, at), ("a", 2.0, at + dt.timedelta(days=1))]):
+        rows(bars, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/bars")
+    once = flows.once_per_bar(spark.readStream.schema(bars).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/bars"))
+    q = once.writeStream.foreachBatch(flows.upsert_into(f"{tmp_path}/kept", ["ticker"], "loaded_at")).option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r["close"] for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == [1.0, 2.0]
+
     events = rows("ts timestamp, user string, value double", [(dt.datetime(2024, 1, 1, 0, m), "u", 1.0) for m in (0, 1, 2, 20, 21)])
     events.write.parquet(f"{tmp_path}/ev")
     stream = lambda: spark.readStream.schema(events.schema).parquet(f"{tmp_path}/ev")
