@@ -118,7 +118,10 @@ def regression(target: np.ndarray, factors: np.ndarray, lags: int) -> dict:
     e = y - x @ coef
     se = np.sqrt(np.maximum(np.diag(hac_covariance(x, e, lags)), 0))
     total = ((y - y.mean()) ** 2).sum()
-    return {"n": n, "coef": coef, "se": se, "t": np.divide(coef, se, out=np.full(k + 1, np.nan), where=se > 0), "resid_var": float(e @ e / (n - k - 1)), "r2": float(1 - e @ e / total) if total > 0 else None}
+    return {
+        "n": n, "coef": coef, "se": se, "t": np.divide(coef, se, out=np.full(k + 1, np.nan), where=se > 0),
+        "resid_var": float(e @ e / (n - k - 1)), "r2": float(1 - e @ e / total) if total > 0 else None
+    }
 
 
 def squared_sharpe(factors: np.ndarray, ddof: int = 0) -> float:
@@ -136,7 +139,10 @@ def incremental_alpha(target: np.ndarray, factors: np.ndarray, lags: int = 20, p
     """Does target add to what factors span: alpha, HAC t and p, GRS F and p for one asset, appraisal ratio, gain in squared Sharpe, R squared."""
     r = regression(target, factors, lags)
     if r["coef"] is None:
-        return {"n": r["n"], "alpha": None, "alpha_ann": None, "t": None, "p": None, "grs": None, "grs_p": None, "appraisal": None, "theta_base": None, "theta_gain": None, "r2": None}
+        return {
+            "n": r["n"], "alpha": None, "alpha_ann": None, "t": None, "p": None, "grs": None, "grs_p": None, "appraisal": None,
+            "theta_base": None, "theta_gain": None, "r2": None
+        }
     ok = ~np.isnan(target) & ~np.isnan(factors).any(axis=1)
     f = factors[ok]
     n, k = f.shape

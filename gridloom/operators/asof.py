@@ -12,7 +12,10 @@ from gridloom.operators.sharding import carry_in, plan_shards
 KEYS = ["ticker", "field"]
 
 
-def asof_join(events: DataFrame, versions: DataFrame, keys: list[str], carry: list[str], min_rows: int = 50_000, fraction: float = 0.001, sizes: DataFrame | None = None) -> DataFrame:
+def asof_join(
+    events: DataFrame, versions: DataFrame, keys: list[str], carry: list[str], min_rows: int = 50_000, fraction: float = 0.001,
+    sizes: DataFrame | None = None
+) -> DataFrame:
     """Each event with the columns ``carry`` of its key's last version at or before it.
 
     events: keys, t (long) and any other columns; versions: keys, t, carry, one row per key and t. Keys that hold more
@@ -25,21 +28,35 @@ def asof_join(events: DataFrame, versions: DataFrame, keys: list[str], carry: li
     whole = F.lit(True)
     for k in [*keys, "t"]:
         whole &= F.col(k).isNotNull()
-    left = events.where(whole).select(*keys, "t", F.lit(1).alias("_side"), F.struct(*rest).alias("_event"), F.lit(None).cast(versions.select(F.struct("t", *carry).alias("s")).schema["s"].dataType).alias("_known"))
-    right = versions.select(*keys, "t", F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event"), F.struct("t", *carry).alias("_known"))
+    left = events.where(whole).select(
+        *keys, "t", F.lit(1).alias("_side"), F.struct(*rest).alias("_event"),
+        F.lit(None).cast(versions.select(F.struct("t", *carry).alias("s")).schema["s"].dataType).alias("_known")
+    )
+    right = versions.select(
+        *keys, "t", F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event"),
+        F.struct("t", *carry).alias("_known")
+    )
     sizes = left.select(*keys, "t").unionByName(right.select(*keys, "t")) if sizes is None else sizes
     plan = plan_shards(sizes, keys, "t", min_rows, fraction)
     both = plan.assign(left.unionByName(right), "t")
     if plan.hot is not None:
         hot = plan.assign(versions.join(F.broadcast(plan.hot.select(*keys)), keys, "left_semi"), "t")
         last = hot.groupBy(*keys, "shard").agg(F.max(F.struct("t", *carry)).alias("_known"))
-        carried = carry_in(last, keys, plan).select(*keys, F.lit(None).cast("long").alias("t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event"), "_known", "shard")
+        carried = carry_in(last, keys, plan).select(
+            *keys, F.lit(None).cast("long").alias("t"), F.lit(0).alias("_side"),
+            F.lit(None).cast(left.schema["_event"].dataType).alias("_event"), "_known", "shard"
+        )
         both = both.unionByName(carried)
     w = Window.partitionBy(*plan.groups).orderBy(F.col("t").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
     merged = both.withColumn("_known", F.last("_known", ignorenulls=True).over(w)).where("_side = 1")
-    out = merged.select(*keys, "t", *(F.col(f"_event.`{c}`").alias(c) for c in rest), F.col("_known.t").alias("known_t"), *(F.col(f"_known.`{c}`").alias(c) for c in carry))
+    out = merged.select(
+        *keys, "t", *(F.col(f"_event.`{c}`").alias(c) for c in rest), F.col("_known.t").alias("known_t"),
+        *(F.col(f"_known.`{c}`").alias(c) for c in carry)
+    )
     kinds = dict(out.dtypes)
-    unmatched = events.where(~F.coalesce(whole, F.lit(False))).select(*keys, "t", *rest, F.lit(None).cast("long").alias("known_t"), *(F.lit(None).cast(kinds[c]).alias(c) for c in carry))
+    unmatched = events.where(~F.coalesce(whole, F.lit(False))).select(
+        *keys, "t", *rest, F.lit(None).cast("long").alias("known_t"), *(F.lit(None).cast(kinds[c]).alias(c) for c in carry)
+    )
     return out.unionByName(unmatched)
 
 

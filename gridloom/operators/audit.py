@@ -51,7 +51,10 @@ def churn_check(spans: DataFrame, last_day: int, low: float = 0.05, high: float
 
 def total_return_check(index: DataFrame, low: float = 0.02, high: float = 0.20, least: int = 100) -> DataFrame:
     """n, annualised, passed of an index (day, adj)."""
-    a = index.where("adj is not null").agg(F.count(F.lit(1)).alias("n"), F.min_by("adj", "day").alias("_a"), F.max_by("adj", "day").alias("_b"), ((F.max("day") - F.min("day")) / 365.25).alias("_y"))
+    a = index.where("adj is not null").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("adj", "day").alias("_a"), F.max_by("adj", "day").alias("_b"),
+        ((F.max("day") - F.min("day")) / 365.25).alias("_y")
+    )
     year = F.when(F.col("_y") > 0, F.pow(F.try_divide("_b", "_a"), F.try_divide(F.lit(1.0), "_y")) - 1)
     return a.select("n", year.alias("annualised")).withColumn("passed", (F.col("n") >= least) & F.col("annualised").between(low, high))
 
@@ -60,8 +63,13 @@ def adjustment_check(panel: DataFrame, extreme: float = 0.4, most: float = 0.5)
     """n_extreme, n_unadjusted, n_tickers, share, passed: log returns beyond ``extreme``, and tickers whose adjusted and raw returns never differ."""
     both = returns(panel, "log", "adj").withColumnRenamed("ret", "_a")
     both = returns(both, "log", "close").withColumnRenamed("ret", "_c")
-    per = both.groupBy("ticker").agg(F.count(F.when(F.abs("_a") > extreme, 1)).alias("_x"), F.count(F.when(F.abs(F.col("_a") - F.col("_c")) > 1e-9, 1)).alias("_d"), F.count("_a").alias("_n"))
-    a = per.where("_n > 0").agg(F.sum("_x").alias("n_extreme"), F.count(F.when(F.col("_d") == 0, 1)).alias("n_unadjusted"), F.count(F.lit(1)).alias("n_tickers"))
+    per = both.groupBy("ticker").agg(
+        F.count(F.when(F.abs("_a") > extreme, 1)).alias("_x"), F.count(F.when(F.abs(F.col("_a") - F.col("_c")) > 1e-9, 1)).alias("_d"),
+        F.count("_a").alias("_n")
+    )
+    a = per.where("_n > 0").agg(
+        F.sum("_x").alias("n_extreme"), F.count(F.when(F.col("_d") == 0, 1)).alias("n_unadjusted"), F.count(F.lit(1)).alias("n_tickers")
+    )
     return a.withColumn("share", F.try_divide("n_unadjusted", "n_tickers")).withColumn("passed", F.col("share") < most)
 
 

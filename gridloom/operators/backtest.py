@@ -107,7 +107,10 @@ def renormalised(w: DataFrame, gross: float = 1.0) -> DataFrame:
     return w.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * gross, total), F.col("weight")))
 
 
-def constrained(w: DataFrame, most: float | None = None, sectors: DataFrame | None = None, sector_cap: float = 0.0, betas: DataFrame | None = None, gross: float = 1.0) -> DataFrame:
+def constrained(
+    w: DataFrame, most: float | None = None, sectors: DataFrame | None = None, sector_cap: float = 0.0, betas: DataFrame | None = None,
+    gross: float = 1.0
+) -> DataFrame:
     """Cap, dollar-neutral, sector-neutral, beta-neutral, then scale to gross."""
     w = capped(w, most) if most is not None else w
     w = dollar_neutral(w)
@@ -157,12 +160,16 @@ def simulate(targets: DataFrame, returns: DataFrame, days: DataFrame, exec_lag:
     real = targets.where("weight is not null").withColumn("_g", F.sum(F.abs("weight")).over(Window.partitionBy("pos"))).where("_g > 0").drop("_g")
     starts = real.select("pos").distinct().withColumn("start", F.col("pos") + 1 + exec_lag).withColumn("_next", F.lead("start").over(Window.orderBy("pos")))
     spans = starts.where(F.col("start") <= end).select("pos", "start", F.coalesce(F.col("_next") - 1, F.lit(end)).alias("stop"))  # at most one row a day
-    held = real.where("weight <> 0").join(F.broadcast(spans), "pos").select(F.col("start").alias("period"), "ticker", "weight", "stop", F.explode(F.sequence(F.col("start"), F.col("stop"))).alias("pos"))
+    held = real.where("weight <> 0").join(F.broadcast(spans), "pos").select(
+        F.col("start").alias("period"), "ticker", "weight", "stop", F.explode(F.sequence(F.col("start"), F.col("stop"))).alias("pos")
+    )
     rows = held.join(returns.select("ticker", "pos", "ret"), ["ticker", "pos"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
     w = Window.partitionBy("period", "ticker").orderBy("pos")
     rows = rows.withColumn("_g1", F.product(1 + F.col("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_g0", F.coalesce(F.lag("_g1").over(w), F.lit(1.0)))
-    wealth = rows.groupBy("period", "pos").agg((1 + F.sum(F.col("weight") * (F.col("_g1") - 1))).alias("_v1"), (1 + F.sum(F.col("weight") * (F.col("_g0") - 1))).alias("_v0"))
+    wealth = rows.groupBy("period", "pos").agg(
+        (1 + F.sum(F.col("weight") * (F.col("_g1") - 1))).alias("_v1"), (1 + F.sum(F.col("weight") * (F.col("_g0") - 1))).alias("_v0")
+    )
     both = checkpoint(rows.join(wealth, ["period", "pos"]))
     book = both.select("pos", "ticker", (F.col("weight") * F.col("_g0") / F.col("_v0")).alias("weight"))
     drifted = both.where("pos = stop").select((F.col("pos") + 1).alias("pos"), "ticker", (F.col("weight") * F.col("_g1") / F.col("_v1")).alias("_old"))
@@ -172,7 +179,9 @@ def simulate(targets: DataFrame, returns: DataFrame, days: DataFrame, exec_lag:
     trades = changes.select("pos", "ticker", (F.coalesce("_new", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))).alias("trade")).where("trade <> 0")
     moved = trades.groupBy("pos").agg(F.sum(F.abs("trade")).alias("turnover"))
     # rounded to 14 digits, so that a day on which nothing moves has return 0
-    daily = wealth.select("pos", (F.round(F.col("_v1") / F.col("_v0") - 1, 14) + 0.0).alias("ret")).join(moved, "pos", "left").join(days, "pos").select("pos", "day", "ret", F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
+    daily = wealth.select("pos", (F.round(F.col("_v1") / F.col("_v0") - 1, 14) + 0.0).alias("ret")).join(moved, "pos", "left").join(days, "pos").select(
+        "pos", "day", "ret", F.coalesce("turnover", F.lit(0.0)).alias("turnover")
+    )
     return Run(daily, book, trades)
 
 
@@ -207,16 +216,23 @@ def with_costs(run: Run, adv: DataFrame, model: CostModel) -> DataFrame:
     t = run.trades.join(adv.select("ticker", "pos", "adv"), ["ticker", "pos"], "left")
     size = F.abs("trade")
     impact = t.groupBy("pos").agg(F.sum(size * impact_cost(size * model.aum, F.col("adv"), model.impact)).alias("impact"))
-    borrow = run.book.groupBy("pos").agg((F.sum(F.when(F.col("weight") < 0, -F.col("weight")).otherwise(0.0)) * (model.borrow_bps * 1e-4 / model.per_year)).alias("borrow"))
+    borrow = run.book.groupBy("pos").agg(
+        (F.sum(F.when(F.col("weight") < 0, -F.col("weight")).otherwise(0.0)) * (model.borrow_bps * 1e-4 / model.per_year)).alias("borrow")
+    )
     d = run.daily.join(impact, "pos", "left").join(borrow, "pos", "left")
-    d = d.select("pos", "day", F.col("ret").alias("gross"), linear_cost(F.col("turnover"), model.spread_bps).alias("linear"), F.coalesce("impact", F.lit(0.0)).alias("impact"), F.coalesce("borrow", F.lit(0.0)).alias("borrow"))
+    d = d.select(
+        "pos", "day", F.col("ret").alias("gross"), linear_cost(F.col("turnover"), model.spread_bps).alias("linear"),
+        F.coalesce("impact", F.lit(0.0)).alias("impact"), F.coalesce("borrow", F.lit(0.0)).alias("borrow")
+    )
     return d.withColumn("net", F.col("gross") - F.col("linear") - F.col("impact") - F.col("borrow"))
 
 
 def sharpe_by_cost(run: Run, adv: DataFrame, grid: tuple[float, ...] = (0, 5, 10, 15, 20, 25), model: CostModel = CostModel()) -> DataFrame:  # noqa: B008
     """bps, net_sharpe: the one gross run priced at several spreads; only the linear term differs."""
     base = with_costs(run, adv, CostModel(0.0, model.impact, model.borrow_bps, model.aum, model.per_year)).join(run.daily.select("pos", "turnover"), "pos")
-    each = base.select(F.explode(F.array(*(F.lit(float(b)) for b in grid))).alias("bps"), "net", "turnover").withColumn("net", F.col("net") - F.col("turnover") * F.col("bps") * 1e-4)
+    each = base.select(
+        F.explode(F.array(*(F.lit(float(b)) for b in grid))).alias("bps"), "net", "turnover"
+    ).withColumn("net", F.col("net") - F.col("turnover") * F.col("bps") * 1e-4)
     return each.groupBy("bps").agg((F.try_divide(F.avg("net"), F.stddev_samp("net")) * model.per_year**0.5).alias("net_sharpe"))
 
 
@@ -235,5 +251,7 @@ def without_hard_shorts(w: DataFrame, flags: DataFrame) -> DataFrame:
 
 def capacity(book: DataFrame, adv: DataFrame, aum: float) -> DataFrame:
     """ticker, max_days, mean_days: position size in days of average dollar volume, over the days it is held; names without any left out."""
-    rows = book.join(adv.select("ticker", "pos", "adv"), ["ticker", "pos"]).withColumn("_x", F.try_divide(F.abs("weight") * aum, F.when(F.col("adv") > 0, F.col("adv")))).where("_x > 0")
+    rows = book.join(adv.select("ticker", "pos", "adv"), ["ticker", "pos"]).withColumn(
+        "_x", F.try_divide(F.abs("weight") * aum, F.when(F.col("adv") > 0, F.col("adv")))
+    ).where("_x > 0")
     return rows.groupBy("ticker").agg(F.max("_x").alias("max_days"), F.avg("_x").alias("mean_days"))

@@ -16,7 +16,10 @@ def valid_bars(prices: DataFrame, measures: dict[str, str]) -> DataFrame:
     repeated and superseded rows of a hot ticker cost nothing beyond their scan.
     """
     rows = pick(prices, {"date": "date", "ticker": "ticker", "loaded_at": "loaded_at", **measures}, optional={"loaded_at"})
-    rows = rows.select(symbol("ticker").alias("ticker"), day_number("date").alias("day"), F.col("loaded_at").cast("timestamp_ntz").alias("_at"), *(present(m).alias(m) for m in measures))
+    rows = rows.select(
+        symbol("ticker").alias("ticker"), day_number("date").alias("day"), F.col("loaded_at").cast("timestamp_ntz").alias("_at"),
+        *(present(m).alias(m) for m in measures)
+    )
     rows = rows.where("ticker is not null and day is not null")
     best = rows.groupBy("ticker", "day").agg(F.max(F.struct("_at", *measures)).alias("_r"))
     return best.select("ticker", "day", *(F.col(f"_r.{m}").alias(m) for m in measures))

@@ -50,7 +50,10 @@ def information(signal: DataFrame, forward: DataFrame, least: int = 30) -> DataF
     return out.where((F.col("n") >= least) & F.col("ic").isNotNull())
 
 
-def factor_information(catalog: Catalog, factors: list[Factor], horizons: tuple[int, ...] = (1, 5, 21), least: int = 30, restrict_universe: bool = True, days: DataFrame | None = None) -> DataFrame:
+def factor_information(
+    catalog: Catalog, factors: list[Factor], horizons: tuple[int, ...] = (1, 5, 21), least: int = 30, restrict_universe: bool = True,
+    days: DataFrame | None = None
+) -> DataFrame:
     signal = signals(catalog, factors, days)
     signal = restrict(signal, catalog.periods) if restrict_universe else signal
     return information(signal, forward_returns(catalog.panel, horizons), least)
@@ -112,7 +115,9 @@ def turnover(sided: DataFrame, sides: tuple[int, ...] = (1, -1)) -> DataFrame:
     entered = now.where("_prev is not null").select("factor", "side", F.col("day").alias("on"), "ticker", F.lit(1).alias("_in"))
     left = now.where("_next is not null").select("factor", "side", F.col("_next").alias("on"), "ticker", F.lit(1).alias("_was"))
     both = entered.join(left, ["factor", "side", "on", "ticker"], "full")
-    per = both.groupBy("factor", "side", "on").agg(F.sum(F.when(F.col("_in").isNull() | F.col("_was").isNull(), 1).otherwise(0)).alias("_moves"), F.count("_in").alias("_size"))
+    per = both.groupBy("factor", "side", "on").agg(
+        F.sum(F.when(F.col("_in").isNull() | F.col("_was").isNull(), 1).otherwise(0)).alias("_moves"), F.count("_in").alias("_size")
+    )
     each = per.select("factor", F.col("on").alias("day"), F.try_divide(F.col("_moves"), 2.0 * F.col("_size")).alias("_t"))
     return each.groupBy(*DAY).agg(F.sum(F.coalesce("_t", F.lit(0.0))).alias("turnover"))
 
@@ -128,12 +133,17 @@ def delayed(signal: DataFrame, lag: int = 1) -> DataFrame:
     return signal.withColumn("value", F.lag("value", lag).over(w)) if lag else signal
 
 
-def factor_long_short(catalog: Catalog, factors: list[Factor], n: int = 10, horizons: tuple[int, ...] = (21,), lag: int = 1, restrict_universe: bool = False) -> DataFrame:
+def factor_long_short(
+    catalog: Catalog, factors: list[Factor], n: int = 10, horizons: tuple[int, ...] = (21,), lag: int = 1, restrict_universe: bool = False
+) -> DataFrame:
     signal = delayed(signals(catalog, factors), lag)
     signal = restrict(signal, catalog.periods) if restrict_universe else signal
     return long_short(buckets(signal, n), forward_returns(catalog.panel, horizons))
 
 
-def information_decay(catalog: Catalog, factors: list[Factor], horizons: tuple[int, ...] = (1, 5, 10, 21, 42, 63), least: int = 30, restrict_universe: bool = True) -> DataFrame:
+def information_decay(
+    catalog: Catalog, factors: list[Factor], horizons: tuple[int, ...] = (1, 5, 10, 21, 42, 63), least: int = 30,
+    restrict_universe: bool = True
+) -> DataFrame:
     """factor, horizon, mean: mean rank correlation by horizon."""
     return factor_information(catalog, factors, horizons, least, restrict_universe).groupBy("factor", "horizon").agg(F.avg("ic").alias("mean"))

@@ -35,7 +35,9 @@ def rebalance_days(days: DataFrame, freq: str | int = "M", start: int | None = N
             raise ValueError("a schedule needs at least one day between dates")
         first = rows.agg(F.min("pos").alias("p")).first()["p"] or 0
         return rows.where((F.col("pos") - first) % int(freq) == 0).select("day", "pos")
-    return rows.groupBy(F.date_trunc(PERIODS[freq], F.date_from_unix_date("day").cast("timestamp")).alias("_g")).agg(F.max("day").alias("day"), F.max("pos").alias("pos")).select("day", "pos")
+    return rows.groupBy(
+        F.date_trunc(PERIODS[freq], F.date_from_unix_date("day").cast("timestamp")).alias("_g")
+    ).agg(F.max("day").alias("day"), F.max("pos").alias("pos")).select("day", "pos")
 
 
 def window_rows(returns: DataFrame, snapshots: DataFrame, window: int = 120, least: int | None = None, spans: DataFrame | None = None) -> DataFrame:
@@ -43,7 +45,10 @@ def window_rows(returns: DataFrame, snapshots: DataFrame, window: int = 120, lea
 
     Each return row goes to the snapshots that see it: (window / days between snapshots) copies, by an equi-join on calendar position.
     """
-    seen = snapshots.select(F.col("pos").alias("snap"), F.col("day").alias("snap_day"), F.explode(F.sequence(F.col("pos") - (window - 1), F.col("pos"))).alias("pos"))
+    seen = snapshots.select(
+        F.col("pos").alias("snap"), F.col("day").alias("snap_day"),
+        F.explode(F.sequence(F.col("pos") - (window - 1), F.col("pos"))).alias("pos")
+    )
     rows = returns.where("ret is not null").select("ticker", "pos", "ret").join(seen, "pos")
     rows = rows.select("snap", "snap_day", "ticker", (F.col("snap") - F.col("pos")).alias("back"), "ret")
     if spans is not None:
@@ -64,7 +69,12 @@ def snapshot_values(rows: DataFrame, function: SnapshotFunction, window: int = 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = {k: v for k, v in function(*matrix(pdf, window)).items() if v is not None and np.isfinite(v)}
-        return pd.DataFrame({"snap": np.full(len(found), pdf["snap"].iloc[0], np.int32), "ticker": np.array(list(found), object), "value": np.array(list(found.values()), float)})
+        return pd.DataFrame(
+            {
+                "snap": np.full(len(found), pdf["snap"].iloc[0], np.int32), "ticker": np.array(list(found), object),
+                "value": np.array(list(found.values()), float)
+            }
+        )
 
     return rows.groupBy("snap").applyInPandas(run, "snap int, ticker string, value double")
 
@@ -81,12 +91,18 @@ def hold_until_next(values: DataFrame, days: DataFrame) -> DataFrame:
 class GraphFactor(Factor):
     """A node statistic computed at each snapshot and held between them."""
 
-    def __init__(self, name: str, function: SnapshotFunction, window: int = 120, freq: str = "M", direction: int = 1, least: int | None = None, in_universe: bool = False) -> None:
+    def __init__(
+        self, name: str, function: SnapshotFunction, window: int = 120, freq: str = "M", direction: int = 1, least: int | None = None,
+        in_universe: bool = False
+    ) -> None:
         super().__init__(name, direction)
         self.function, self.window, self.freq, self.least, self.in_universe = function, window, freq, least, in_universe
 
     def snapshots(self, catalog: Catalog) -> DataFrame:
-        rows = window_rows(catalog.returns("log"), rebalance_days(catalog.days, self.freq), self.window, self.least, catalog.periods if self.in_universe else None)
+        rows = window_rows(
+            catalog.returns("log"), rebalance_days(catalog.days, self.freq), self.window, self.least,
+            catalog.periods if self.in_universe else None
+        )
         return snapshot_values(rows, self.function, self.window)
 
     def panel(self, catalog: Catalog) -> DataFrame:
@@ -99,7 +115,10 @@ class ChangeFactor(GraphFactor):
     def panel(self, catalog: Catalog) -> DataFrame:
         held = hold_until_next(self.snapshots(catalog), catalog.days)
         at = held.join(rebalance_days(catalog.days, self.freq).select("pos"), "pos", "left_semi")
-        diff = at.select("ticker", F.col("pos").alias("snap"), (F.col("value") - F.lag("value").over(Window.partitionBy("ticker").orderBy("pos"))).alias("value"))
+        diff = at.select(
+            "ticker", F.col("pos").alias("snap"),
+            (F.col("value") - F.lag("value").over(Window.partitionBy("ticker").orderBy("pos"))).alias("value")
+        )
         return hold_until_next(diff.where("value is not null"), catalog.days)
 
 
@@ -144,14 +163,19 @@ class VectorFactor(Factor):
     snapshots in between; a snapshot is one group, bounded by the universe.
     """
 
-    def __init__(self, name: str, store: DataFrame, k: int = 20, freq: str = "M", lookback: int = 21, least_similarity: float = 0.0, least_names: int = 10, direction: int = 1, in_universe: bool = False) -> None:
+    def __init__(
+        self, name: str, store: DataFrame, k: int = 20, freq: str = "M", lookback: int = 21, least_similarity: float = 0.0,
+        least_names: int = 10, direction: int = 1, in_universe: bool = False
+    ) -> None:
         super().__init__(name, direction)
         self.store, self.k, self.freq, self.lookback, self.least_similarity, self.least_names, self.in_universe = store, k, freq, lookback, least_similarity, least_names, in_universe
 
     def panel(self, catalog: Catalog) -> DataFrame:
         snaps = rebalance_days(catalog.days, self.freq)
         points = sorted((r["day"], r["pos"]) for r in snaps.collect())  # at most one a calendar day
-        at = F.array(*(F.struct(F.lit(d).alias("day"), F.lit(p).alias("snap")) for d, p in points)) if points else F.array().cast("array<struct<day:int,snap:int>>")
+        at = F.array(
+            *(F.struct(F.lit(d).alias("day"), F.lit(p).alias("snap")) for d, p in points)
+        ) if points else F.array().cast("array<struct<day:int,snap:int>>")
         filed = self.store.groupBy("ticker", F.unix_date(F.to_date("filing_date")).alias("from")).agg(F.max("vec").alias("vec"))
         filed = filed.withColumn("to", F.lead("from").over(Window.partitionBy("ticker").orderBy("from")))
         seen = filed.withColumn("at", F.explode(F.filter(at, lambda x: (x["day"] >= F.col("from")) & (F.col("to").isNull() | (x["day"] < F.col("to"))))))
@@ -179,7 +203,9 @@ class VectorFactor(Factor):
             ok = ~np.isnan(value)
             return pd.DataFrame({"snap": pdf["snap"].to_numpy(np.int32)[ok], "ticker": pdf["ticker"].to_numpy(object)[ok], "value": value[ok]})
 
-        values = known.select("snap", "ticker", "vec").join(recent, ["snap", "ticker"], "left").groupBy("snap").applyInPandas(run, "snap int, ticker string, value double")
+        values = known.select("snap", "ticker", "vec").join(recent, ["snap", "ticker"], "left").groupBy("snap").applyInPandas(
+            run, "snap int, ticker string, value double"
+        )
         return hold_until_next(values, catalog.days)
 
 
@@ -232,7 +258,10 @@ def node_table(rows: DataFrame, window: int = 120, least: float = 0.3, seed: int
             "clustering": N.clustering(N.threshold_graph(c, least)) if n else empty, "betweenness": N.betweenness(a) if n else empty, "community": label.astype(np.int64), "cohesion": N.cohesion(a, label) if n else empty,
         })
 
-    return rows.groupBy("snap").applyInPandas(run, "snap int, ticker string, degree double, eigenvector double, clustering double, betweenness double, community long, cohesion double")
+    return rows.groupBy("snap").applyInPandas(
+        run,
+        "snap int, ticker string, degree double, eigenvector double, clustering double, betweenness double, community long, cohesion double"
+    )
 
 
 def density_report(rows: DataFrame, window: int = 120, shuffles: int = 200, seed: int = 0, alpha: float = 0.1) -> DataFrame:
@@ -259,11 +288,16 @@ def density_report(rows: DataFrame, window: int = 120, shuffles: int = 200, seed
     each = copies.groupBy("snap", "block").applyInPandas(run, "snap int, rep int, n_names int, n_edges int, density double, autocorrelation double")
     actual = each.where("rep < 0").select("snap", "n_names", "n_edges", "density", "autocorrelation")
     null = each.where("rep >= 0").select("snap", F.col("density").alias("_d")).join(actual.select("snap", "density"), "snap")
-    stats = null.groupBy("snap").agg(F.avg("_d").alias("null_mean"), F.percentile("_d", F.lit(0.95)).alias("null_q95"), F.avg((F.col("_d") >= F.col("density")).cast("double")).alias("p_value"))
+    stats = null.groupBy("snap").agg(
+        F.avg("_d").alias("null_mean"), F.percentile("_d", F.lit(0.95)).alias("null_q95"),
+        F.avg((F.col("_d") >= F.col("density")).cast("double")).alias("p_value")
+    )
     return actual.join(stats, "snap")
 
 
-def neutralised(values: DataFrame, controls: dict[str, DataFrame] | None = None, sectors: DataFrame | None = None, rank: bool = True, least: int = 10) -> DataFrame:
+def neutralised(
+    values: DataFrame, controls: dict[str, DataFrame] | None = None, sectors: DataFrame | None = None, rank: bool = True, least: int = 10
+) -> DataFrame:
     """day, ticker, value: per day the residual of (ranked) values on (ranked) controls and sector dummies.
 
     Names without a control or sector are left out; days with fewer than ``least`` names give nothing. With sectors only,
@@ -309,7 +343,12 @@ def cluster_sector_table(nodes: DataFrame, sectors: DataFrame) -> tuple[DataFram
     j = a.join(b, "snap").join(c, "snap")
     expected = F.try_divide(F.col("_rows") * F.col("_cols"), F.col("n") * (F.col("n") - 1) / 2.0)
     most = (F.col("_rows") + F.col("_cols")) / 2
-    return cells, j.select("snap", "n", F.when(most == F.coalesce(expected, F.lit(0.0)), 1.0).otherwise((F.col("_p") - F.coalesce(expected, F.lit(0.0))) / (most - F.coalesce(expected, F.lit(0.0)))).alias("adjusted_rand"))
+    return cells, j.select(
+        "snap", "n",
+        F.when(most == F.coalesce(expected, F.lit(0.0)), 1.0).otherwise(
+            (F.col("_p") - F.coalesce(expected, F.lit(0.0))) / (most - F.coalesce(expected, F.lit(0.0)))
+        ).alias("adjusted_rand")
+    )
 
 
 def iterate_labels(tables: Iterator[dict[str, int]]) -> Iterator[dict[str, int]]:

@@ -12,7 +12,9 @@ from gridloom.operators.sharding import plan_shards
 KEYS = ["ticker", "field"]
 
 
-def validity_intervals(readings: DataFrame, keys: list[str] = KEYS, min_rows: int = 50_000, fraction: float = 0.001, sizes: DataFrame | None = None) -> DataFrame:
+def validity_intervals(
+    readings: DataFrame, keys: list[str] = KEYS, min_rows: int = 50_000, fraction: float = 0.001, sizes: DataFrame | None = None
+) -> DataFrame:
     """Step function of each key: keys, t, until (NULL: open), value.
 
     ``readings`` has one row per key and instant ``t``. A reading holds until the key's next one. Hot keys are cut into

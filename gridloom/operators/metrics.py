@@ -47,7 +47,9 @@ def monthly_returns(returns: DataFrame) -> DataFrame:
     have = returns.groupBy("series", F.trunc(day, "month").alias("m")).agg((F.product(1 + F.coalesce("ret", F.lit(0.0))) - 1).alias("ret"))
     life = have.groupBy("series").agg(F.min("m").alias("_a"), F.max("m").alias("_b"))
     span = life.select("series", F.explode(F.sequence("_a", "_b", F.expr("interval 1 month"))).alias("m"))
-    return span.join(have, ["series", "m"], "left").select("series", F.year("m").alias("year"), F.month("m").alias("month"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    return span.join(have, ["series", "m"], "left").select(
+        "series", F.year("m").alias("year"), F.month("m").alias("month"), F.coalesce("ret", F.lit(0.0)).alias("ret")
+    )
 
 
 def month_table(monthly: DataFrame) -> DataFrame:

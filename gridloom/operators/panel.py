@@ -128,12 +128,16 @@ def facts_on_calendar(panel: DataFrame, facts: DataFrame, field: str, exact_days
     from gridloom.operators.readings import usable
 
     own = usable(facts, [field]).withColumn("day", day_of("t"))
-    daily = own.groupBy("ticker", "day").agg(F.max(F.struct("t", "period_end", "fact_id", "value")).alias("_r")).select("ticker", "day", F.col("_r.value").alias("_v"))
+    daily = own.groupBy("ticker", "day").agg(
+        F.max(F.struct("t", "period_end", "fact_id", "value")).alias("_r")
+    ).select("ticker", "day", F.col("_r.value").alias("_v"))
     if exact_days:
         joined = panel.join(daily, ["ticker", "day"], "left")
         return joined.withColumn("known", F.last("_v", ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))).drop("_v")
     w = Window.partitionBy("ticker").orderBy("day", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = panel.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast("double")).unionByName(daily.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    both = panel.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast("double")).unionByName(
+        daily.withColumn("_side", F.lit(0)), allowMissingColumns=True
+    )
     return both.withColumn("known", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
 
 

@@ -54,7 +54,10 @@ def tiled(prices: DataFrame, windows: tuple[int, ...], tile: int) -> DataFrame:
     flow = F.when((F.col("close") > 0) & (F.col("volume") > 0), F.col("close") * F.col("volume")).otherwise(0.0)
     own = F.floor(F.col("day") / tile).cast("int")
     in_halo = F.pmod("day", F.lit(tile)) >= tile - halo
-    rows = bars.select("ticker", F.explode(F.when(in_halo, F.array(own, own + 1)).otherwise(F.array(own))).alias("tile"), "day", flow.alias("flow"), F.col("adj").alias("price"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    rows = bars.select(
+        "ticker", F.explode(F.when(in_halo, F.array(own, own + 1)).otherwise(F.array(own))).alias("tile"), "day", flow.alias("flow"),
+        F.col("adj").alias("price"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
+    )
     marks = spans(prices).select(
         "ticker", F.explode(F.sequence(F.floor(F.col("first") / tile).cast("int"), F.floor(F.col("last") / tile).cast("int"))).alias("tile"),
         F.lit(None).cast("int").alias("day"), F.lit(None).cast("double").alias("flow"), F.lit(None).cast("double").alias("price"), "first", "last",
@@ -62,7 +65,9 @@ def tiled(prices: DataFrame, windows: tuple[int, ...], tile: int) -> DataFrame:
     return rows.unionByName(marks).repartition("ticker", "tile").sortWithinPartitions("ticker", "tile", F.col("day").asc_nulls_first())
 
 
-def dense_blocks(batches: Iterator[pa.RecordBatch], tile: int, halo: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def dense_blocks(batches: Iterator[pa.RecordBatch], tile: int, halo: int) -> Iterator[
+    tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+]:
     """Blocks of up to BLOCK_TILES tiles: tickers, first day of the tile, first and last day of the ticker, flow and price matrices (price NaN where missing)."""
     for table, starts in whole_groups(batches, ["ticker", "tile"]):
         lengths = np.diff(np.append(starts, table.num_rows))
@@ -110,13 +115,19 @@ def trailing_totals(prices: DataFrame, windows: tuple[int, int] = (7, 30), tile:
             if not keep.any():
                 continue
             row = np.nonzero(keep)[0]
-            out = {"ticker": names.take(pa.array(row)), "day": pa.array(days[keep].astype(np.int32)), "n_day": pa.array((days - first[:, None] + 1)[keep].astype(np.int32))}
+            out = {
+                "ticker": names.take(pa.array(row)), "day": pa.array(days[keep].astype(np.int32)),
+                "n_day": pa.array((days - first[:, None] + 1)[keep].astype(np.int32))
+            }
             has = ~np.isnan(price)
             for w in windows:
                 f = window_sums(flow, tile, halo, w)[keep]
                 s = window_sums(np.where(has, price, 0.0), tile, halo, w)[keep]
                 n = np.rint(window_sums(has.astype(np.float64), tile, halo, w)[keep]).astype(np.int32)
-                out |= {f"flow_sum_{w}": pa.array(f), f"flow_avg_{w}": pa.array(f / w), f"price_sum_{w}": pa.array(s), f"price_n_{w}": pa.array(n), f"price_avg_{w}": pa.array(s / np.maximum(n, 1), mask=n == 0)}
+                out |= {
+                    f"flow_sum_{w}": pa.array(f), f"flow_avg_{w}": pa.array(f / w), f"price_sum_{w}": pa.array(s),
+                    f"price_n_{w}": pa.array(n), f"price_avg_{w}": pa.array(s / np.maximum(n, 1), mask=n == 0)
+                }
             yield pa.RecordBatch.from_pydict(out)
 
     return tiled(prices, windows, tile).mapInArrow(run, f"ticker string, day int, n_day int, {kinds}")
@@ -134,7 +145,12 @@ def turnover_shifts(prices: DataFrame, short: int = 7, long: int = 30, surge: fl
             b = window_sums(flow, tile, halo, long) / long
             for kind, hit in (("surge", keep & (a > surge * b)), ("dry", keep & (a < dry * b))):
                 if hit.any():
-                    yield pa.RecordBatch.from_pydict({"ticker": names.take(pa.array(np.nonzero(hit)[0])), "day": pa.array(days[hit].astype(np.int32)), "kind": pa.array([kind] * int(hit.sum()), pa.string())})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "ticker": names.take(pa.array(np.nonzero(hit)[0])), "day": pa.array(days[hit].astype(np.int32)),
+                            "kind": pa.array([kind] * int(hit.sum()), pa.string())
+                        }
+                    )
 
     found = tiled(prices, (short, long), tile).mapInArrow(run, "ticker string, day int, kind string")
     return found.select("ticker", day_label(F.col("day")).alias("obs_day"), "kind")

@@ -116,7 +116,13 @@ def implausible(prices: DataFrame, times: float = 10.0, longest: int = 3, stuck:
                 hit = np.flatnonzero(bits)
                 if len(hit):
                     rows = pa.array(hit)
-                    yield pa.RecordBatch.from_pydict({"ticker": table.column("ticker").combine_chunks().take(rows), "day": table.column("day").combine_chunks().take(rows), "measure": pa.array([old] * len(hit), pa.string()), "value": pa.array(x[hit]), "reasons": pa.array(bits[hit].astype(np.int32))})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "ticker": table.column("ticker").combine_chunks().take(rows),
+                            "day": table.column("day").combine_chunks().take(rows), "measure": pa.array([old] * len(hit), pa.string()),
+                            "value": pa.array(x[hit]), "reasons": pa.array(bits[hit].astype(np.int32))
+                        }
+                    )
 
     rows = valid_bars(prices, MEASURES).repartition("ticker").sortWithinPartitions("ticker", "day")
     flagged = rows.mapInArrow(run, "ticker string, day int, measure string, value double, reasons int")

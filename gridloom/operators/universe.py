@@ -80,7 +80,9 @@ def _walk(events: Column, log_end: Column, is_open: Column, exit_day: Column) ->
     def step(s: Column, e: Column) -> Column:
         adding = e["kind"] == "added"
         start = F.coalesce(s["open"], s["gone"])
-        closed = F.when(start < e["day"], F.concat(s["done"], F.array(F.struct(start.alias("start"), e["day"].alias("end"))))).when(start.isNull(), F.concat(s["done"], F.array(F.struct(nothing.alias("start"), e["day"].alias("end"))))).otherwise(s["done"])
+        closed = F.when(
+            start < e["day"], F.concat(s["done"], F.array(F.struct(start.alias("start"), e["day"].alias("end"))))
+        ).when(start.isNull(), F.concat(s["done"], F.array(F.struct(nothing.alias("start"), e["day"].alias("end"))))).otherwise(s["done"])
         return F.struct(
             F.when(adding, F.coalesce(s["open"], e["day"])).alias("open"),  # a second addition changes nothing
             F.when(adding, s["gone"]).otherwise(e["day"]).alias("gone"),
@@ -104,29 +106,45 @@ def intervals_from_changes(changes: DataFrame, current: DataFrame, renames: dict
     one is given, else where the log ends; an interval without length is dropped. Starts that are unknown sort first.
     """
     log = resolve_renames(events_of(changes), renames or {}).select(F.col("resolved").alias("ticker"), "day", "kind").distinct()
-    now = pick(current, {"ticker": "ticker", "added": "date_added"}, optional={"added"}).select(symbol("ticker").alias("ticker"), day_number(F.to_date("added")).alias("added"))
-    now = resolve_renames(now.where("ticker is not null"), renames or {}).groupBy(F.col("resolved").alias("ticker")).agg(F.max("added").alias("added")).withColumn("current", F.lit(True))
+    now = pick(current, {"ticker": "ticker", "added": "date_added"}, optional={"added"}).select(
+        symbol("ticker").alias("ticker"), day_number(F.to_date("added")).alias("added")
+    )
+    now = resolve_renames(
+        now.where("ticker is not null"), renames or {}
+    ).groupBy(F.col("resolved").alias("ticker")).agg(F.max("added").alias("added")).withColumn("current", F.lit(True))
     end = log.agg(F.max("day").alias("e")).first()["e"]
-    by = log.groupBy("ticker").agg(F.sort_array(F.collect_set(F.struct("day", F.when(F.col("kind") == "removed", 0).otherwise(1).alias("order"), "kind"))).alias("events"))
+    by = log.groupBy("ticker").agg(
+        F.sort_array(F.collect_set(F.struct("day", F.when(F.col("kind") == "removed", 0).otherwise(1).alias("order"), "kind"))).alias("events")
+    )
     all_ = by.join(now, "ticker", "full")
     events = F.coalesce("events", F.array().cast("array<struct<day:int,order:int,kind:string>>"))
     is_open = F.coalesce("current", F.lit(False))
     depth = depth_after(F.transform(events, lambda e: e["kind"]))
     last_removal = F.array_max(F.transform(F.filter(events, lambda e: e["kind"] == "removed"), lambda e: e["day"]))
-    seed = F.array(F.struct(F.coalesce(last_removal, F.col("added"), F.unix_date(F.lit(UNKNOWN_START).cast("date"))).alias("day"), F.lit(1).alias("order"), F.lit("added").alias("kind")))
+    seed = F.array(
+        F.struct(
+            F.coalesce(last_removal, F.col("added"), F.unix_date(F.lit(UNKNOWN_START).cast("date"))).alias("day"), F.lit(1).alias("order"),
+            F.lit("added").alias("kind")
+        )
+    )
     seeded = F.when(is_open & (depth == 0), F.sort_array(F.concat(events, seed))).otherwise(events)
     exit_pairs = [x for k, v in sorted((exits or {}).items()) for x in (F.lit(k), F.lit(v).cast("date"))]
     exit_day = F.unix_date(F.create_map(*exit_pairs)[F.col("ticker")]) if exit_pairs else F.lit(None).cast("int")
     rows = all_.select("ticker", F.inline(_walk(seeded, F.lit(end).cast("int"), is_open, exit_day)))
     unknown = F.unix_date(F.lit(UNKNOWN_START).cast("date"))
-    return rows.select("ticker", F.date_from_unix_date(F.when(F.col("start") != unknown, F.col("start"))).alias("start_date"), F.date_from_unix_date("end").alias("end_date"))
+    return rows.select(
+        "ticker", F.date_from_unix_date(F.when(F.col("start") != unknown, F.col("start"))).alias("start_date"),
+        F.date_from_unix_date("end").alias("end_date")
+    )
 
 
 def members_by_replay(current: DataFrame, changes: DataFrame, day: str) -> DataFrame:
     """Members on a past day by undoing later changes: per ticker the earliest event after the day decides ('removed' first within a day)."""
     d = F.unix_date(F.lit(day).cast("date"))
     now = pick(current, {"ticker": "ticker"}).select(symbol("ticker").alias("ticker")).where("ticker is not null").distinct()
-    first = events_of(changes).where(F.col("day") > d).groupBy("ticker").agg(F.min(F.struct("day", F.when(F.col("kind") == "removed", 0).otherwise(1).alias("o"))).alias("_e")).select("ticker", F.col("_e.o").alias("o"))
+    first = events_of(changes).where(F.col("day") > d).groupBy("ticker").agg(
+        F.min(F.struct("day", F.when(F.col("kind") == "removed", 0).otherwise(1).alias("o"))).alias("_e")
+    ).select("ticker", F.col("_e.o").alias("o"))
     back = first.where("o = 0").select("ticker")
     return now.join(first.where("o = 1"), "ticker", "left_anti").union(back).distinct()
 
@@ -140,6 +158,11 @@ def validate(membership: DataFrame, current: DataFrame, low: int, high: int, day
     differ = open_set.subtract(now).union(now.subtract(open_set)).agg(F.lit("open_set_is_current").alias("check"), F.count(F.lit(1)).alias("failures"))
     out = bad.union(differ)
     for d in days:
-        out = out.union(members_on(membership, d).agg(F.lit(f"size_{d}").alias("check"), F.when(F.count(F.lit(1)).between(low, high), 0).otherwise(1).cast("long").alias("failures")))
+        out = out.union(
+            members_on(membership, d).agg(
+                F.lit(f"size_{d}").alias("check"),
+                F.when(F.count(F.lit(1)).between(low, high), 0).otherwise(1).cast("long").alias("failures")
+            )
+        )
     return out
 

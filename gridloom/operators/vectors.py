@@ -65,7 +65,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, least: float =
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(best_id[i, j]), pa.array(best_sim[i, j])], names=["src", "dst", "similarity"])
 
-        whole = vectors.where((F.size("vec") == width) & F.col("id").isNotNull() & ~F.exists("vec", lambda v: v.isNull())).select("id", F.col("vec").cast("array<double>").alias("vec"))
+        whole = vectors.where(
+            (F.size("vec") == width) & F.col("id").isNotNull() & ~F.exists("vec", lambda v: v.isNull())
+        ).select("id", F.col("vec").cast("array<double>").alias("vec"))
         found = whole.mapInArrow(run, "src long, dst long, similarity double")
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -95,7 +97,10 @@ def coverage(store: DataFrame, members: DataFrame) -> DataFrame:
     return a.withColumn("coverage", F.try_divide("n_covered", "n_universe"))
 
 
-def embedded(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], id_columns: tuple[str, ...] = ("ticker", "filing_date"), text: str = "text") -> DataFrame:
+def embedded(
+    texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], id_columns: tuple[str, ...] = ("ticker", "filing_date"),
+    text: str = "text"
+) -> DataFrame:
     """id columns and ``vec`` of texts. ``encoder()`` is called once per task and gives a function from a batch of texts to a matrix, so a model is loaded once.
 
     NULL texts count as empty; the encoder gets whole texts.

@@ -76,5 +76,13 @@ def filled_cells(facts: DataFrame, types: DataFrame) -> DataFrame:
     if not attributes:
         return facts.sparkSession.createDataFrame([], "ticker string, field string, fact_id long")
     rows = attribute_arrays(facts, attributes)
-    cells = F.array(*(F.struct(F.lit(f).alias("field"), F.col("cells")[i]["fact_id"].alias("fact_id"), typed(F.col("cells")[i]["value"], kind).isNotNull().alias("filled")) for i, (f, kind) in enumerate(attributes)))
+    cells = F.array(
+        *(
+            F.struct(
+                F.lit(f).alias("field"), F.col("cells")[i]["fact_id"].alias("fact_id"),
+                typed(F.col("cells")[i]["value"], kind).isNotNull().alias("filled")
+            ) for i,
+            (f, kind) in enumerate(attributes)
+        )
+    )
     return rows.select("ticker", F.inline(cells)).where("filled").drop("filled")

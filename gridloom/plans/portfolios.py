@@ -135,7 +135,10 @@ def holding_periods(spark: SparkSession, d: str) -> DataFrame:
     for n in (1, 5, 21):
         s = whole.join(G.rebalance_days(c.days, n).select("pos"), "pos", "left_semi")
         r = B.simulate(B.weights(s, "equal", BUCKETS), c.returns("simple", pad_gaps=True), c.days).daily
-        one = r.agg(F.lit(n).alias("held"), F.count(F.lit(1)).alias("n_days"), F.round(F.avg("ret"), 8).alias("mean_ret"), F.round(F.avg("turnover"), 8).alias("mean_turnover"))
+        one = r.agg(
+            F.lit(n).alias("held"), F.count(F.lit(1)).alias("n_days"), F.round(F.avg("ret"), 8).alias("mean_ret"),
+            F.round(F.avg("turnover"), 8).alias("mean_turnover")
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -180,7 +183,9 @@ def windows(c: Catalog, least: int | None = None) -> DataFrame:
 
 def graph_windows(spark: SparkSession, d: str) -> DataFrame:
     """Names and returns of each month's trailing window (those with at least 100 of 120 returns)."""
-    return windows(cat(spark, d), 100).groupBy("snap").agg(F.countDistinct("ticker").alias("n_names"), F.count("ret").alias("n_returns"), F.round(F.sum("ret"), 6).alias("sum_ret"))
+    return windows(cat(spark, d), 100).groupBy("snap").agg(
+        F.countDistinct("ticker").alias("n_names"), F.count("ret").alias("n_returns"), F.round(F.sum("ret"), 6).alias("sum_ret")
+    )
 
 
 def graph_mst(spark: SparkSession, d: str) -> DataFrame:
@@ -311,10 +316,19 @@ c as (select s.snap, s.i, s.j, least(1, greatest(-1, (1 - d) * s / sqrt(a.v * b.
 
 def _tree() -> str:
     """Spanning trees: the edges that no path of shorter ones goes around. Four squarings of the minimax matrix reach paths of 16 edges, more than the given tables' snapshots have."""
-    steps = ["dist as (select snap, i, j, rho, sqrt(greatest(2 * (1 - rho), 0)) as d from c), b0 as (select snap, i, j, d from dist union all select snap, j, i, d from dist)"]
+    steps = [
+        "dist as (select snap, i, j, rho, sqrt(greatest(2 * (1 - rho), 0)) as d from c), b0 as (select snap, i, j, d from dist union all select snap, j, i, d from dist)"
+    ]
     for k in range(4):
-        steps.append(f"b{k + 1} as (select snap, i, j, min(d) as d from (select * from b{k} union all select a.snap, a.i, b.j, greatest(a.d, b.d) from b{k} a join b{k} b on a.snap = b.snap and a.j = b.i and a.i <> b.j) group by 1, 2, 3)")
-    return ", ".join([*steps, "tree as (select t.snap, t.i, t.j, greatest(abs(rho), 1e-12) as weight from dist t join b4 on t.snap = b4.snap and t.i = b4.i and t.j = b4.j where t.d <= b4.d)"])
+        steps.append(
+            f"b{k + 1} as (select snap, i, j, min(d) as d from (select * from b{k} union all select a.snap, a.i, b.j, greatest(a.d, b.d) from b{k} a join b{k} b on a.snap = b.snap and a.j = b.i and a.i <> b.j) group by 1, 2, 3)"
+        )
+    return ", ".join(
+        [
+            *steps,
+            "tree as (select t.snap, t.i, t.j, greatest(abs(rho), 1e-12) as weight from dist t join b4 on t.snap = b4.snap and t.i = b4.i and t.j = b4.j where t.d <= b4.d)"
+        ]
+    )
 
 
 _TREE = _tree()

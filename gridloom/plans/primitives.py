@@ -21,14 +21,21 @@ DAY_A, DAY_B = "2014-06-30", "2018-06-15"
 def shifts(spark: SparkSession, d: str) -> DataFrame:
     """Value one row earlier and later, and the difference."""
     p = cat(spark, d).panel
-    out = p.select("ticker", label(), P.lagged("adj", 1).alias("earlier"), P.lagged("adj", -1).alias("later"), F.round(F.col("adj") - P.lagged("adj", 1), 6).alias("diff"))
+    out = p.select(
+        "ticker", label(), P.lagged("adj", 1).alias("earlier"), P.lagged("adj", -1).alias("later"),
+        F.round(F.col("adj") - P.lagged("adj", 1), 6).alias("diff")
+    )
     return out.where("earlier is not null and later is not null and diff is not null")
 
 
 def rolling_moments(spark: SparkSession, d: str) -> DataFrame:
     """Mean, deviation, variance and covariance with volume change over 30 rows, at least 20 present."""
     r = cat(spark, d).returns("log").withColumn("lv", P.log_positive("volume"))
-    out = r.select("ticker", label(), P.guarded(F.avg("ret"), "ret", 30, 20).alias("mean"), P.guarded(F.stddev_samp("ret"), "ret", 30, 20).alias("sd"), P.guarded(F.var_samp("ret"), "ret", 30, 20).alias("var"), P.guarded(F.covar_samp("ret", "lv"), F.when(F.col("lv").isNotNull(), F.col("ret")), 30, 20).alias("cov"))
+    out = r.select(
+        "ticker", label(), P.guarded(F.avg("ret"), "ret", 30, 20).alias("mean"), P.guarded(F.stddev_samp("ret"), "ret", 30, 20).alias("sd"),
+        P.guarded(F.var_samp("ret"), "ret", 30, 20).alias("var"),
+        P.guarded(F.covar_samp("ret", "lv"), F.when(F.col("lv").isNotNull(), F.col("ret")), 30, 20).alias("cov")
+    )
     return out.where("mean is not null").select("ticker", "obs_day", *(rounded(c, 7) for c in ("mean", "sd", "var", "cov")))
 
 
@@ -50,14 +57,19 @@ def quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Quartiles of usable values per field, interpolated."""
     from gridloom.operators.readings import usable
 
-    q = usable(table(spark, d, "fundamentals")).select("ticker", "field", "t", "value", "period_end", "fact_id").distinct().groupBy("field").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = usable(table(spark, d, "fundamentals")).select("ticker", "field", "t", "value", "period_end", "fact_id").distinct().groupBy("field").agg(
+        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+    )
     return q.select("field", *(F.round(F.col("q")[i], 4).alias(f"q{n}") for i, n in enumerate((25, 50, 75))))
 
 
 def moments(spark: SparkSession, d: str) -> DataFrame:
     """Bias-corrected skewness and kurtosis of returns per ticker."""
     g = cat(spark, d).returns("log").groupBy("ticker").agg(F.count("ret").alias("n"), F.skewness("ret").alias("a"), F.kurtosis("ret").alias("b"))
-    return g.where("n > 3").select("ticker", "n", F.round(bias_corrected_skewness(F.col("a"), F.col("n")), 6).alias("skew"), F.round(bias_corrected_kurtosis(F.col("b"), F.col("n")), 5).alias("kurtosis"))
+    return g.where("n > 3").select(
+        "ticker", "n", F.round(bias_corrected_skewness(F.col("a"), F.col("n")), 6).alias("skew"),
+        F.round(bias_corrected_kurtosis(F.col("b"), F.col("n")), 5).alias("kurtosis")
+    )
 
 
 def correlation(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +84,9 @@ def gram_sums(spark: SparkSession, d: str) -> DataFrame:
     c = cat(spark, d)
     j = c.returns("log").join(F.broadcast(c.market), "day").where("ret is not null and market is not null")
     x, y = F.col("market"), F.col("ret")
-    return j.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.sum(v), 7).alias(a) for v, a in ((x, "sx"), (x * x, "sxx"), (y, "sy"), (x * y, "sxy"))))
+    return j.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n"), *(F.round(F.sum(v), 7).alias(a) for v, a in ((x, "sx"), (x * x, "sxx"), (y, "sy"), (x * y, "sxy")))
+    )
 
 
 def last_of_month(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +111,9 @@ def sector_by_state(spark: SparkSession, d: str) -> DataFrame:
     """Contingency of sector and membership on a day (crosstab)."""
     c = cat(spark, d)
     now = U.members_on(c.table("membership"), DAY_B).withColumn("member", F.lit(1))
-    return c.sectors.join(now, "ticker", "left").groupBy("sector").agg(F.count("member").alias("members"), F.count(F.when(F.col("member").isNull(), 1)).alias("others"))
+    return c.sectors.join(now, "ticker", "left").groupBy("sector").agg(
+        F.count("member").alias("members"), F.count(F.when(F.col("member").isNull(), 1)).alias("others")
+    )
 
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +154,10 @@ def without_listing(spark: SparkSession, d: str) -> DataFrame:
 def clipped(spark: SparkSession, d: str) -> DataFrame:
     """Returns clipped at 5 %, missing ones as 0, prices filled forward."""
     r = cat(spark, d).returns("log")
-    return r.select("ticker", label(), F.round(F.greatest(F.least(F.coalesce("ret", F.lit(0.0)), F.lit(0.05)), F.lit(-0.05)), 8).alias("ret"), P.forward_fill(r, "adj").alias("filled"))
+    return r.select(
+        "ticker", label(), F.round(F.greatest(F.least(F.coalesce("ret", F.lit(0.0)), F.lit(0.05)), F.lit(-0.05)), 8).alias("ret"),
+        P.forward_fill(r, "adj").alias("filled")
+    )
 
 
 def json_digests(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +169,9 @@ def json_digests(spark: SparkSession, d: str) -> DataFrame:
 def text_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Documents by source and language: texts, blank ones, characters; NULL groups kept."""
     t = table(spark, d, "documents")
-    return t.groupBy("source", "lang").agg(F.count("text").alias("texts"), F.count(F.when(F.trim("text") == "", 1)).alias("blank"), F.sum("n_chars").alias("chars"))
+    return t.groupBy("source", "lang").agg(
+        F.count("text").alias("texts"), F.count(F.when(F.trim("text") == "", 1)).alias("blank"), F.sum("n_chars").alias("chars")
+    )
 
 
 def cubed(spark: SparkSession, d: str) -> DataFrame:

@@ -27,7 +27,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_grid(spark: SparkSession, d: str) -> DataFrame:
     cells = to_quarters(table(spark, d, "fundamentals"))
     ratio = F.round(F.try_divide(F.col("time_weighted"), F.col("filled_value")), 6) + 0.0
-    return cells.select("ticker", "field", "cal_quarter", "value", "is_missing", "filled_value", "n_readings", ratio.alias("mean_to_close"), F.round("coverage", 6).alias("coverage"))
+    return cells.select(
+        "ticker", "field", "cal_quarter", "value", "is_missing", "filled_value", "n_readings", ratio.alias("mean_to_close"),
+        F.round("coverage", 6).alias("coverage")
+    )
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +38,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_known(spark: SparkSession, d: str) -> DataFrame:
-    return known_at_decision(table(spark, d, "rebalances"), table(spark, d, "fundamentals")).select("event_id", "ticker", "field", "used_value", "known_value", "known_fact_id")
+    return known_at_decision(table(spark, d, "rebalances"), table(spark, d, "fundamentals")).select(
+        "event_id", "ticker", "field", "used_value", "known_value", "known_fact_id"
+    )
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +53,10 @@ def p3_trailing(spark: SparkSession, d: str) -> DataFrame:
     prices = {w: F.round(f"price_sum_{w}", 4) for w in (7, 30)}
     out = ["ticker", day_label(F.col("day")).alias("obs_day")]
     for w in (7, 30):
-        out += [sums[w].alias(f"flow_sum_{w}"), F.round(sums[w] / w, 4).alias(f"flow_avg_{w}"), F.col(f"price_n_{w}"), F.round(F.try_divide(prices[w], F.col(f"price_n_{w}")), 6).alias(f"price_avg_{w}")]
+        out += [
+            sums[w].alias(f"flow_sum_{w}"), F.round(sums[w] / w, 4).alias(f"flow_avg_{w}"), F.col(f"price_n_{w}"),
+            F.round(F.try_divide(prices[w], F.col(f"price_n_{w}")), 6).alias(f"price_avg_{w}")
+        ]
     return t.select(*out)
 
 
@@ -72,7 +80,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return continuous_periods(table(spark, d, "membership"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_known, p3_found, p3_trailing, p4_found, p4_wide, p5_found, p5_reasons, p6_found)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_known, p3_found, p3_trailing, p4_found, p4_wide, p5_found, p5_reasons, p6_found)
+}
 
 _TICKER = "nullif(replace(upper(trim({0}ticker, E' \\t\\n\\r\\x0b\\x0c')), '.', '-'), '')"
 _FIELD = "nullif(translate(lower(trim({0}field, E' \\t\\n\\r\\x0b\\x0c')), ' -', '__'), '')"

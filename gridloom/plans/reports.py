@@ -45,7 +45,9 @@ def backtest_report(catalog: Catalog, factor: Factor, freq: str | int = "M", wei
     adv = B.average_dollar_volume(catalog.panel)
     costed = checkpoint(B.with_costs(run, adv, costs))
     kept = costed if split_day is None else costed.where(F.col("day") >= split_day)
-    series = kept.select("day", F.inline(F.array(*(F.struct(F.lit(s).alias("series"), F.col(s).alias("ret")) for s in ("net", "gross"))))).select("series", "day", "ret")
+    series = kept.select(
+        "day", F.inline(F.array(*(F.struct(F.lit(s).alias("series"), F.col(s).alias("ret")) for s in ("net", "gross"))))
+    ).select("series", "day", "ret")
     net = series.where("series = 'net'")
     grid = tuple(sorted({0.0, 5.0, 10.0, 15.0, 20.0, 25.0, costs.spread_bps}))
     tables = {
@@ -55,7 +57,12 @@ def backtest_report(catalog: Catalog, factor: Factor, freq: str | int = "M", wei
     }
     if n_trials is not None and var_sharpe is not None:
         m = long_short_moments(net.select(F.lit(factor.name).alias("factor"), "ret")).collect()
-        d = [(r["factor"], r["n"], r["sharpe"], I.deflated_sharpe(r["sharpe"], n_trials, r["n"], var_sharpe, r["skew"] or 0.0, (r["kurtosis"] or 0.0) + 3)) for r in m]
+        d = [
+            (
+                r["factor"], r["n"], r["sharpe"],
+                I.deflated_sharpe(r["sharpe"], n_trials, r["n"], var_sharpe, r["skew"] or 0.0, (r["kurtosis"] or 0.0) + 3)
+            ) for r in m
+        ]
         tables["deflated_sharpe"] = catalog.spark.createDataFrame(d, "factor string, n long, sharpe double, deflated double")
     return Report(costed, tables)
 

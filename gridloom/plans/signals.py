@@ -119,7 +119,10 @@ def information_in_universe(spark: SparkSession, d: str) -> DataFrame:
 def information_summary(spark: SparkSession, d: str) -> DataFrame:
     c = cat(spark, d)
     s = E.summarise_information(E.information(oriented(c), E.forward_returns(c.panel, HORIZONS), LEAST), lags=5)
-    return s.select("factor", "horizon", "n", *(rounded(x, 6) for x in ("mean", "sd", "ir", "t_naive", "hit_rate", "t_hac")), day_label(F.col("first_day")).alias("first_day"), day_label(F.col("last_day")).alias("last_day"))
+    return s.select(
+        "factor", "horizon", "n", *(rounded(x, 6) for x in ("mean", "sd", "ir", "t_naive", "hit_rate", "t_hac")),
+        day_label(F.col("first_day")).alias("first_day"), day_label(F.col("last_day")).alias("last_day")
+    )
 
 
 def information_decay(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +188,9 @@ sig as (select 'reversal_1m' as factor, ticker, pos, day, obs_day, -(lp - lag(lp
 
 
 def _fwd(horizons: tuple[int, ...]) -> str:
-    return "fwd as (" + " union all ".join(f"select ticker, day, obs_day, {h} as horizon, lead(lp, {h}) over {_W} - lp as fwd from panel" for h in horizons) + ")"
+    return "fwd as (" + " union all ".join(
+        f"select ticker, day, obs_day, {h} as horizon, lead(lp, {h}) over {_W} - lp as fwd from panel" for h in horizons
+    ) + ")"
 
 
 def _ic(horizons: tuple[int, ...], least: int = LEAST, mask: str = "") -> str:

@@ -48,7 +48,9 @@ def _series(c: Catalog, names: tuple[str, ...]) -> DataFrame:
 def exposures(spark: SparkSession, d: str) -> DataFrame:
     c = cat(spark, d)
     s = _series(c, CLASSICAL)
-    return T.exposures(spark, s.where("factor = 'reversal_1m'"), s.where("factor in ('volatility_60', 'amihud_illiquidity')")).select("term", *(rounded(x, 6) for x in ("coef", "se", "t")), "n")
+    return T.exposures(
+        spark, s.where("factor = 'reversal_1m'"), s.where("factor in ('volatility_60', 'amihud_illiquidity')")
+    ).select("term", *(rounded(x, 6) for x in ("coef", "se", "t")), "n")
 
 
 def spanning(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +84,10 @@ def p_values(spark: SparkSession, d: str) -> DataFrame:
     k = F.row_number().over(Window.orderBy("p", "factor", "horizon"))
     p = p.withColumn("_k", k).withColumn("_m", F.count(F.lit(1)).over(every))
     p = p.withColumn("_last", F.max(F.when(F.col("p") <= F.col("_k") / F.col("_m") * 0.05, F.col("_k"))).over(every))
-    return p.select("factor", "horizon", rounded("p", 6), (F.col("_k") <= F.coalesce("_last", F.lit(0))).alias("step_up"), (F.col("p") <= 0.05 / F.col("_m")).alias("bonferroni"))
+    return p.select(
+        "factor", "horizon", rounded("p", 6), (F.col("_k") <= F.coalesce("_last", F.lit(0))).alias("step_up"),
+        (F.col("p") <= 0.05 / F.col("_m")).alias("bonferroni")
+    )
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
@@ -131,20 +136,26 @@ def embedding_coverage(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("ticker is not null and filed_at is not null").select("ticker", F.to_date("filed_at").alias("filing_date"))
     c = cat(spark, d)
     points = F.array(*(F.to_date(F.lit(p)) for p in ("2014-06-30", "2018-06-30", "2022-06-30")))
-    members = c.periods.withColumn("checkpoint", F.explode(points)).where((F.unix_date("checkpoint") >= F.col("start")) & (F.unix_date("checkpoint") < F.col("end"))).select("checkpoint", "ticker")
+    members = c.periods.withColumn("checkpoint", F.explode(points)).where(
+        (F.unix_date("checkpoint") >= F.col("start")) & (F.unix_date("checkpoint") < F.col("end"))
+    ).select("checkpoint", "ticker")
     return V.coverage(docs, members).select(F.date_format("checkpoint", "yyyy-MM-dd").alias("checkpoint"), "n_universe", "n_covered", rounded("coverage", 6))
 
 
 def filings_per_year(spark: SparkSession, d: str) -> DataFrame:
     """Distinct tickers with a business section of at least 500 characters, by year."""
-    own = table(spark, d, "documents").where("source = 'tenk_item1' and ticker is not null and filed_at is not null").select("ticker", "filed_at", V.item_one(F.col("text")).alias("item"))
+    own = table(spark, d, "documents").where(
+        "source = 'tenk_item1' and ticker is not null and filed_at is not null"
+    ).select("ticker", "filed_at", V.item_one(F.col("text")).alias("item"))
     return own.where("length(item) >= 500").groupBy(F.year("filed_at").alias("year")).agg(F.countDistinct("ticker").alias("n"))
 
 
 def neighbour_signal(spark: SparkSession, d: str) -> DataFrame:
     """Each query vector's neighbours' mean label, weighted by similarity."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    edges = V.nearest(e, e.where("id % 100 = 0"), 20).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("similarity").alias("weight"))
+    edges = V.nearest(e, e.where("id % 100 = 0"), 20).select(
+        F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("similarity").alias("weight")
+    )
     recent = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("ticker"), F.col("label").cast("double").alias("mean_ret"))
     return V.neighbour_signal(edges, recent).select("src", rounded("value", 6))
 
@@ -154,13 +165,18 @@ def quarter_coverage(spark: SparkSession, d: str) -> DataFrame:
     from gridloom.operators.grid import to_quarters
 
     g = to_quarters(table(spark, d, "fundamentals"))
-    return g.groupBy("field").agg(F.sum("n_readings").alias("n_readings"), F.count(F.when(F.col("is_missing"), 1)).alias("n_missing"), F.count(F.lit(1)).alias("n_cells"))
+    return g.groupBy("field").agg(
+        F.sum("n_readings").alias("n_readings"), F.count(F.when(F.col("is_missing"), 1)).alias("n_missing"),
+        F.count(F.lit(1)).alias("n_cells")
+    )
 
 
 def factor_as_of(spark: SparkSession, d: str) -> DataFrame:
     import datetime
 
-    return X.FACTORS.get("volatility_60").on(cat(spark, d), (datetime.date.fromisoformat(AS_OF) - datetime.date(1970, 1, 1)).days).select("ticker", rounded("value", 6))
+    return X.FACTORS.get("volatility_60").on(
+        cat(spark, d), (datetime.date.fromisoformat(AS_OF) - datetime.date(1970, 1, 1)).days
+    ).select("ticker", rounded("value", 6))
 
 
 def calendar_samples(spark: SparkSession, d: str) -> DataFrame:

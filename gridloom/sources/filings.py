@@ -36,7 +36,9 @@ def entries(raw: DataFrame) -> DataFrame:
     spaces = parsed.select("ticker", F.explode("f.facts").alias("namespace", "concepts"))
     concepts = spaces.select("ticker", "namespace", F.explode("concepts").alias("concept", "node"))
     units = concepts.select("ticker", "namespace", "concept", F.posexplode(F.map_entries("node.units")).alias("unit_no", "u"))
-    return units.select("ticker", "namespace", "concept", "unit_no", F.col("u.key").alias("unit"), F.explode("u.value").alias("e")).select("ticker", "namespace", "concept", "unit_no", "unit", "e.*")
+    return units.select(
+        "ticker", "namespace", "concept", "unit_no", F.col("u.key").alias("unit"), F.explode("u.value").alias("e")
+    ).select("ticker", "namespace", "concept", "unit_no", "unit", "e.*")
 
 
 def in_unit(rows: DataFrame, unit: str) -> DataFrame:
@@ -76,14 +78,28 @@ def facts_table(raw: DataFrame, lag_days: int = LAG_DAYS) -> DataFrame:
     table = [(f, kind, c, i) for f, (kind, cs) in CONCEPTS.items() for i, c in enumerate(cs)]
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(kind).alias("kind"), F.lit(c).alias("c"), F.lit(i).alias("priority")) for f, kind, c, i in table))
     direct = e.withColumn("p", F.explode(pairs)).where(F.col("p.c") == F.col("concept")).where((F.col("p.kind") == "level") | is_annual())
-    direct = direct.select("ticker", F.col("p.field").alias("field"), F.col("p.priority").alias("priority"), available(lag_days).alias("available_date"), F.col("val").alias("value"), F.col("end").alias("period_end"))
-    legs = F.array(*(F.struct(F.lit(i).alias("priority"), F.lit(side).alias("side"), F.lit(c).alias("c")) for i, pair in enumerate(GROSS_PROFIT_PAIRS) for side, c in zip(("revenue", "cost"), pair, strict=True)))
+    direct = direct.select(
+        "ticker", F.col("p.field").alias("field"), F.col("p.priority").alias("priority"), available(lag_days).alias("available_date"),
+        F.col("val").alias("value"), F.col("end").alias("period_end")
+    )
+    legs = F.array(
+        *(
+            F.struct(F.lit(i).alias("priority"), F.lit(side).alias("side"), F.lit(c).alias("c")) for i,
+            pair in enumerate(GROSS_PROFIT_PAIRS) for side, c in zip(("revenue", "cost"), pair, strict=True)
+        )
+    )
     yearly = e.where(is_annual()).withColumn("p", F.explode(legs)).where(F.col("p.c") == F.col("concept"))
     keys = ["ticker", "priority", "accn", "end"]
-    one = yearly.select("ticker", F.col("p.priority").alias("priority"), F.col("p.side").alias("side"), F.coalesce("accn", F.lit("")).alias("accn"), "end", "val", "filed", available(lag_days).alias("available_date"))
+    one = yearly.select(
+        "ticker", F.col("p.priority").alias("priority"), F.col("p.side").alias("side"), F.coalesce("accn", F.lit("")).alias("accn"), "end",
+        "val", "filed", available(lag_days).alias("available_date")
+    )
     one = one.groupBy(*keys, "side").agg(F.max(F.struct("available_date", "val")).alias("r"))
     both = one.where("side = 'revenue'").select(*keys, F.col("r").alias("a")).join(one.where("side = 'cost'").select(*keys, F.col("r").alias("b")), keys)
-    derived = both.select("ticker", F.lit("gross_profit").alias("field"), "priority", F.col("a.available_date").alias("available_date"), (F.col("a.val") - F.col("b.val")).alias("value"), F.col("end").alias("period_end"))
+    derived = both.select(
+        "ticker", F.lit("gross_profit").alias("field"), "priority", F.col("a.available_date").alias("available_date"),
+        (F.col("a.val") - F.col("b.val")).alias("value"), F.col("end").alias("period_end")
+    )
     derived = derived.join(direct.where("field = 'gross_profit'").select("ticker").distinct(), "ticker", "left_anti")
     rows = _first_with_data(direct.unionByName(derived), ["ticker", "field"]).drop("priority")
     return earliest_disclosures(rows, ["ticker", "field"])
@@ -93,7 +109,9 @@ def shares_table(raw: DataFrame, lag_days: int = LAG_DAYS) -> DataFrame:
     """ticker, available_date, shares: of one date the latest period's figure."""
     e = in_unit(entries(raw).where("end is not null and val is not null"), "shares")
     rank = F.coalesce(*(F.when((F.col("namespace") == ns) & (F.col("concept") == c), i) for i, (ns, c) in enumerate(SHARE_CONCEPTS)))
-    rows = e.withColumn("priority", rank).where("priority is not null").select("ticker", "priority", available(lag_days).alias("available_date"), F.col("val").alias("value"), F.col("end").alias("period_end"))
+    rows = e.withColumn("priority", rank).where("priority is not null").select(
+        "ticker", "priority", available(lag_days).alias("available_date"), F.col("val").alias("value"), F.col("end").alias("period_end")
+    )
     kept = earliest_disclosures(_first_with_data(rows, ["ticker"]), ["ticker"])
     return kept.groupBy("ticker", "available_date").agg(F.max_by("value", F.struct("period_end", "value")).alias("shares"))
 
@@ -111,8 +129,18 @@ def annual_reports(raw: DataFrame) -> DataFrame:
     """ticker, filing_date, accession, document of the 10-K filings in rows (ticker, json) of parallel arrays; filings without a document are left out."""
     kind = "struct<filings:struct<recent:struct<form:array<string>,filingDate:array<string>,accessionNumber:array<string>,primaryDocument:array<string>>>>"
     r = raw.select("ticker", F.from_json("json", kind)["filings"]["recent"].alias("r"))
-    z = r.select("ticker", F.explode(F.arrays_zip(F.col("r.form").alias("form"), F.col("r.filingDate").alias("filed"), F.col("r.accessionNumber").alias("accession"), F.col("r.primaryDocument").alias("document"))).alias("z")).select("ticker", "z.*")
-    return z.where("form = '10-K' and document <> ''").select("ticker", F.col("filed").try_cast("date").alias("filing_date"), F.translate("accession", "-", "").alias("accession"), "document")
+    z = r.select(
+        "ticker",
+        F.explode(
+            F.arrays_zip(
+                F.col("r.form").alias("form"), F.col("r.filingDate").alias("filed"), F.col("r.accessionNumber").alias("accession"),
+                F.col("r.primaryDocument").alias("document")
+            )
+        ).alias("z")
+    ).select("ticker", "z.*")
+    return z.where("form = '10-K' and document <> ''").select(
+        "ticker", F.col("filed").try_cast("date").alias("filing_date"), F.translate("accession", "-", "").alias("accession"), "document"
+    )
 
 
 def factor_file(lines: DataFrame) -> DataFrame:
@@ -125,11 +153,16 @@ def factor_file(lines: DataFrame) -> DataFrame:
     if not header:
         raise ValueError("no header line with Mkt-RF")
     names = [c.strip().lower().replace("-", "_") for c in header[0]["value"].split(",")[1:] if c.strip()]
-    rows = lines.select(F.regexp_extract("value", r"^\s*(\d{8})\s*,", 1).alias("d"), F.regexp_extract("value", r"^\s*\d{8}\s*,(.*)$", 1).alias("rest")).where("d <> ''")
+    rows = lines.select(
+        F.regexp_extract("value", r"^\s*(\d{8})\s*,", 1).alias("d"), F.regexp_extract("value", r"^\s*\d{8}\s*,(.*)$", 1).alias("rest")
+    ).where("d <> ''")
     parts = F.filter(F.transform(F.split("rest", ","), lambda x: F.trim(x)), lambda x: x != "")
     whole = rows.withColumn("v", parts).where(F.size("v") == len(names))
     value = [F.col("v")[i].try_cast("double") for i in range(len(names))]
-    return whole.select(F.try_to_timestamp("d", F.lit("yyyyMMdd")).cast("date").alias("date"), *(F.when(~v.isin(*MISSING), v / 100.0).alias(n) for v, n in zip(value, names, strict=True))).where("date is not null")
+    return whole.select(
+        F.try_to_timestamp("d", F.lit("yyyyMMdd")).cast("date").alias("date"),
+        *(F.when(~v.isin(*MISSING), v / 100.0).alias(n) for v, n in zip(value, names, strict=True))
+    ).where("date is not null")
 
 
 def change_log(rows: DataFrame, pattern: str = "MMMM d, yyyy") -> DataFrame:
@@ -146,4 +179,6 @@ def change_log(rows: DataFrame, pattern: str = "MMMM d, yyyy") -> DataFrame:
 
 def json_files(spark: SparkSession, pattern: str) -> DataFrame:
     """ticker (file stem), json of whole files."""
-    return spark.read.text(pattern, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^./]*$", 1).alias("ticker"), F.col("value").alias("json"))
+    return spark.read.text(pattern, wholetext=True).select(
+        F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^./]*$", 1).alias("ticker"), F.col("value").alias("json")
+    )

@@ -54,7 +54,9 @@ def once_per_bar(rows: DataFrame, delay: str = "30 days") -> DataFrame:
 
 def windowed_totals(events: DataFrame, time: str, keys: list[str], value: str, width: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Tumbling (or, with slide, sliding) totals per key with a watermark: window, keys, n, total."""
-    return events.withWatermark(time, delay).groupBy(F.window(time, width, slide) if slide else F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    return events.withWatermark(time, delay).groupBy(
+        F.window(time, width, slide) if slide else F.window(time, width), *keys
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
 
 def sessions(events: DataFrame, time: str, keys: list[str], gap: str, delay: str = "10 minutes") -> DataFrame:
