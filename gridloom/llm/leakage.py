@@ -115,7 +115,10 @@ def leaks_in(texts: list[str | None], phrases: Phrases, least_share: float = 0.0
     return Leaks(pairs[keep] // len(phrases.ids), item[keep], leaked[keep], np.stack((a, b), axis=1), each)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, length: int = 8, least_share: float = 0.0, block_items: int = BLOCK_ITEMS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def leaked_items(
+    documents: DataFrame, items: DataFrame, length: int = 8, least_share: float = 0.0, block_items: int = BLOCK_ITEMS,
+    shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
     """doc_id, item_id, leaked_words, item_words, share, spans of each document and item that share ``length`` consecutive words and at least ``least_share``.
 
     A word of the item is leaked if it lies in such a passage; share is leaked_words / item_words; spans are the merged
@@ -151,7 +154,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, length: int = 8, least_
                     span = pa.StructArray.from_arrays([pa.array(found.spans[:, 0]), pa.array(found.spans[:, 1])], ["from", "to"])
                     spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(found.spans_each))), pa.int32()), span)
                     item = pa.array(np.array(phrases.ids, np.int64)[found.item][pair])
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), item, pa.array(found.words[pair]), pa.array(size[pair]), pa.array((found.words / size)[pair]), spans.take(pa.array(pair))], names=NAMES)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array(row)), item, pa.array(found.words[pair]), pa.array(size[pair]),
+                            pa.array((found.words / size)[pair]), spans.take(pa.array(pair))
+                        ],
+                        names=NAMES
+                    )
 
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

@@ -143,11 +143,16 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Plan:
     first = np.cumsum(counts)
     runs.sort(key=lambda r: r[0])  # stable: within a length in the order of placement
     items = np.array([r[3] for r in runs], np.int64)
-    return Plan(first[:-1], np.concatenate(([0], np.cumsum(items)))[:-1], np.array([r[1] for r in runs], np.int64), np.array([r[2] for r in runs], np.int64), bins)
+    return Plan(
+        first[:-1], np.concatenate(([0], np.cumsum(items)))[:-1], np.array([r[1] for r in runs], np.int64),
+        np.array([r[2] for r in runs], np.int64), bins
+    )
 
 
 def container_list(containers: DataFrame) -> list[tuple[str, int]]:
-    rows = pick(containers, {"container": "container", "capacity": "capacity_tokens"}).where("container is not null and capacity > 0").distinct().limit(MOST_CONTAINERS + 1).collect()
+    rows = pick(
+        containers, {"container": "container", "capacity": "capacity_tokens"}
+    ).where("container is not null and capacity > 0").distinct().limit(MOST_CONTAINERS + 1).collect()
     if len(rows) > MOST_CONTAINERS:
         raise ValueError(f"more than {MOST_CONTAINERS} kinds of containers")
     return sorted((r["container"], int(r["capacity"])) for r in rows)
@@ -206,7 +211,10 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
             names = pa.array([n for n, _ in kinds]).take(pa.array(kind))
             piece = batch.column("piece")
             start = piece.to_numpy(zero_copy_only=False).astype(np.int64) * capacity
-            yield pa.RecordBatch.from_arrays([names, pa.array(capacity), pa.array(bins), batch.column("doc_id"), piece, pa.array(start), pa.array(length)], names=["container", "capacity", "bin", "doc_id", "piece", "token_from", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [names, pa.array(capacity), pa.array(bins), batch.column("doc_id"), piece, pa.array(start), pa.array(length)],
+                names=["container", "capacity", "bin", "doc_id", "piece", "token_from", "n_tokens"]
+            )
 
     return ranked.select("kind", "n_tokens", "rank", "doc_id", "piece").mapInArrow(run, SCHEMA)
 

@@ -43,5 +43,7 @@ def p9_ablations(spark: SparkSession, d: str) -> DataFrame:
     return ablations(ledger(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_packed, p7_fill, p8_found, p8_spans, p9_found, p9_ledger, p9_ablations)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p7_packed, p7_fill, p8_found, p8_spans, p9_found, p9_ledger, p9_ablations)
+}
 SQL: dict[str, str] = {}

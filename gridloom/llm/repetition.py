@@ -162,7 +162,10 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     keys = window_keys(words, document, (2, 3, 4, 8))
     n = words.ends - words.starts
     out = {"n_words": n, "window_8": repeated_words(words, *keys[8], 8) / np.maximum(n, 1)}
-    out |= {"lines": unit_share(texts, r"\r\n|\n|\r"), "paragraphs": unit_share(texts, r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)+"), "sentences": unit_share(texts, r"[.!?]+\s+|[\r\n]+")}
+    out |= {
+        "lines": unit_share(texts, r"\r\n|\n|\r"), "paragraphs": unit_share(texts, r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)+"),
+        "sentences": unit_share(texts, r"[.!?]+\s+|[\r\n]+")
+    }
     return out | {f"top_{k}": top_share(words, document, *keys[k], k) for k in (2, 3, 4)}
 
 
@@ -184,7 +187,10 @@ def ledger(documents: DataFrame) -> DataFrame:
             failed = np.zeros(len(place), np.int64)
             for bit, rule in enumerate(RULES):
                 failed |= (found[rule.measure] >= rule.least).astype(np.int64) << bit
-            arrays = [batch.column(0).cast(pa.int64()), pa.array(found["n_words"], pa.int64()), *(pa.array(found[m], pa.float64()) for m in MEASURES), pa.array(failed)]
+            arrays = [
+                batch.column(0).cast(pa.int64()), pa.array(found["n_words"], pa.int64()),
+                *(pa.array(found[m], pa.float64()) for m in MEASURES), pa.array(failed)
+            ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", *MEASURES, "failed"])
 
     return source.mapInArrow(run, f"doc_id long, n_words long, {', '.join(f'{m} double' for m in MEASURES)}, failed long")
@@ -218,7 +224,12 @@ def ablations(entries: DataFrame) -> DataFrame:
     """
     counts = entries.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
     rows = [(p, r, 1 << [x.name for x in RULES].index(r), mask_of(p)) for p, names in POLICIES.items() for r in names]
-    asked = F.array(*(F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(bit).cast("long").alias("bit"), F.lit(mask).cast("long").alias("mask")) for p, r, bit, mask in rows))
+    asked = F.array(
+        *(
+            F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(bit).cast("long").alias("bit"), F.lit(mask).cast("long").alias("mask")) for p,
+            r, bit, mask in rows
+        )
+    )
     each = counts.select("failed", "n", F.inline(asked)).withColumn("hit", F.col("failed").bitwiseAND(F.col("mask")))
     return each.groupBy("policy", "rule").agg(
         F.sum(F.when(F.col("hit").bitwiseAND(F.col("bit")) != 0, F.col("n")).otherwise(0)).alias("failing"),
