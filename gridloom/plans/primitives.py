@@ -43,7 +43,7 @@ def running_extremes(spark: SparkSession, d: str) -> DataFrame:
     """Running product of gross returns and running maximum of price."""
     w = P.by_ticker().rowsBetween(Window.unboundedPreceding, 0)
     r = cat(spark, d).returns("simple")
-    return r.select("ticker", label(), F.round(F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w), 6).alias("growth"), F.max("adj").over(w).alias("peak"))
+    return r.select("ticker", label(), (F.round(F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w), 6) + 0.0).alias("growth"), F.max("adj").over(w).alias("peak"))
 
 
 def top_names(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +203,7 @@ SQL: dict[str, str] = {
 x as (select ticker, obs_day, case when count(r) over w >= 20 then avg(r) over w end as mean, case when count(r) over w >= 20 then stddev_samp(r) over w end as sd, case when count(r) over w >= 20 then var_samp(r) over w end as var,
   case when count(case when lv is not null then r end) over w >= 20 then covar_samp(r, lv) over w end as cov from v window w as {_R30})
 select ticker, obs_day, round(mean, 7) + 0.0 as mean, round(sd, 7) + 0.0 as sd, round(var, 7) + 0.0 as var, round(cov, 7) + 0.0 as cov from x where mean is not null""",
-    "q_running_extremes": f"with {_RET} select ticker, obs_day, round(product(1 + coalesce(r, 0)) over w, 6) as growth, max(adj) over w as peak from sraw window w as (partition by ticker order by pos rows unbounded preceding)",
+    "q_running_extremes": f"with {_RET} select ticker, obs_day, round(product(1 + coalesce(r, 0)) over w, 6) + 0.0 as growth, max(adj) over w as peak from sraw window w as (partition by ticker order by pos rows unbounded preceding)",
     "q_top_names": f"with {_PANEL}, x as (select ticker, obs_day, close * volume as dollars, row_number() over (partition by pos order by close * volume desc, ticker) as place from panel where close * volume is not null) select ticker, obs_day, cast(place as integer) as place, dollars from x where place <= 3",
     "q_quantiles": f"with {S._USABLE} select field, round(quantile_cont(value, 0.25), 4) as q25, round(quantile_cont(value, 0.5), 4) as q50, round(quantile_cont(value, 0.75), 4) as q75 from good group by 1",
     "q_moments": f"with {_RET} select ticker, count(r) as n, round(skewness(r), 6) as skew, round(kurtosis(r), 5) as kurtosis from ret group by 1 having count(r) > 3",
