@@ -31,7 +31,7 @@ def classical(names: tuple[str, ...] = CLASSICAL) -> list[X.Factor]:
 
 
 def zoo(spark: SparkSession, d: str) -> DataFrame:
-    z = T.factor_zoo(cat(spark, d), classical(), 21, BUCKETS, LEAST, restrict_universe=False)
+    z = T.factor_zoo(cat(spark, d), X.FACTORS.all(), 21, BUCKETS, LEAST, restrict_universe=False)
     return z.select("factor", "n", *(rounded(c, 6) for c in z.columns[2:-1]), "rejected")
 
 
