@@ -222,11 +222,14 @@ def graph_factor(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-def lead_lag_factor(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+def lead_lag(kind: str) -> G.GraphFactor:
     """The lead-lag factors for the given tables' thin windows: at least 3 names instead of 10."""
+    return G.GraphFactor(f"leadlag_{kind}_120d", G.lead_lag_statistic(kind, least_names=3))
+
+
+def lead_lag_factor(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        f = G.GraphFactor(f"leadlag_{kind}_120d", G.lead_lag_statistic(kind, least_names=3))
-        return f.panel(cat(spark, d)).select("ticker", label(), rounded("value", 6))
+        return lead_lag(kind).panel(cat(spark, d)).select("ticker", label(), rounded("value", 6))
 
     return query
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.engine.session import checkpoint
 from gridloom.functions import inference as I
 from gridloom.operators import evaluate as E
 from gridloom.operators import factors as X
@@ -17,17 +18,17 @@ from gridloom.operators import vectors as V
 from gridloom.operators.readings import usable
 from gridloom.plans import signals as S
 from gridloom.plans import study as T
+from gridloom.plans.portfolios import lead_lag
 from gridloom.plans.problems import _CELLS, _PERIODS, _USABLE
 from gridloom.plans.signals import AS_OF, BUCKETS, LEAST, cat, label, rounded
 from gridloom.sources import filings as L
-from gridloom.sources.catalog import Catalog
 from gridloom.sources.tables import table
 
-CLASSICAL = ("momentum_12_1", "reversal_1m", "volatility_60", "amihud_illiquidity")
 
-
-def classical(names: tuple[str, ...] = CLASSICAL) -> list[X.Factor]:
-    return [X.FACTORS.get(n) for n in names]
+def graph_factors() -> list[X.Factor]:
+    """All graph factors, those of lead and lag for the given tables' thin windows."""
+    thin = {f.name: f for f in map(lead_lag, ("out", "in", "upstream"))}
+    return [thin.get(f.name, f) for f in G.GRAPH_FACTORS.all()]
 
 
 def zoo(spark: SparkSession, d: str) -> DataFrame:
@@ -36,31 +37,25 @@ def zoo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
-    c = cat(spark, d)
-    f = [G.GRAPH_FACTORS.get(n) for n in ("degree_centrality_mst_120d", "eigenvector_centrality_mst_120d")]
-    return T.scorecard(c, f, classical(CLASSICAL[:2]), len(T.configurations()), 21, BUCKETS, 3)
+    return T.scorecard(cat(spark, d), graph_factors(), X.FACTORS.all(), len(T.configurations()), 21, BUCKETS, 3)
 
 
-def _series(c: Catalog, names: tuple[str, ...]) -> DataFrame:
-    return E.factor_long_short(c, classical(names), BUCKETS, (21,)).select("factor", "day", "ret")
+def _against_others(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Long-short returns of reversal and of all other classical factors: one row per factor and day, computed once."""
+    s = checkpoint(E.factor_long_short(cat(spark, d), X.FACTORS.all(), BUCKETS, (21,)).select("factor", "day", "ret"))
+    return s.where("factor = 'reversal_1m'"), s.where("factor <> 'reversal_1m'")
 
 
 def exposures(spark: SparkSession, d: str) -> DataFrame:
-    c = cat(spark, d)
-    s = _series(c, CLASSICAL)
-    return T.exposures(
-        spark, s.where("factor = 'reversal_1m'"), s.where("factor in ('volatility_60', 'amihud_illiquidity')")
-    ).select("term", *(rounded(x, 6) for x in ("coef", "se", "t")), "n")
+    return T.exposures(spark, *_against_others(spark, d)).select("term", *(rounded(x, 6) for x in ("coef", "se", "t")), "n")
 
 
 def spanning(spark: SparkSession, d: str) -> DataFrame:
-    s = _series(cat(spark, d), CLASSICAL)
-    return T.spanning(spark, "reversal_1m", s.where("factor = 'reversal_1m'"), s.where("factor in ('volatility_60', 'amihud_illiquidity')"))
+    return T.spanning(spark, "reversal_1m", *_against_others(spark, d))
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    s = _series(cat(spark, d), CLASSICAL)
-    return T.bootstrap(spark, s.where("factor = 'reversal_1m'"), s.where("factor in ('volatility_60', 'amihud_illiquidity')"), 400)
+    return T.bootstrap(spark, *_against_others(spark, d), 400)
 
 
 def long_short_moments(spark: SparkSession, d: str) -> DataFrame:

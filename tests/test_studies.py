@@ -1,6 +1,10 @@
 """The registered studies take the whole set of factors, snapshots and replicates."""
 
+import math
+
+from gridloom.operators import evaluate as E
 from gridloom.operators import factors as X
+from gridloom.operators import graphs as G
 from gridloom.plans import studies as Q
 from gridloom.plans import study as T
 
@@ -19,3 +23,23 @@ def test_zoo_takes_every_factor(spark, monkeypatch):
     monkeypatch.setattr(T, "factor_zoo", zoo)
     Q.zoo(spark, "nowhere")
     assert taken == names(X.FACTORS.all()) and len(taken) == 8
+
+
+def test_scorecard_takes_every_factor(spark, monkeypatch):
+    taken = []
+
+    def scorecard(catalog, graph, classical, *settings, **more):
+        taken.extend((names(graph), names(classical)))
+        return spark.createDataFrame([], T.SCORE_SCHEMA)
+
+    monkeypatch.setattr(T, "scorecard", scorecard)
+    Q.scorecard(spark, "nowhere")
+    assert taken == [names(G.GRAPH_FACTORS.all()), names(X.FACTORS.all())] and len(taken[0]) == 6
+
+
+def test_spanning_is_against_all_other_factors(spark, rows, monkeypatch):
+    monkeypatch.setattr(E, "factor_long_short", lambda c, factors, *settings: rows(
+        "factor string, day int, ret double", [(f.name, d, math.sin(d * d * i)) for i, f in enumerate(factors, 1) for d in range(60)]
+    ))
+    terms = [r["term"] for r in Q.exposures(spark, "nowhere").collect()]
+    assert terms == ["alpha", *(n for n in names(X.FACTORS.all()) if n != "reversal_1m")]
