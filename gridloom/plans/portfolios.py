@@ -205,9 +205,7 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_density(spark: SparkSession, d: str) -> DataFrame:
-    c = cat(spark, d)
-    quarter = G.rebalance_days(c.days, "Q")
-    return G.density_report(G.window_rows(c.returns("log"), quarter, 120), shuffles=20)
+    return G.density_report(windows(cat(spark, d)))
 
 
 def cluster_sectors(spark: SparkSession, d: str) -> DataFrame:

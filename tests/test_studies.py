@@ -1,10 +1,13 @@
 """The registered studies take the whole set of factors, snapshots and replicates."""
 
+import inspect
 import math
 
 from gridloom.operators import evaluate as E
 from gridloom.operators import factors as X
 from gridloom.operators import graphs as G
+from gridloom.operators.graphs import density_report
+from gridloom.plans import portfolios as P
 from gridloom.plans import studies as Q
 from gridloom.plans import study as T
 
@@ -43,3 +46,10 @@ def test_spanning_is_against_all_other_factors(spark, rows, monkeypatch):
     ))
     terms = [r["term"] for r in Q.exposures(spark, "nowhere").collect()]
     assert terms == ["alpha", *(n for n in names(X.FACTORS.all()) if n != "reversal_1m")]
+
+
+def test_density_null_takes_month_ends_and_the_default_shuffles(monkeypatch):
+    monkeypatch.setattr(P, "windows", lambda catalog: "month ends")
+    monkeypatch.setattr(G, "density_report", lambda *given, **more: (given, more))
+    assert P.graph_density(None, "nowhere") == (("month ends",), {})
+    assert inspect.signature(density_report).parameters["shuffles"].default == 200
