@@ -55,7 +55,7 @@ def spanning(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return T.bootstrap(spark, *_against_others(spark, d), 400)
+    return T.bootstrap(spark, *_against_others(spark, d))
 
 
 def long_short_moments(spark: SparkSession, d: str) -> DataFrame:

@@ -53,3 +53,9 @@ def test_density_null_takes_month_ends_and_the_default_shuffles(monkeypatch):
     monkeypatch.setattr(G, "density_report", lambda *given, **more: (given, more))
     assert P.graph_density(None, "nowhere") == (("month ends",), {})
     assert inspect.signature(density_report).parameters["shuffles"].default == 200
+
+
+def test_bootstrap_takes_the_default_replicates(monkeypatch):
+    monkeypatch.setattr(Q, "_against_others", lambda spark, d: ("target", "others"))
+    monkeypatch.setattr(T, "bootstrap", lambda *given, **more: (given, more))
+    assert Q.bootstrap(None, "nowhere") == ((None, "target", "others"), {})
