@@ -3,7 +3,9 @@
 Per ticker and measure the logarithms of the present, positive readings go through an undecimated Haar transform. Its
 finest details are half the change from one reading to the next; their robust scale is the median of the non-zero
 absolute ones. A spike of one to three readings must enter and leave through two details of opposite sign beyond the
-threshold, so thresholding loses no candidate; the readings between are then held against both sides. Runs of zero
+threshold, so thresholding loses no candidate; the readings between are then held against both sides. Only this finest
+level is computed: the first and the last step of a spike exceed the limit whatever its length, so coarser levels would
+add no candidate. Runs of zero
 details are stuck values; plain bounds find what is impossible.
 """
 
