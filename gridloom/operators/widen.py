@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from gridloom.operators.columns import field_name, pick, symbol
 from gridloom.operators.readings import latest, usable
 
-#: A wide table has at most this many columns; the attribute list is collected to build its schema.
-MOST_ATTRIBUTES = 2_000
 TYPES = ("double", "bigint", "boolean", "date")
 
 
 def attribute_list(types: DataFrame) -> list[tuple[str, str]]:
-    """(field, type) in order of field; repeated fields keep their least type name, NULL fields are ignored."""
+    """(field, type) in order of field; repeated fields keep their least type name, NULL fields are ignored.
+
+    One entry per column of the wide table: the list is its schema, which the driver holds in any case.
+    """
     rows = pick(types, {"field": "field", "kind": "sql_type"}).select(field_name("field").alias("field"), F.lower(F.btrim(F.col("kind"))).alias("kind"))
-    found = rows.where("field is not null").groupBy("field").agg(F.min("kind").alias("kind")).orderBy("field").limit(MOST_ATTRIBUTES + 1).collect()
-    if len(found) > MOST_ATTRIBUTES:
-        raise ValueError(f"more than {MOST_ATTRIBUTES} attributes")
+    found = rows.where("field is not null").groupBy("field").agg(F.min("kind").alias("kind")).orderBy("field").collect()
     if bad := [r["field"] for r in found if r["kind"] not in TYPES]:
         raise ValueError(f"unknown type of {bad}")
     return [(r["field"], r["kind"]) for r in found]
@@ -27,20 +26,21 @@ def attribute_list(types: DataFrame) -> list[tuple[str, str]]:
 def typed(value: Column, kind: str) -> Column:
     """Try-cast of a double: NULL where the value does not suit the type.
 
-    double: any; bigint: whole numbers in range; boolean: 0 or 1; date: whole numbers that read as a real yyyymmdd.
+    double: any; bigint: whole numbers from -2^63 to below 2^63; boolean: 0 or 1; date: whole numbers that read as a real
+    yyyymmdd of the years 1 to 9999 (10530 is the 30th of May of year 1).
     """
     if kind == "double":
         return value
-    whole = (value == F.floor(value)) & (F.abs(value) < F.lit(9.2e18))
+    whole = (value % F.lit(1.0) == 0) & (value >= F.lit(-(2.0**63))) & (value < F.lit(2.0**63))
     number = F.when(whole, value.try_cast("bigint"))
     if kind == "bigint":
         return number
     if kind == "boolean":
         return F.when(value == 1, True).when(value == 0, False)
     if kind == "date":
-        text = number.cast("string")
+        text = F.lpad(number.cast("string"), 8, "0")
         iso = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
-        return F.when((number >= 10_000_101) & (number <= 99_991_231), iso.try_cast("date"))
+        return F.when((number >= 10_101) & (number <= 99_991_231), iso.try_cast("date"))
     raise ValueError(kind)
 
 
@@ -75,14 +75,18 @@ def filled_cells(facts: DataFrame, types: DataFrame) -> DataFrame:
     attributes = attribute_list(types)
     if not attributes:
         return facts.sparkSession.createDataFrame([], "ticker string, field string, fact_id long")
-    rows = attribute_arrays(facts, attributes)
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(f).alias("field"), F.col("cells")[i]["fact_id"].alias("fact_id"),
-                typed(F.col("cells")[i]["value"], kind).isNotNull().alias("filled")
-            ) for i,
-            (f, kind) in enumerate(attributes)
+    names = F.lit([f for f, _ in attributes])
+    cells = F.col("cells")
+
+    def of_kind(kind: str) -> Column:
+        places = F.lit([i for i, (_, k) in enumerate(attributes) if k == kind])
+        return F.transform(
+            places, lambda i: F.struct(
+                F.get(names, i).alias("field"), F.get(cells, i)["fact_id"].alias("fact_id"),
+                typed(F.get(cells, i)["value"], kind).isNotNull().alias("filled")
+            )
         )
-    )
-    return rows.select("ticker", F.inline(cells)).where("filled").drop("filled")
+
+    # one cast per type over the fixed positions of its columns, so the plan stays as small for thousands of columns
+    each = F.concat(*(of_kind(kind) for kind in TYPES if any(k == kind for _, k in attributes)))
+    return attribute_arrays(facts, attributes).select("ticker", F.inline(each)).where("filled").drop("filled")

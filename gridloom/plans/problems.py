@@ -113,9 +113,9 @@ roll as (select ticker, a, day,
   from dense window w7 as (partition by ticker order by day rows between 6 preceding and current row), w30 as (partition by ticker order by day rows between 29 preceding and current row))"""
 
 _TYPED = """case f.sql_type when 'double' then true
-  when 'bigint' then l.value = floor(l.value) and abs(l.value) < 9.2e18
+  when 'bigint' then l.value = floor(l.value) and l.value >= -9223372036854775808::double and l.value < 9223372036854775808::double
   when 'boolean' then l.value in (0, 1)
-  when 'date' then l.value = floor(l.value) and l.value between 10000101 and 99991231 and try_strptime(cast(cast(l.value as bigint) as varchar), '%Y%m%d') is not null end"""
+  when 'date' then l.value = floor(l.value) and l.value between 10101 and 99991231 and try_strptime(lpad(cast(try_cast(l.value as bigint) as varchar), 8, '0'), '%Y%m%d') is not null end"""
 
 _LATEST = f"""{_USABLE},
 latest as (select * from (select *, row_number() over (partition by ticker, field order by t desc, period_end desc nulls last, fact_id desc nulls last, value desc) as r from good) where r = 1)"""
@@ -169,9 +169,9 @@ _WIDE = {
 def _wide_sql() -> str:
     cell = {
         "double": "l.value",
-        "bigint": "case when l.value = floor(l.value) and abs(l.value) < 9.2e18 then cast(l.value as bigint) end",
+        "bigint": "case when l.value = floor(l.value) and l.value >= -9223372036854775808::double and l.value < 9223372036854775808::double then try_cast(l.value as bigint) end",
         "boolean": "case when l.value = 1 then true when l.value = 0 then false end",
-        "date": "case when l.value = floor(l.value) and l.value between 10000101 and 99991231 then cast(try_strptime(cast(cast(l.value as bigint) as varchar), '%Y%m%d') as date) end",
+        "date": "case when l.value = floor(l.value) and l.value between 10101 and 99991231 then cast(try_strptime(lpad(cast(try_cast(l.value as bigint) as varchar), 8, '0'), '%Y%m%d') as date) end",
     }
     columns = ", ".join(f"max({cell[kind]}) filter (l.field = '{f}') as {f}" for f, kind in _WIDE.items())
     return f"with {_LATEST}, every as (select distinct {_TICKER.format('')} as ticker from fundamentals) select e.ticker, {columns} from every e left join latest l on e.ticker = l.ticker where e.ticker is not null group by e.ticker"

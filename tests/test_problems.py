@@ -272,13 +272,15 @@ def test_widen_against_brute_force(rows):
 
 def test_widen_types(rows):
     at = [(i, "A", T0, "x", v, None, T0) for i, v in enumerate([1.0])]
-    for kind, value, out in [("boolean", 1.0, True), ("boolean", 0.0, False), ("boolean", 2.0, None), ("bigint", 1.5, None), ("bigint", math.inf, None), ("bigint", 1e300, None), ("double", math.inf, math.inf), ("date", 20230229.0, None), ("date", 1011.0, None), ("date", -20200101.0, None), ("date", 20201231.0, dt.date(2020, 12, 31))]:
+    for kind, value, out in [("boolean", 1.0, True), ("boolean", 0.0, False), ("boolean", 2.0, None), ("bigint", 1.5, None), ("bigint", math.inf, None), ("bigint", 1e300, None), ("double", math.inf, math.inf), ("date", 20230229.0, None), ("date", 1011.0, None), ("date", -20200101.0, None), ("date", 20201231.0, dt.date(2020, 12, 31)), ("date", 10530.0, dt.date(1, 5, 30)), ("date", 10101.0, dt.date(1, 1, 1)), ("date", 530.0, None), ("date", 9991231.0, dt.date(999, 12, 31)), ("date", 11332.0, None), ("bigint", 9.21e18, 9210000000000000000), ("bigint", -(2.0**63), -(2**63)), ("bigint", 2.0**63, None), ("bigint", -0.0, 0)]:
         facts = [(*at[0][:4], value, None, T0)]
         assert widen.widen(rows(FACTS, facts), rows(TYPES, [("x", kind)])).first()["x"] == out, (kind, value)
     assert widen.widen(rows(FACTS, at), rows(TYPES)).columns == ["ticker"]
     assert widen.filled_cells(rows(FACTS), rows(TYPES, [("x", "double")])).count() == 0
     with pytest.raises(ValueError):
         widen.widen(rows(FACTS, at), rows(TYPES, [("x", "money")]))
+    many = rows(TYPES, [(f"f{i}", "double") for i in range(2_100)] + [("x", "double")])
+    assert widen.filled_cells(rows(FACTS, at), many).collect() == [("A", "x", 0)]
 
 
 SPANS = "ticker string, start_date timestamp_ntz, end_date timestamp_ntz"
