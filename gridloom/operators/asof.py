@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.columns import field_name, micros, pick, present, symbol
 from gridloom.operators.readings import one_per_instant, usable
-from gridloom.operators.sharding import carry_in, plan_shards
+from gridloom.operators.sharding import MOST_ROWS, before_shards, plan_shards
 
 KEYS = ["ticker", "field"]
 
 
 def asof_join(
-    events: DataFrame, versions: DataFrame, keys: list[str], carry: list[str], min_rows: int = 50_000, fraction: float = 0.001,
-    sizes: DataFrame | None = None
+    events: DataFrame, versions: DataFrame, keys: list[str], carry: list[str], most: int = MOST_ROWS, sizes: DataFrame | None = None
 ) -> DataFrame:
     """Each event with the columns ``carry`` of its key's last version at or before it.
 
-    events: keys, t (long) and any other columns; versions: keys, t, carry, one row per key and t. Keys that hold more
-    than their share of the rows of both sides are cut into time shards; each shard gets a copy of the last version
-    before it, and every (key, shard) is merged on its own by one sorted window. Events with a NULL key or time keep
+    events: keys, t (long) and any other columns; versions: keys, t, carry, one row per key and t. Keys with more
+    than ``most`` rows of both sides are cut into time shards; each shard gets a copy of the last version before it, and
+    every (key, shard) is merged on its own by one sorted window. Where more than ``most`` events share a key and a
+    microsecond they are spread over salted parts of that shard, each with its own copy. Events with a NULL key or time keep
     NULL in ``carry`` and never enter the merge, so NULL keys cannot form a hot group. ``sizes`` (keys, t), cheaper to
     read and with at least as many rows, may stand for both sides where shards are planned.
     """
@@ -37,17 +37,21 @@ def asof_join(
         F.struct("t", *carry).alias("_known")
     )
     sizes = left.select(*keys, "t").unionByName(right.select(*keys, "t")) if sizes is None else sizes
-    plan = plan_shards(sizes, keys, "t", min_rows, fraction)
+    plan = plan_shards(sizes, keys, "t", most)
     both = plan.assign(left.unionByName(right), "t")
+    # the version of a full microsecond stays in its part 0, which comes before the others
+    part = F.when((F.col("salts") > 1) & (F.col("_side") == 1), 1 + F.pmod(F.xxhash64("_event"), "salts")).otherwise(0)
+    groups = plan.groups
     if plan.hot is not None:
-        hot = plan.assign(versions.join(F.broadcast(plan.hot.select(*keys)), keys, "left_semi"), "t")
-        last = hot.groupBy(*keys, "shard").agg(F.max(F.struct("t", *carry)).alias("_known"))
-        carried = carry_in(last, keys, plan).select(
-            *keys, F.lit(None).cast("long").alias("t"), F.lit(0).alias("_side"),
-            F.lit(None).cast(left.schema["_event"].dataType).alias("_event"), "_known", "shard"
+        both = both.withColumn("part", part.cast("long"))
+        groups = [*groups, "part"]
+        parts = plan.hot_rows(both).groupBy(*groups).agg(F.max("_known").alias("_last"))
+        carried = before_shards(parts, keys, "_last", ["shard", "part"]).where("carried is not null").select(
+            *groups, F.lit(None).cast("long").alias("t"), F.lit(0).alias("_side"),
+            F.lit(None).cast(left.schema["_event"].dataType).alias("_event"), F.col("carried").alias("_known")
         )
-        both = both.unionByName(carried)
-    w = Window.partitionBy(*plan.groups).orderBy(F.col("t").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.drop("salts").unionByName(carried)
+    w = Window.partitionBy(*groups).orderBy(F.col("t").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
     merged = both.withColumn("_known", F.last("_known", ignorenulls=True).over(w)).where("_side = 1")
     out = merged.select(
         *keys, "t", *(F.col(f"_event.`{c}`").alias(c) for c in rest), F.col("_known.t").alias("known_t"),
@@ -60,7 +64,7 @@ def asof_join(
     return out.unionByName(unmatched)
 
 
-def known_at_decision(decisions: DataFrame, facts: DataFrame, min_rows: int = 50_000, fraction: float = 0.001) -> DataFrame:
+def known_at_decision(decisions: DataFrame, facts: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """Each distinct decision with the fundamentals value that was public at decided_at.
 
     Columns: event_id, ticker, field, decided_us, used_value, known_value, known_fact_id, known_us. Only usable readings
@@ -74,7 +78,7 @@ def known_at_decision(decisions: DataFrame, facts: DataFrame, min_rows: int = 50
     sizes = rows.select(*KEYS, "t").unionByName(events.where("ticker is not null and field is not null and t is not null").select(*KEYS, "t"))
     events = events.dropDuplicates()
     versions = one_per_instant(rows).select(*KEYS, "t", F.col("value").alias("known_value"), F.col("fact_id").alias("known_fact_id"))
-    out = asof_join(events, versions, KEYS, ["known_value", "known_fact_id"], min_rows, fraction, sizes)
+    out = asof_join(events, versions, KEYS, ["known_value", "known_fact_id"], most, sizes)
     return out.select("event_id", *KEYS, F.col("t").alias("decided_us"), "used_value", "known_value", "known_fact_id", F.col("known_t").alias("known_us"))
 
 

@@ -7,33 +7,31 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.columns import quarter_label, quarter_of, quarter_start_us
 from gridloom.operators.readings import one_per_instant, usable
-from gridloom.operators.sharding import plan_shards
+from gridloom.operators.sharding import MOST_ROWS, before_shards, plan_shards
 
 KEYS = ["ticker", "field"]
 
 
-def validity_intervals(
-    readings: DataFrame, keys: list[str] = KEYS, min_rows: int = 50_000, fraction: float = 0.001, sizes: DataFrame | None = None
-) -> DataFrame:
+def validity_intervals(readings: DataFrame, keys: list[str] = KEYS, most: int = MOST_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Step function of each key: keys, t, until (NULL: open), value.
 
-    ``readings`` has one row per key and instant ``t``. A reading holds until the key's next one. Hot keys are cut into
-    time shards: the next instant is looked up inside the shard, and only a shard's last reading looks at the first
-    instant of the following shard (one summary row per shard). ``sizes`` (keys, t), cheaper to read than the readings
-    and with at least their rows, may stand for them where shards are planned.
+    ``readings`` has one row per key and instant ``t``. A reading holds until the key's next one. Keys with more than
+    ``most`` readings are cut into time shards: the next instant is looked up inside the shard, and only a shard's last
+    reading looks at the first instant of the next shard (one summary row per shard). ``sizes`` (keys, t), cheaper to
+    read than the readings and with at least their rows, may stand for them where shards are planned.
     """
-    plan = plan_shards(readings if sizes is None else sizes, keys, "t", min_rows, fraction)
-    rows = plan.assign(readings, "t")
+    plan = plan_shards(readings if sizes is None else sizes, keys, "t", most)
+    rows = plan.assign(readings, "t").drop("salts")
     rows = rows.withColumn("until", F.lead("t").over(Window.partitionBy(*plan.groups).orderBy("t")))
     if plan.hot is None:
         return rows.drop("shard")
-    firsts = plan.assign(readings.join(F.broadcast(plan.hot.select(*keys)), keys, "left_semi"), "t").groupBy(*keys, "shard").agg(F.min("t").alias("_first"))
-    following = firsts.select(*keys, "shard", F.lead("_first").over(Window.partitionBy(*keys).orderBy("shard")).alias("_next"))
-    # the summary has at most 1024 rows a hot key and 2 / fraction rows in all
-    return rows.join(F.broadcast(following), [*keys, "shard"], "left").withColumn("until", F.coalesce("until", "_next")).drop("shard", "_next")
+    firsts = plan.assign(plan.hot_rows(readings), "t").groupBy(*keys, "shard").agg(F.min("t").alias("_first"))
+    following = before_shards(firsts, keys, "_first", ["shard"], forward=True).select(*keys, "shard", F.col("carried").alias("_next"))
+    # joined by key and shard, so the rows of a hot key stay apart
+    return rows.join(following, [*keys, "shard"], "left").withColumn("until", F.coalesce("until", "_next")).drop("shard", "_next")
 
 
-def to_quarters(facts: DataFrame, fields: list[str] | None = None, min_rows: int = 50_000, fraction: float = 0.001) -> DataFrame:
+def to_quarters(facts: DataFrame, fields: list[str] | None = None, most: int = MOST_ROWS) -> DataFrame:
     """One row per ticker, field and calendar quarter from the first to the last quarter with a usable reading.
 
     Columns: ticker, field, cal_quarter ('2019Q3'), value (latest reading made in the quarter, NULL if none), is_missing
@@ -43,7 +41,7 @@ def to_quarters(facts: DataFrame, fields: list[str] | None = None, min_rows: int
     period_end, then fact_id; repeated rows count once; empty input gives an empty result.
     """
     rows = usable(facts, fields)
-    steps = validity_intervals(one_per_instant(rows), KEYS, min_rows, fraction, rows.select(*KEYS, "t"))
+    steps = validity_intervals(one_per_instant(rows), KEYS, most, rows.select(*KEYS, "t"))
     q0 = quarter_of(F.col("t"))
     # the last cell a step touches: that of its last covered microsecond; an open step ends with the cell of its reading
     q1 = F.when(F.col("until").isNull(), q0).otherwise(quarter_of(F.col("until") - 1))

@@ -1,80 +1,110 @@
 """Time shards for hot keys: no key is ever one task's job, however many of the rows it holds.
 
-A key is hot when it holds more than ``fraction`` of all rows (and more than ``min_rows``), so at most 1/fraction keys
-are hot: the plan that is collected and broadcast has at most 1/fraction keys and 2/fraction boundaries, whatever the
-size of the data. Boundaries are approximate quantiles of the order column, which Spark merges from map-side sketches.
+A key is hot when it has more than ``most`` rows, an absolute number, whatever the size of the table. A hot key's rows are
+cut by their place on the time axis into cells of 2**41 microseconds (25 days); a cell that still has more than ``most``
+rows is cut into 32 smaller ones, and so on down to a single microsecond. A row's shard is the start of its cell, so it
+follows from the row and from the small tables of what had to be cut; nothing is sampled and no boundary is collected.
+
+The tables of hot keys and of cut cells have at most (rows / most) rows each. They are written to the checkpoint folder
+once, counted, and broadcast up to BROADCAST_ROWS of them; beyond that they are joined by their keys and cell.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BLOCK, MOST = 32, 1024  # a hot key has at most MOST shards; a row's shard is found among MOST / BLOCK + BLOCK boundaries
+from gridloom.engine.session import checkpoint
+
+#: A key, or a shard of a hot key, has no more rows than this (but for rows of one microsecond, which salt() spreads).
+MOST_ROWS = 250_000
+#: Widths of the cells as powers of two microseconds, from 25 days to one microsecond.
+LEVELS = (41, 36, 31, 26, 21, 16, 11, 6, 0)
+#: Tables of hot keys and cut cells are broadcast up to this many rows (about 10 MB).
+BROADCAST_ROWS = 100_000
+
+
+def cell(t: Column, level: int) -> Column:
+    """Start of t's cell."""
+    return F.shiftleft(F.shiftright(t, LEVELS[level]), LEVELS[level])
+
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    """df, broadcast if its counted n rows are few enough."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 @dataclass(frozen=True)
 class ShardPlan:
     keys: tuple[str, ...]
-    hot: DataFrame | None  # keys, _bounds array<long>; None: no key is hot
+    hot: DataFrame | None = None  # keys; None: no key is hot
+    n_hot: int = 0
+    cut: tuple[tuple[DataFrame, int], ...] = field(default=())  # by level: keys, _cell, _n of the cells with more than MOST_ROWS rows; how many
+    most: int = MOST_ROWS
 
     @property
     def groups(self) -> list[str]:
         """What the rows of a local merge have in common: the keys, and the shard if there are any."""
         return [*self.keys] if self.hot is None else [*self.keys, "shard"]
 
+    def hot_rows(self, df: DataFrame) -> DataFrame:
+        return df.join(small(self.hot, self.n_hot), list(self.keys), "left_semi")
+
     def assign(self, df: DataFrame, order: str) -> DataFrame:
-        """df with an int column ``shard``: 0 for keys that are not hot, else the number of boundaries at or below ``order``."""
+        """df with long columns ``shard`` (start of the row's cell; 0 for keys that are not hot) and ``salts`` (parts for rows of a microsecond that has more than ``most`` of them, else 1)."""
         if self.hot is None:
-            return df.withColumn("shard", F.lit(0))
-        t = F.col(order)
-        coarse = F.expr(f"filter(_bounds, (b, i) -> i % {BLOCK} = 0)")
-        c = F.size(F.filter(coarse, lambda b: b <= t))
-        f = F.size(F.filter(F.slice(F.col("_bounds"), (c - 1) * BLOCK + 1, BLOCK), lambda b: b <= t))
-        shard = F.when(F.col("_bounds").isNull() | t.isNull() | (c < 1), 0).otherwise((c - 1) * BLOCK + f)
-        return df.join(F.broadcast(self.hot), list(self.keys), "left").withColumn("shard", shard.cast("int")).drop("_bounds")
-
-
-def plan_shards(df: DataFrame, keys: list[str], order: str, min_rows: int = 50_000, fraction: float = 0.001) -> ShardPlan:
-    """Decide the shards of df's keys along ``order`` (a long column; rows with NULL order fall in shard 0)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    seen = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("most")).first()
-    least = max(min_rows, math.ceil((seen["total"] or 0) * fraction))
-    if (seen["most"] or 0) <= least:
-        return ShardPlan(tuple(keys), None)
-    hot = counts.where(F.col("_n") > least).collect()
-    spark = df.sparkSession
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_n", T.LongType())])
-    few = spark.createDataFrame([tuple(r) for r in hot], schema)
-    grid = [i / MOST for i in range(1, MOST)]
-    sketch = df.join(F.broadcast(few.drop("_n")), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(order, grid, 20_000).alias("_q")).collect()
-    want = {tuple(r[k] for k in keys): min(MOST, math.ceil(r["_n"] / least)) for r in hot}
-    rows = []
-    for r in sketch:
-        key = tuple(r[k] for k in keys)
-        n = want[key]
-        bounds = sorted({int(r["_q"][math.floor(i * MOST / n) - 1]) for i in range(1, n)}) if r["_q"] else []
-        rows.append((*key, bounds))
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_bounds", T.ArrayType(T.LongType()))])
-    return ShardPlan(tuple(keys), spark.createDataFrame(rows, schema))
-
-
-def carry_in(last: DataFrame, keys: list[str], plan: ShardPlan) -> DataFrame:
-    """Replicate each shard's last row into every later shard of the key up to and including the next one that has rows.
-
-    ``last`` has one row per key and shard (at most MOST per key), so the window below is bounded.
+            return df.withColumn("shard", F.lit(0).cast("long")).withColumn("salts", F.lit(1).cast("long"))
+        keys, t = list(self.keys), F.coalesce(F.col(order), F.lit(0))
+        out = df.join(small(self.hot.withColumn("_hot", F.lit(True)), self.n_hot), keys, "left")
+        out = out.withColumn("shard", F.when(F.col("_hot"), cell(t, 0)).otherwise(0).cast("long")).drop("_hot").withColumn("salts", F.lit(1).cast("long"))
+        for level, (cells, n) in enumerate(self.cut):
+            out = out.withColumn("_cell", cell(t, level)).join(small(cells, n), [*keys, "_cell"], "left")
+            if level + 1 < len(LEVELS):
+                out = out.withColumn("shard", F.when(F.col("_n").isNotNull(), cell(t, level + 1)).otherwise(F.col("shard")))
+            else:
+                out = out.withColumn("salts", F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / self.most).cast("long"))
+            out = out.drop("_cell", "_n")
+        return out
+
+
+def plan_shards(df: DataFrame, keys: list[str], order: str, most: int = MOST_ROWS) -> ShardPlan:
+    """Decide the shards of df's keys along ``order`` (a long column; NULL counts as 0).
+
+    One pass counts rows per key (combined before the shuffle); another reads hot keys' rows for each level of cells that is too full.
     """
-    w = Window.partitionBy(*keys).orderBy("shard")
-    bounded = last.join(F.broadcast(plan.hot), keys, "inner")
-    upto = F.coalesce(F.lead("shard").over(w), F.size("_bounds"))
-    return (
-        bounded.withColumn("_to", upto)
-        .where(F.col("_to") > F.col("shard"))
-        .withColumn("shard", F.explode(F.sequence(F.col("shard") + 1, F.col("_to"))))
-        .drop("_to", "_bounds")
-    )
+    hot = checkpoint(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*keys))
+    n_hot = hot.count()
+    if not n_hot:
+        return ShardPlan(tuple(keys), most=most)
+    plan = ShardPlan(tuple(keys), hot, n_hot, (), most)
+    t = F.coalesce(F.col(order), F.lit(0))
+    rows = plan.hot_rows(df.select(*keys, t.alias("_t")))
+    cut: list[tuple[DataFrame, int]] = []
+    for level in range(len(LEVELS)):
+        cells = checkpoint(rows.groupBy(*keys, cell(F.col("_t"), level).alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most))
+        n = cells.count()
+        if not n:
+            break
+        cut.append((cells, n))
+        rows = rows.withColumn("_cell", cell(F.col("_t"), level)).join(small(cells.drop("_n"), n), [*keys, "_cell"], "left_semi").drop("_cell")
+    return ShardPlan(tuple(keys), hot, n_hot, tuple(cut), most)
 
+
+def before_shards(summary: DataFrame, keys: list[str], value: str, order: list[str], forward: bool = False) -> DataFrame:
+    """summary with ``carried``: ``value`` (NULL: none) of the key's nearest earlier (``forward``: later) row that has one.
+
+    ``summary`` has one row per shard. It is looked through in two steps, within the cells of the first level and over
+    those cells (1,440 a century), so its window groups stay small even where a cell of 25 days had to be cut finely.
+    """
+    s = summary.withColumn("_top", cell(F.col("shard"), 0))
+    turn = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
+    inside = Window.partitionBy(*keys, "_top").orderBy(*(turn(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_near", F.last(value, ignorenulls=True).over(inside))
+    along = F.struct(*order) if not forward else F.struct(*((-F.col(c)).alias(c) for c in order))
+    tops = s.where(F.col(value).isNotNull()).groupBy(*keys, "_top").agg(F.max_by(value, along).alias("_last"))
+    every = s.select(*keys, "_top").distinct().join(tops, [*keys, "_top"], "left")
+    over = Window.partitionBy(*keys).orderBy(turn("_top")).rowsBetween(Window.unboundedPreceding, -1)
+    far = every.select(*keys, "_top", F.last("_last", ignorenulls=True).over(over).alias("_far"))
+    return s.join(far, [*keys, "_top"]).withColumn("carried", F.coalesce("_near", "_far")).drop("_top", "_near", "_far")

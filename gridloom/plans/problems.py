@@ -25,11 +25,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_grid(spark: SparkSession, d: str) -> DataFrame:
-    cells = to_quarters(table(spark, d, "fundamentals"))
+    return _grid(to_quarters(table(spark, d, "fundamentals")))
+
+
+def _grid(cells: DataFrame) -> DataFrame:
     ratio = F.round(F.try_divide(F.col("time_weighted"), F.col("filled_value")), 6) + 0.0
+    mean = F.col("time_weighted")
+    mean = F.when(F.abs(mean) >= 1e8, F.round(mean, -3)).when(F.abs(mean) >= 1e4, F.round(mean, 0)).otherwise(F.round(mean, 6)) + 0.0
     return cells.select(
-        "ticker", "field", "cal_quarter", "value", "is_missing", "filled_value", "n_readings", ratio.alias("mean_to_close"),
-        F.round("coverage", 6).alias("coverage")
+        "ticker", "field", "cal_quarter", "value", "is_missing", "filled_value", "n_readings", mean.alias("time_weighted"),
+        ratio.alias("mean_to_close"), F.round("coverage", 6).alias("coverage")
     )
 
 
@@ -38,9 +43,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_known(spark: SparkSession, d: str) -> DataFrame:
-    return known_at_decision(table(spark, d, "rebalances"), table(spark, d, "fundamentals")).select(
-        "event_id", "ticker", "field", "used_value", "known_value", "known_fact_id"
-    )
+    return _known(known_at_decision(table(spark, d, "rebalances"), table(spark, d, "fundamentals")))
+
+
+def _known(known: DataFrame) -> DataFrame:
+    return known.select("event_id", "ticker", "field", "used_value", "known_value", "known_fact_id")
+
+
+#: Rows a key may have before it is cut in the _sharded queries: so few that nearly every key goes through shards and carry-in.
+FEW_ROWS = 12
+
+
+def p1_grid_sharded(spark: SparkSession, d: str) -> DataFrame:
+    """p1_grid with its keys cut into time shards as hot keys are."""
+    return _grid(to_quarters(table(spark, d, "fundamentals"), most=FEW_ROWS))
+
+
+def p2_known_sharded(spark: SparkSession, d: str) -> DataFrame:
+    """p2_known with its keys cut into time shards as hot keys are."""
+    return _known(known_at_decision(table(spark, d, "rebalances"), table(spark, d, "fundamentals"), most=FEW_ROWS))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +102,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_known, p3_found, p3_trailing, p4_found, p4_wide, p5_found, p5_reasons, p6_found)
+    f.__name__: f for f in (p1_found, p1_grid, p1_grid_sharded, p2_found, p2_known, p2_known_sharded, p3_found, p3_trailing, p4_found, p4_wide, p5_found, p5_reasons, p6_found)
 }
 
 _TICKER = "nullif(replace(upper(trim({0}ticker, E' \\t\\n\\r\\x0b\\x0c')), '.', '-'), '')"
@@ -188,6 +209,7 @@ pieces as (select c.*, make_timestamp(cast(c.q // 4 as bigint), cast(c.q % 4 * 3
 cut as (select *, epoch_us(least(coalesce(u, ce), ce)) - epoch_us(greatest(t, cs)) as us from pieces where u is null or u > cs)
 select ticker, field, lpad(cast(q // 4 as varchar), 4, '0') || 'Q' || cast(q % 4 + 1 as varchar) as cal_quarter,
   arg_max(value, t) filter (own) as value, count(*) filter (own) = 0 as is_missing, arg_max(value, t) as filled_value, count(*) filter (own) as n_readings,
+  case when abs(sum(value * us) / sum(us)) >= 1e8 then round(sum(value * us) / sum(us), -3) when abs(sum(value * us) / sum(us)) >= 1e4 then round(sum(value * us) / sum(us), 0) else round(sum(value * us) / sum(us), 6) end + 0.0 as time_weighted,
   round(case when arg_max(value, t) <> 0 then sum(value * us) / sum(us) / arg_max(value, t) end, 6) + 0.0 as mean_to_close,
   round(sum(us) / (epoch_us(any_value(ce)) - epoch_us(any_value(cs))), 6) as coverage
 from cut group by ticker, field, q""",
@@ -214,3 +236,4 @@ select distinct ticker, strftime(day, '%Y-%m-%d') as obs_day, measure from every
 select ticker, strftime(day, '%Y-%m-%d') as obs_day, measure, x as value, cast(sum(bit) as integer) as reasons from (select distinct * from every) group by ticker, day, measure, x""",
     "p6_found": _PERIODS,
 }
+SQL["p1_grid_sharded"], SQL["p2_known_sharded"] = SQL["p1_grid"], SQL["p2_known"]

@@ -1,6 +1,5 @@
 """The general data problems against brute force, with dirty rows, hot keys, empty tables and clashing columns."""
 
-import bisect
 import datetime as dt
 import math
 import random
@@ -70,7 +69,7 @@ def test_quarters_against_brute_force(rows):
 def test_quarters_do_not_depend_on_shards(rows):
     facts = rows(FACTS, random_facts(400, 2))
     whole = sorted(map(str, grid.to_quarters(facts).collect()))
-    cut = sorted(map(str, grid.to_quarters(facts, min_rows=5, fraction=0.01).collect()))
+    cut = sorted(map(str, grid.to_quarters(facts, most=5).collect()))
     assert whole == cut and whole
 
 
@@ -91,7 +90,7 @@ def decisions(n, seed):
 EVENTS = "event_id long, ticker string, decided_at timestamp_ntz, field string, used_value double"
 
 
-@pytest.mark.parametrize("limits", [{}, {"min_rows": 3, "fraction": 0.005}])
+@pytest.mark.parametrize("limits", [{}, {"most": 3}, {"most": 40}])
 def test_known_at_decision_against_brute_force(rows, limits):
     facts, events = random_facts(300, 3), decisions(200, 4)
     got = {r["event_id"]: r for r in asof.known_at_decision(rows(EVENTS, events), rows(FACTS, facts), **limits).collect()}
@@ -347,14 +346,33 @@ def test_clashing_columns_change_nothing(rows):
 
 
 def test_a_hot_key_is_cut_into_shards(rows):
-    from gridloom.operators.sharding import BLOCK, plan_shards
+    from gridloom.operators.sharding import plan_shards
 
-    data = [("hot", k % 700) for k in range(3000)] + [(f"k{k}", k) for k in range(500)]
+    day = 86_400_000_000
+    data = [("hot", k * day // 3) for k in range(3000)]  # a thousand days
+    data += [("hot", 500 * day + k) for k in range(400)]  # cells of 25 days and of minutes that are too full
+    data += [("hot", 700 * day)] * 95 + [(f"k{k}", k) for k in range(500)] + [("hot", None)]
     df = rows("key string, t long", data)
-    plan = plan_shards(df, ["key"], "t", min_rows=30, fraction=0.001)
-    got = plan.assign(df, "t").collect()
-    bounds = {r["key"]: r["_bounds"] for r in plan.hot.collect()}
-    assert list(bounds) == ["hot"] and len(bounds["hot"]) > BLOCK
-    for r in got:
-        assert r["shard"] == (bisect.bisect_right(bounds["hot"], r["t"]) if r["key"] == "hot" else 0)
+    plan = plan_shards(df, ["key"], "t", most=30)
+    assert plan.n_hot == 1 and [r["key"] for r in plan.hot.collect()] == ["hot"]
+    got = sorted((r["key"], r["t"] or 0, r["shard"], r["salts"]) for r in plan.assign(df, "t").collect())
+    assert len(got) == len(data)
+    size, before = {}, -1
+    for key, t, shard, salts in got:
+        if key != "hot":
+            assert (shard, salts) == (0, 1)
+            continue
+        assert before <= shard <= t  # in order of time
+        before = shard
+        size[shard] = size.get(shard, 0) + 1
+        assert salts == (4 if t == 700 * day else 1)
+    assert max(n for s, n in size.items() if s != 700 * day) <= 30 and size[700 * day] in (95, 96)
     assert plan_shards(df, ["key"], "t").hot is None
+
+
+@pytest.mark.parametrize("most", [7, 1000])
+def test_many_events_of_one_microsecond(rows, most):
+    facts = [(i, "A", T0 + dt.timedelta(microseconds=i), "x", float(i), None, T0) for i in range(40)]
+    events = [(i, "A", T0 + dt.timedelta(microseconds=20 if i < 60 else i), "x", float(i)) for i in range(90)] + [(90, "A", T0 - dt.timedelta(days=99), "x", 1.0)]
+    got = {r["event_id"]: r["known_value"] for r in asof.known_at_decision(rows(EVENTS, events), rows(FACTS, facts), most).collect()}
+    assert got == {i: 20.0 if i < 60 else min(i, 39.0) for i in range(90)} | {90: None}
