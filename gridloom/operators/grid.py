@@ -35,9 +35,9 @@ def to_quarters(facts: DataFrame, fields: list[str] | None = None, most: int = M
     """One row per ticker, field and calendar quarter from the first to the last quarter with a usable reading.
 
     Columns: ticker, field, cal_quarter ('2019Q3'), value (latest reading made in the quarter, NULL if none), is_missing
-    (no reading in the quarter), filled_value (the value in force at the quarter's end), n_readings (distinct instants),
-    time_weighted (mean of the step function over the covered part) and coverage (covered share of the quarter: below 1
-    only where the first reading falls inside it). Unusable rows are ignored; ties at one instant go to the greatest
+    (no part of the quarter is covered by a reading made in it), filled_value (the value in force at the quarter's end), n_readings (distinct instants),
+    time_weighted (mean of the step function over the covered part), coverage (covered share of the quarter: below 1 only
+    where the first reading falls inside it) and fresh_coverage (share covered by readings made in the quarter). Unusable rows are ignored; ties at one instant go to the greatest
     period_end, then fact_id; repeated rows count once; empty input gives an empty result.
     """
     rows = usable(facts, fields)
@@ -51,6 +51,7 @@ def to_quarters(facts: DataFrame, fields: list[str] | None = None, most: int = M
     cells = pieces.groupBy(*KEYS, "q").agg(
         F.max_by("value", F.when(F.col("_own"), F.col("t"))).alias("_own_value"),
         F.count(F.when(F.col("_own"), 1)).alias("n_readings"),
+        F.coalesce(F.sum(F.when(F.col("_own"), F.col("_us"))), F.lit(0)).alias("_fresh"),
         F.max_by("value", "t").alias("filled_value"),
         F.sum(F.col("value") * F.col("_us")).alias("_area"),
         F.sum("_us").alias("_covered"),
@@ -59,10 +60,11 @@ def to_quarters(facts: DataFrame, fields: list[str] | None = None, most: int = M
     return cells.select(
         *KEYS,
         quarter_label(F.col("q")).alias("cal_quarter"),
-        F.when(F.col("n_readings") > 0, F.col("_own_value")).alias("value"),
-        (F.col("n_readings") == 0).alias("is_missing"),
+        F.when(F.col("_fresh") > 0, F.col("_own_value")).alias("value"),
+        (F.col("_fresh") == 0).alias("is_missing"),
         "filled_value",
         "n_readings",
         (F.col("_area") / F.col("_covered")).alias("time_weighted"),
         (F.col("_covered") / width).alias("coverage"),
+        (F.col("_fresh") / width).alias("fresh_coverage"),
     )

@@ -1,12 +1,18 @@
-"""Implausible readings: Haar details per source, thresholded at a robust scale.
-
-Per ticker and measure the logarithms of the present, positive readings go through an undecimated Haar transform. Its
-finest details are half the change from one reading to the next; their robust scale is the median of the non-zero
-absolute ones. A spike of one to three readings must enter and leave through two details of opposite sign beyond the
-threshold, so thresholding loses no candidate; the readings between are then held against both sides. Only this finest
-level is computed: the first and the last step of a spike exceed the limit whatever its length, so coarser levels would
-add no candidate. Runs of zero
-details are stuck values; plain bounds find what is impossible.
+"""Implausible readings: undecimated Haar details per source on two levels, thresholded at a robust scale.
+
+Per ticker and measure the logarithms x of the present, positive readings are decomposed without decimation, padded with
+the source's first and last reading:
+
+    level 1: smooth s1[t] = (x[t] + x[t-1]) / 2, detail w1[t] = (x[t] - x[t-1]) / 2
+    level 2: detail w2[t] = (s1[t] - s1[t-2]) / 2, so x = s2 + w1 + w2 with s2[t] = (s1[t] + s1[t-2]) / 2
+
+As usual for wavelet thresholds the noise scale is taken from the finest details: the median of the non-zero absolute ones
+(twice that is the median change). A spike of one reading stands out in the level 1 details on both of its sides. A spike of
+two or three readings stands out in the level 2 details, whose blocks are as wide: the mean of its first two readings less
+the reading before is 2 w2[t+1] - w1[t-1], the mean of its last two less the reading after is w1 - 2 w2 two readings on
+(the level 1 terms take out the other half of the outer block). Every reading of a spike is beyond the limit, so their
+means are, and thresholding the coefficients loses no spike; the readings of each candidate are then held against both
+sides one by one. Runs of zero details are stuck values; plain bounds find what is impossible.
 """
 
 from __future__ import annotations
@@ -24,14 +30,38 @@ from gridloom.operators.columns import day_label
 
 MEASURES = {"close": "close", "adj": "adj close", "volume": "volume"}
 IMPOSSIBLE, OUTLYING, FROZEN = 1, 2, 4
-
-
-def haar_details(x: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """Finest undecimated Haar details (x[t] - x[t-1]) / 2 within each source; NaN at a source's first reading."""
-    out = np.full(len(x), np.nan)
-    same = source[1:] == source[:-1]
-    out[1:][same] = (x[1:] - x[:-1])[same] / 2
-    return out
+#: Copies of its end readings on either side of a source.
+PAD = 3
+#: Candidates may fall short of the limit by this share (and 1e-12), so that rounding loses none; the exact check decides.
+SLACK = 1e-9
+
+
+class Details:
+    """Undecimated Haar details of the sources in x (ordered by source), each padded by PAD copies of its end readings."""
+
+    def __init__(self, x: np.ndarray, source: np.ndarray) -> None:
+        n = len(x)
+        new = np.concatenate(([True], source[1:] != source[:-1]))
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, n))
+        which = np.repeat(np.arange(len(first)), size + 2 * PAD)
+        offset = np.arange(n + 2 * PAD * len(first)) - np.repeat(np.cumsum(size + 2 * PAD) - size - 2 * PAD, size + 2 * PAD) - PAD
+        padded = x[first[which] + np.clip(offset, 0, size[which] - 1)]
+        #: place of reading i among the padded ones
+        self.place = np.arange(n) + PAD + 2 * PAD * np.repeat(np.arange(len(first)), size)
+        back = np.concatenate((padded[:1], padded[:-1]))
+        smooth, self.fine = (padded + back) / 2, (padded - back) / 2
+        self.coarse = (smooth - np.concatenate((smooth[:2], smooth[:-2]))) / 2
+
+    def rise(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Mean of the ``width`` (1 or 2) readings from ``at`` on, less the reading before them."""
+        p = self.place[at]
+        return 2 * self.fine[p] if width == 1 else 2 * self.coarse[p + 1] - self.fine[p - 1]
+
+    def fall(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Mean of the ``width`` readings up to ``at``, less the reading after them."""
+        p = self.place[at]
+        return -2 * self.fine[p + 1] if width == 1 else self.fine[p + 2] - 2 * self.coarse[p + 2]
 
 
 def medians(values: np.ndarray, source: np.ndarray, n: int) -> np.ndarray:
@@ -62,17 +92,22 @@ def judge(x: np.ndarray, source: np.ndarray, n: int, times: float, longest: int,
     if len(x) < 2:
         return bits
     log = np.log(x)
-    detail = haar_details(log, source)
+    haar = Details(log, source)
     same = np.concatenate(([False], source[1:] == source[:-1]))
-    moved = same & (detail != 0)
-    scale = medians(np.abs(detail[moved]), source[moved], n)
+    fine = haar.fine[haar.place]
+    moved = same & (fine != 0)
+    scale = medians(np.abs(fine[moved]), source[moved], n)
     with np.errstate(invalid="ignore"):
         limit = times * 2 * scale[source]  # in units of log change: a detail is half a change
-        up, down = same & (2 * detail > limit), same & (2 * detail < -limit)
+        most = limit * (1 - SLACK) - 1e-12
+        every = np.arange(len(x))
         for length in range(1, longest + 1):
-            for enter, leave, sign in ((up, down, 1.0), (down, up, -1.0)):
-                at = np.flatnonzero(enter[: len(x) - length] & leave[length:])
-                at = at[source[at - 1] == source[np.minimum(at + length, len(x) - 1)]]
+            width = min(length, 2)
+            inner = every[1 : len(x) - length]  # first readings of spikes with a reading before and one after
+            inner = inner[source[inner - 1] == source[inner + length]]
+            up, down = haar.rise(inner, width), haar.fall(inner + length - 1, width)
+            for sign in (1.0, -1.0):
+                at = inner[(sign * up > most[inner]) & (sign * down > most[inner])]
                 good = np.ones(len(at), bool)
                 for k in range(length):
                     here = log[at + k]
@@ -91,10 +126,12 @@ def judge(x: np.ndarray, source: np.ndarray, n: int, times: float, longest: int,
     return bits
 
 
-def implausible(prices: DataFrame, times: float = 10.0, longest: int = 3, stuck: int = 6, quiet: float = 0.5) -> DataFrame:
+def implausible(
+    prices: DataFrame, times: float = 10.0, longest: int = 3, stuck: int = 6, quiet: float = 0.5, infinite: bool = True
+) -> DataFrame:
     """ticker, obs_day, measure, value, reasons (bits: 1 impossible, 2 out of line, 4 frozen) of the readings that are implausible.
 
-    Impossible: a price at or below 0, a volume below 0, an infinite reading. Out of line: one to ``longest`` consecutive
+    Impossible: a price at or below 0, a volume below 0 and, unless ``infinite`` is False, an infinite reading above 0. Out of line: one to ``longest`` consecutive
     readings, each more than ``times`` the scale above, or each as much below, both the reading before and the one after.
     Frozen: ``stuck`` or more equal readings in a row, the first excepted, unless a share of ``quiet`` or more of the
     ticker's readings equals the one before. Only valid bars count; NULL and NaN are no readings; a ticker whose readings
@@ -111,7 +148,7 @@ def implausible(prices: DataFrame, times: float = 10.0, longest: int = 3, stuck:
                 x = doubles(table, new)
                 with np.errstate(invalid="ignore"):
                     ok = (x > 0) & np.isfinite(x)
-                    wrong = np.isinf(x) | (x < 0) | ((x == 0) if new != "volume" else False)
+                    wrong = (infinite & (x == np.inf)) | (x < 0) | ((x == 0) if new != "volume" else False)
                 bits = np.where(wrong, IMPOSSIBLE, 0).astype(np.int8)
                 at = np.flatnonzero(ok)
                 bits[at] |= judge(x[at], source[at], len(starts), times, longest, stuck, quiet)

@@ -5,6 +5,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +283,28 @@ def test_widen_types(rows):
     assert widen.filled_cells(rows(FACTS, at), many).collect() == [("A", "x", 0)]
 
 
+def test_haar_details_rebuild_the_readings():
+    rng = np.random.default_rng(1)
+    sizes = [1, 2, 3, 4, 50]
+    x, source = rng.normal(size=sum(sizes)), np.repeat(np.arange(len(sizes)), sizes)
+    d = spikes.Details(x, source)
+    at = 0
+    for n in sizes:
+        own = x[at : at + n]
+        padded = np.concatenate((np.full(4, own[0]), own, np.full(4, own[-1])))
+        s1 = (padded[1:] + padded[:-1]) / 2
+        s2 = (s1[2:] + s1[:-2]) / 2  # s2[i] belongs to padded[i + 3]
+        p = d.place[at : at + n]
+        assert np.allclose(s2[1 : n + 1] + d.fine[p] + d.coarse[p], own)
+        at += n
+    for i in range(len(x)):
+        n = int((source == source[i]).sum())
+        k = i - int(np.flatnonzero(source == source[i])[0])
+        if 1 <= k < n - 1:
+            assert np.isclose(d.rise(np.array([i]), 1)[0], x[i] - x[i - 1]) and np.isclose(d.rise(np.array([i]), 2)[0], (x[i] + x[i + 1]) / 2 - x[i - 1])
+            assert np.isclose(d.fall(np.array([i]), 1)[0], x[i] - x[i + 1]) and np.isclose(d.fall(np.array([i]), 2)[0], (x[i] + x[i - 1]) / 2 - x[i + 1])
+
+
 SPANS = "ticker string, start_date timestamp_ntz, end_date timestamp_ntz"
 
 
