@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.engine.session import checkpoint
-from gridloom.operators.panel import by_ticker, dollar_volume, guarded
+from gridloom.operators.panel import by_ticker, dollar_volume, guarded, last_pos
 
 #: Columns of a table of weights: pos (the rebalance row), ticker, weight.
 ON_DAY = ["pos"]
@@ -141,48 +141,74 @@ def weigher(scheme: str = "equal", n_buckets: int = 10, vol: DataFrame | None =
 
 @dataclass
 class Run:
-    """daily: pos, day, ret, turnover; book: pos, ticker, weight at the start of the day; trades: pos, ticker, trade."""
+    """A simulation, lazily: every table is read off ``rows``, one row per held name and day.
 
-    daily: DataFrame
-    book: DataFrame
-    trades: DataFrame
+    rows: pos, ticker, period (first row of the holding period), stop (its last), weight (at its start), before and after
+    (weight at the start and the end of the day), ret (of the whole book on the day). Use stored() where several tables of
+    one run are wanted.
+    """
+
+    rows: DataFrame
+    days: DataFrame
+
+    def stored(self) -> Run:
+        """The same run with its rows written to the checkpoint folder, so that nothing is simulated twice."""
+        return Run(checkpoint(self.rows), self.days)
+
+    @property
+    def book(self) -> DataFrame:
+        """pos, ticker, weight at the start of the day."""
+        return self.rows.select("pos", "ticker", F.col("before").alias("weight"))
+
+    def _moves(self) -> DataFrame:
+        """pos, ticker, trade, ret: a period's start weight on its first row and what drifted until its last on the row after, summed by name; 0 otherwise."""
+        none = F.lit(0.0)
+        here = F.struct("pos", F.when(F.col("pos") == F.col("period"), F.col("weight")).otherwise(none).alias("trade"), "ret")
+        then = F.struct((F.col("pos") + 1).alias("pos"), (-F.col("after")).alias("trade"), F.lit(None).cast("double").alias("ret"))
+        each = F.when((F.col("pos") == F.col("stop")) & ~F.col("last"), F.array(here, then)).otherwise(F.array(here))
+        moves = self.rows.select("ticker", F.inline(each))
+        return moves.groupBy("pos", "ticker").agg(F.sum("trade").alias("trade"), F.max("ret").alias("ret"))
+
+    @property
+    def trades(self) -> DataFrame:
+        """pos, ticker, trade: the target less the drifted book at a change."""
+        return self._moves().where("trade <> 0").select("pos", "ticker", "trade")
+
+    @property
+    def daily(self) -> DataFrame:
+        """pos, day, ret, turnover. Returns are rounded to 14 digits, so that a day on which nothing moves has return 0."""
+        per = self._moves().groupBy("pos").agg((F.round(F.max("ret"), 14) + 0.0).alias("ret"), F.sum(F.abs("trade")).alias("turnover"))
+        return per.where("ret is not null").join(F.broadcast(self.days.select("pos", "day")), "pos").select("pos", "day", "ret", "turnover")
 
 
 def simulate(targets: DataFrame, returns: DataFrame, days: DataFrame, exec_lag: int = 1) -> Run:
     """Hold each target (pos, ticker, weight) from the row pos + 1 + exec_lag until the next one is held, drifting with simple returns.
 
     A day without a target (or with zeros only) keeps the book; missing returns are 0; trades are the target less the
-    drifted book at a change. returns: ticker, pos, ret.
+    drifted book at a change. returns: ticker, pos, ret. The targets, rows of the rebalance days only, are computed once
+    and written; the rest is one plan: an exchange by (period, ticker) for the products of returns and one by
+    (period, day) for the wealth.
     """
-    end = days.agg(F.max("pos").alias("p")).first()["p"] or 0
-    # both tables are read several times below; the targets are the rebalance days only
+    end = last_pos(days)
     targets = checkpoint(targets.select("pos", "ticker", "weight"))
     real = targets.where("weight is not null").withColumn("_g", F.sum(F.abs("weight")).over(Window.partitionBy("pos"))).where("_g > 0").drop("_g")
     starts = real.select("pos").distinct().withColumn("start", F.col("pos") + 1 + exec_lag).withColumn("_next", F.lead("start").over(Window.orderBy("pos")))
-    spans = starts.where(F.col("start") <= end).select("pos", "start", F.coalesce(F.col("_next") - 1, F.lit(end)).alias("stop"))  # at most one row a day
+    stop = F.least(F.coalesce(F.col("_next") - 1, F.lit(end)), F.lit(end))
+    spans = starts.where(F.col("start") <= end).select("pos", "start", stop.alias("stop"), (stop == end).alias("last"))  # at most one row a day
     held = real.where("weight <> 0").join(F.broadcast(spans), "pos").select(
-        F.col("start").alias("period"), "ticker", "weight", "stop", F.explode(F.sequence(F.col("start"), F.col("stop"))).alias("pos")
+        F.col("start").alias("period"), "ticker", "weight", "stop", "last", F.explode(F.sequence(F.col("start"), F.col("stop"))).alias("pos")
     )
     rows = held.join(returns.select("ticker", "pos", "ret"), ["ticker", "pos"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
     w = Window.partitionBy("period", "ticker").orderBy("pos")
     rows = rows.withColumn("_g1", F.product(1 + F.col("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_g0", F.coalesce(F.lag("_g1").over(w), F.lit(1.0)))
-    wealth = rows.groupBy("period", "pos").agg(
-        (1 + F.sum(F.col("weight") * (F.col("_g1") - 1))).alias("_v1"), (1 + F.sum(F.col("weight") * (F.col("_g0") - 1))).alias("_v0")
-    )
-    both = checkpoint(rows.join(wealth, ["period", "pos"]))
-    book = both.select("pos", "ticker", (F.col("weight") * F.col("_g0") / F.col("_v0")).alias("weight"))
-    drifted = both.where("pos = stop").select((F.col("pos") + 1).alias("pos"), "ticker", (F.col("weight") * F.col("_g1") / F.col("_v1")).alias("_old"))
-    wealth = both.select("period", "pos", "_v1", "_v0").distinct()
-    fresh = both.where("pos = period").select("pos", "ticker", F.col("weight").alias("_new"))
-    changes = fresh.join(drifted.join(F.broadcast(spans.select(F.col("start").alias("pos"))), "pos", "left_semi"), ["pos", "ticker"], "full")
-    trades = changes.select("pos", "ticker", (F.coalesce("_new", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))).alias("trade")).where("trade <> 0")
-    moved = trades.groupBy("pos").agg(F.sum(F.abs("trade")).alias("turnover"))
-    # rounded to 14 digits, so that a day on which nothing moves has return 0
-    daily = wealth.select("pos", (F.round(F.col("_v1") / F.col("_v0") - 1, 14) + 0.0).alias("ret")).join(moved, "pos", "left").join(days, "pos").select(
-        "pos", "day", "ret", F.coalesce("turnover", F.lit(0.0)).alias("turnover")
+    day = Window.partitionBy("pos")  # periods do not overlap
+    rows = rows.withColumn("_v1", 1 + F.sum(F.col("weight") * (F.col("_g1") - 1)).over(day)).withColumn("_v0", 1 + F.sum(F.col("weight") * (F.col("_g0") - 1)).over(day))
+    rows = rows.select(
+        "pos", "ticker", "period", "stop", "last", "weight", (F.col("weight") * F.col("_g0") / F.col("_v0")).alias("before"),
+        (F.col("weight") * F.col("_g1") / F.col("_v1")).alias("after"), (F.col("_v1") / F.col("_v0") - 1).alias("ret")
     )
-    return Run(daily, book, trades)
+    return Run(rows, days)
 
 
 @dataclass(frozen=True)

@@ -31,6 +31,14 @@ class Factor(ABC):
         last = rows.where(F.col("day") <= day).agg(F.max("day").alias("d")).first()["d"]
         return rows.where(F.col("day") == (last if last is not None else -(2**31))).where("value is not null").select("ticker", "value")
 
+    def signal_column(self) -> str:
+        return f"_signal_{self.name}"
+
+    def add(self, catalog: Catalog, rows: DataFrame) -> DataFrame:
+        """rows (ticker, pos, day, close, adj, volume, ...) with the raw signal as column signal_column()."""
+        own = self.panel(catalog).select("ticker", "pos", F.col("value").alias(self.signal_column()))
+        return rows.join(own, ["ticker", "pos"], "left")
+
     def oriented(self, catalog: Catalog, days: DataFrame | None = None) -> DataFrame:
         """The panel times direction, on the given days; the restriction comes after all windows."""
         rows = self.panel(catalog).withColumn("value", F.col("value") * self.direction)
@@ -41,14 +49,21 @@ class Factor(ABC):
 
 
 class Expression(Factor):
-    """A factor given by a function of the catalog."""
+    """A factor given as columns over the catalog's panel, so that any number of them shares one panel and its exchange.
+
+    ``steps`` maps (catalog, rows) to rows with a column ``value`` and every column they had.
+    """
 
-    def __init__(self, name: str, direction: int, compute: Callable[[Catalog], DataFrame]) -> None:
+    def __init__(self, name: str, direction: int, steps: Callable[[Catalog, DataFrame], DataFrame]) -> None:
         super().__init__(name, direction)
-        self.compute = compute
+        self.steps = steps
 
     def panel(self, catalog: Catalog) -> DataFrame:
-        return self.compute(catalog)
+        return self.steps(catalog, catalog.panel).select(*KEYS, "value")
+
+    def add(self, catalog: Catalog, rows: DataFrame) -> DataFrame:
+        done = self.steps(catalog, rows)
+        return done.select(*rows.columns, F.col("value").alias(self.signal_column()))
 
 
 class Stored(Factor):
@@ -81,9 +96,9 @@ class Registry:
 
 
 def momentum(panel: DataFrame, lookback: int, skip: int, log_prices: bool = False) -> DataFrame:
-    """ln P skip rows earlier - ln P lookback rows earlier; NULL without that much history."""
+    """panel with value: ln P skip rows earlier - ln P lookback rows earlier; NULL without that much history."""
     p = F.col("adj") if log_prices else log_positive("adj")
-    return panel.select(*KEYS, (lagged(p, skip) - lagged(p, lookback)).alias("value"))
+    return panel.withColumn("value", lagged(p, skip) - lagged(p, lookback))
 
 
 def reversal(panel: DataFrame, window: int = 21) -> DataFrame:
@@ -91,19 +106,19 @@ def reversal(panel: DataFrame, window: int = 21) -> DataFrame:
 
 
 def volatility(rets: DataFrame, window: int = 60, least: int = 40) -> DataFrame:
-    """Sample deviation of returns over the trailing window."""
-    return rets.select(*KEYS, guarded(F.stddev_samp("ret"), "ret", window, least).alias("value"))
+    """rets with value: sample deviation of returns over the trailing window."""
+    return rets.withColumn("value", guarded(F.stddev_samp("ret"), "ret", window, least))
 
 
 def illiquidity(rets: DataFrame, window: int = 21, least: int = 14) -> DataFrame:
-    """Mean of |return| per dollar of volume, times 1e6; days without volume are left out."""
-    daily = rets.select(*KEYS, F.try_divide(F.abs("ret"), F.nullif(dollar_volume(), F.lit(0.0))).alias("_x"))
-    return daily.select(*KEYS, (guarded(F.avg("_x"), "_x", window, least) * 1e6).alias("value"))
+    """rets with value: mean of |return| per dollar of volume, times 1e6; days without volume are left out."""
+    daily = rets.withColumn("_x", F.try_divide(F.abs("ret"), F.nullif(dollar_volume(), F.lit(0.0))))
+    return daily.withColumn("value", guarded(F.avg("_x"), "_x", window, least) * 1e6)
 
 
 def residual_skewness(rets: DataFrame, market: DataFrame, window: int = 60, least: int = 40) -> DataFrame:
-    """Bias-corrected skewness of the residuals of rolling market betas (covariance pairwise, variance of the market alone); NULL where the residuals don't vary."""
-    m = rets.join(market, "day", "left")
+    """rets with value: bias-corrected skewness of the residuals of rolling market betas (covariance pairwise, variance of the market alone); NULL where the residuals don't vary."""
+    m = rets.join(F.broadcast(market), "day", "left")  # one row a day
     w = trailing(window)
     pairs = F.count(F.when(F.col("ret").isNotNull() & F.col("market").isNotNull(), 1)).over(w)
     cov = F.when(pairs >= least, F.covar_samp("ret", "market").over(w))
@@ -111,41 +126,37 @@ def residual_skewness(rets: DataFrame, market: DataFrame, window: int = 60, leas
     residual = m.withColumn("_e", F.col("ret") - F.try_divide(cov, var) * F.col("market"))
     n = F.count("_e").over(w)
     moves = F.stddev_pop("_e").over(w) > 1e-12  # below that the residuals are rounding noise
-    return residual.select(*KEYS, F.when((n >= least) & moves, bias_corrected_skewness(F.skewness("_e").over(w), n)).alias("value"))
+    return residual.withColumn("value", F.when((n >= least) & moves, bias_corrected_skewness(F.skewness("_e").over(w), n)))
 
 
 def size(capped: DataFrame) -> DataFrame:
-    return capped.select(*KEYS, log_positive("cap").alias("value"))
+    return capped.withColumn("value", log_positive("cap"))
 
 
 def ratio_to_cap(capped: DataFrame) -> DataFrame:
-    """known / cap; a cap of 0 gives NULL."""
-    return capped.select(*KEYS, F.try_divide("known", F.nullif("cap", F.lit(0.0))).alias("value"))
-
-
-def _value(c: Catalog) -> DataFrame:
-    return ratio_to_cap(c.known("book_equity", c.market_cap()))
+    """capped with value: known / cap; a cap of 0 gives NULL."""
+    return capped.withColumn("value", F.try_divide("known", F.nullif("cap", F.lit(0.0))))
 
 
-def _quality(c: Catalog) -> DataFrame:
-    both = c.known("total_assets", c.known("gross_profit").withColumnRenamed("known", "_gross"))
-    return both.select(*KEYS, F.try_divide("_gross", F.nullif("known", F.lit(0.0))).alias("value"))
+def _quality(c: Catalog, rows: DataFrame) -> DataFrame:
+    both = c.known("total_assets", c.known("gross_profit", rows).withColumnRenamed("known", "_gross"))
+    return both.withColumn("value", F.try_divide("_gross", F.nullif("known", F.lit(0.0))))
 
 
 FACTORS = Registry()
 for _f in (
-    Expression("momentum_12_1", 1, lambda c: momentum(c.panel, 252, 21)),
-    Expression("reversal_1m", -1, lambda c: reversal(c.panel, 21)),
-    Expression("volatility_60", -1, lambda c: volatility(c.returns("log"))),
-    Expression("amihud_illiquidity", 1, lambda c: illiquidity(c.returns("simple"))),
-    Expression("idiosyncratic_skew", -1, lambda c: residual_skewness(c.returns("log"), c.market)),
-    Expression("size", -1, lambda c: size(c.market_cap())),
-    Expression("value", 1, _value),
+    Expression("momentum_12_1", 1, lambda c, rows: momentum(rows, 252, 21)),
+    Expression("reversal_1m", -1, lambda c, rows: reversal(rows, 21)),
+    Expression("volatility_60", -1, lambda c, rows: volatility(returns(rows, "log"))),
+    Expression("amihud_illiquidity", 1, lambda c, rows: illiquidity(returns(rows, "simple"))),
+    Expression("idiosyncratic_skew", -1, lambda c, rows: residual_skewness(returns(rows, "log"), c.market)),
+    Expression("size", -1, lambda c, rows: size(c.capped(rows))),
+    Expression("value", 1, lambda c, rows: ratio_to_cap(c.known("book_equity", c.capped(rows)))),
     Expression("quality", 1, _quality),
 ):
     FACTORS.register(_f)
 
 
 def rolling_volatility(panel: DataFrame, window: int = 63) -> DataFrame:
-    """Sample deviation of simple returns; at least max(2, window // 4) of them."""
-    return volatility(returns(panel, "simple"), window, max(2, window // 4))
+    """ticker, pos, day, value: sample deviation of simple returns; at least max(2, window // 4) of them."""
+    return volatility(returns(panel, "simple"), window, max(2, window // 4)).select(*KEYS, "value")

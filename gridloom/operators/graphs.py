@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import network as N
 from gridloom.operators.factors import Factor, Registry
+from gridloom.operators.panel import last_pos
 from gridloom.operators.universe import restrict
 from gridloom.sources.catalog import Catalog
 
@@ -81,7 +82,7 @@ def snapshot_values(rows: DataFrame, function: SnapshotFunction, window: int = 1
 
 def hold_until_next(values: DataFrame, days: DataFrame) -> DataFrame:
     """ticker, pos, day, value: each snapshot's value from its day until the ticker's next one, the last to the calendar's end. Intervals are unfolded, nothing is filled by window."""
-    end = days.agg(F.max("pos").alias("p")).first()["p"] or 0
+    end = last_pos(days)
     following = F.lead("snap").over(Window.partitionBy("ticker").orderBy("snap"))
     spans = values.withColumn("_to", F.coalesce(following - 1, F.lit(end)))
     rows = spans.select("ticker", F.explode(F.sequence("snap", "_to")).alias("pos"), "value")

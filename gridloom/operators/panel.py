@@ -7,6 +7,7 @@ one row per calendar day, so windows over one ticker are bounded by the length o
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,17 @@ def calendar(days: DataFrame) -> DataFrame:
     A calendar has one row per day, whatever the number of bars (36,525 a century), so it is read once, kept by the driver
     and broadcast where it is joined.
     """
-    found = [r["day"] for r in days.select("day").where("day is not null").distinct().orderBy("day").collect()]
-    return days.sparkSession.createDataFrame(list(zip(found, range(len(found)), strict=True)), "day int, pos int")
+    found = sorted(r["day"] for r in days.select("day").where("day is not null").distinct().collect())
+    columns = {"day": pa.array(found, pa.int32()), "pos": pa.array(range(len(found)), pa.int32())}
+    out = days.sparkSession.createDataFrame(pa.table(columns))  # a local relation: reading it takes no job
+    out._last_pos = len(found) - 1
+    return out
+
+
+def last_pos(days: DataFrame) -> int:
+    """Greatest pos of a calendar, 0 for an empty one."""
+    known = getattr(days, "_last_pos", None)
+    return max(known, 0) if known is not None else days.agg(F.max("pos").alias("p")).first()["p"] or 0
 
 
 def trading_days(prices: DataFrame) -> DataFrame:
@@ -48,7 +58,7 @@ def dense(placed: DataFrame, days: DataFrame, fields: list[str], tail: int = 0)
 
     One exchange by ticker, which the windows over tickers that follow share.
     """
-    end = days.agg(F.max("pos")).first()[0] or 0
+    end = last_pos(days)
     following = F.lead("pos").over(by_ticker())
     upto = F.coalesce(following - 1, F.least(F.col("pos") + tail, F.lit(end)))
     rows = placed.withColumn("_own", F.col("pos")).withColumn("_to", upto)

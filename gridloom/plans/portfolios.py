@@ -86,13 +86,13 @@ def simulated_trades(spark: SparkSession, d: str) -> DataFrame:
 
 def costed_days(spark: SparkSession, d: str) -> DataFrame:
     c = cat(spark, d)
-    n = B.with_costs(run(c), B.average_dollar_volume(c.panel), B.CostModel())
+    n = B.with_costs(run(c).stored(), B.average_dollar_volume(c.panel), B.CostModel())
     return n.select(label(), *(rounded(x) for x in ("gross", "linear", "impact", "borrow", "net")))
 
 
 def sharpe_by_cost(spark: SparkSession, d: str) -> DataFrame:
     c = cat(spark, d)
-    return B.sharpe_by_cost(run(c), B.average_dollar_volume(c.panel)).select("bps", rounded("net_sharpe", 6))
+    return B.sharpe_by_cost(run(c).stored(), B.average_dollar_volume(c.panel)).select("bps", rounded("net_sharpe", 6))
 
 
 def capacity(spark: SparkSession, d: str) -> DataFrame:
@@ -274,7 +274,7 @@ side as (select *, case when row_number() over (partition by pos order by value
 _EQUAL = f"""{_SIGNAL}, tgt as (select pos, ticker, 0.5::double * side / count(*) over (partition by pos, side) as weight from side where side <> 0)"""
 _RUN = f"""{_EQUAL},
 start as (select pos as p, pos + 2 as start, lead(pos + 2) over (order by pos) as nxt from (select distinct pos from tgt)),
-span as (select p, start, coalesce(nxt - 1, (select max(pos) from cal)) as stop from start where start <= (select max(pos) from cal)),
+span as (select p, start, least(coalesce(nxt - 1, (select max(pos) from cal)), (select max(pos) from cal)) as stop from start where start <= (select max(pos) from cal)),
 held as (select start as period, ticker, weight, stop, unnest(range(start, stop + 1)) as pos from tgt join span on tgt.pos = span.p),
 r as (select h.*, coalesce(x.r, 0) as ret from held h left join sret x on x.ticker = h.ticker and x.pos = h.pos),
 g as (select *, product(1 + ret) over (partition by period, ticker order by pos rows unbounded preceding) as g1 from r),

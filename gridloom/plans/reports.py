@@ -41,7 +41,7 @@ class Report:
 
 def backtest_report(catalog: Catalog, factor: Factor, freq: str | int = "M", weigh=None, costs: B.CostModel = B.CostModel(), split_day: int | None = None, n_trials: int | None = None, var_sharpe: float | None = None) -> Report:  # noqa: B008
     """Gross and net metrics, benchmark, beta, cost curve, capacity, monthly returns; from ``split_day`` on only. A deflated Sharpe ratio needs both n_trials and var_sharpe."""
-    run = backtest(catalog, factor, freq, weigh)
+    run = backtest(catalog, factor, freq, weigh).stored()
     adv = B.average_dollar_volume(catalog.panel)
     costed = checkpoint(B.with_costs(run, adv, costs))
     kept = costed if split_day is None else costed.where(F.col("day") >= split_day)

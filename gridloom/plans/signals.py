@@ -100,25 +100,23 @@ def forward_returns(spark: SparkSession, d: str) -> DataFrame:
     return E.forward_returns(cat(spark, d).panel, HORIZONS).where("fwd is not null").select("ticker", label(), "horizon", rounded("fwd"))
 
 
-def oriented(c: Catalog) -> DataFrame:
-    return E.signals(c, [X.FACTORS.get("reversal_1m"), X.FACTORS.get("volatility_60")])
+def scores(c: Catalog, horizons: tuple[int, ...] = (), lag: int = 0) -> DataFrame:
+    """Reversal and volatility, oriented, with forward returns."""
+    return E.scored(c, [X.FACTORS.get("reversal_1m"), X.FACTORS.get("volatility_60")], horizons, lag)
 
 
 def information(spark: SparkSession, d: str) -> DataFrame:
-    c = cat(spark, d)
-    ic = E.information(oriented(c), E.forward_returns(c.panel, HORIZONS), LEAST)
-    return ic.select("factor", "horizon", label(), rounded("ic", 7), "n")
+    return E.scored_information(scores(cat(spark, d), HORIZONS), LEAST).select("factor", "horizon", label(), rounded("ic", 7), "n")
 
 
 def information_in_universe(spark: SparkSession, d: str) -> DataFrame:
     c = cat(spark, d)
-    ic = E.information(U.restrict(oriented(c), c.periods), E.forward_returns(c.panel, HORIZONS), LEAST // 2)
+    ic = E.scored_information(U.restrict(scores(c, HORIZONS), c.periods), LEAST // 2)
     return ic.select("factor", "horizon", label(), rounded("ic", 7), "n")
 
 
 def information_summary(spark: SparkSession, d: str) -> DataFrame:
-    c = cat(spark, d)
-    s = E.summarise_information(E.information(oriented(c), E.forward_returns(c.panel, HORIZONS), LEAST), lags=5)
+    s = E.summarise_information(E.scored_information(scores(cat(spark, d), HORIZONS), LEAST), lags=5)
     return s.select(
         "factor", "horizon", "n", *(rounded(x, 6) for x in ("mean", "sd", "ir", "t_naive", "hit_rate", "t_hac")),
         day_label(F.col("first_day")).alias("first_day"), day_label(F.col("last_day")).alias("last_day")
@@ -126,13 +124,12 @@ def information_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def information_decay(spark: SparkSession, d: str) -> DataFrame:
-    c = cat(spark, d)
-    ic = E.information(oriented(c), E.forward_returns(c.panel, (1, 5, 10, 21, 42, 63)), LEAST)
+    ic = E.scored_information(scores(cat(spark, d), (1, 5, 10, 21, 42, 63)), LEAST)
     return ic.groupBy("factor", "horizon").agg(F.round(F.avg("ic"), 7).alias("mean"))
 
 
-def sided(c: Catalog) -> DataFrame:
-    return E.buckets(E.delayed(oriented(c), 1), BUCKETS)
+def sided(c: Catalog, horizons: tuple[int, ...] = ()) -> DataFrame:
+    return E.buckets(scores(c, horizons, 1), BUCKETS)
 
 
 def bucket_sides(spark: SparkSession, d: str) -> DataFrame:
@@ -140,19 +137,16 @@ def bucket_sides(spark: SparkSession, d: str) -> DataFrame:
 
 
 def long_short(spark: SparkSession, d: str) -> DataFrame:
-    c = cat(spark, d)
-    return E.long_short(sided(c), E.forward_returns(c.panel, (21,))).select("factor", label(), "horizon", rounded("ret"))
+    return E.long_short(sided(cat(spark, d), (21,))).select("factor", label(), "horizon", rounded("ret"))
 
 
 def bucket_turnover(spark: SparkSession, d: str) -> DataFrame:
-    c = cat(spark, d)
-    return E.turnover(sided(c)).select("factor", label(), rounded("turnover"))
+    return E.turnover(sided(cat(spark, d))).select("factor", label(), rounded("turnover"))
 
 
 def net_long_short(spark: SparkSession, d: str) -> DataFrame:
-    c = cat(spark, d)
-    s = sided(c)
-    return E.net_long_short(E.long_short(s, E.forward_returns(c.panel, (21,))), E.turnover(s)).select("factor", label(), rounded("ret"), rounded("net"))
+    s = sided(cat(spark, d), (21,))
+    return E.net_long_short(E.long_short(s), E.turnover(s)).select("factor", label(), rounded("ret"), rounded("net"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"q_{f.__name__}": f for f in (

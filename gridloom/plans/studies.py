@@ -59,14 +59,14 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def long_short_moments(spark: SparkSession, d: str) -> DataFrame:
-    m = T.long_short_moments(E.long_short(S.sided(cat(spark, d)), E.forward_returns(cat(spark, d).panel, (21,))))
+    m = T.long_short_moments(E.long_short(S.sided(cat(spark, d), (21,))))
     return m.select("factor", "n", *(rounded(c, 6) for c in m.columns[2:]))
 
 
 def p_values(spark: SparkSession, d: str) -> DataFrame:
     """Normal p-values of each factor and horizon, and which the step-up and the Bonferroni rule reject."""
     c = cat(spark, d)
-    s = E.summarise_information(E.information(S.oriented(c), E.forward_returns(c.panel, S.HORIZONS), LEAST), 5)
+    s = E.summarise_information(E.scored_information(S.scores(c, S.HORIZONS), LEAST), 5)
 
     @F.pandas_udf("double")
     def two_sided(t: pd.Series) -> pd.Series:

@@ -57,5 +57,9 @@ class Catalog:
     def known(self, field: str, panel: DataFrame | None = None) -> DataFrame:
         return P.facts_on_calendar(self.panel if panel is None else panel, self.table("fundamentals"), field)
 
+    def capped(self, rows: DataFrame, asof: bool = True) -> DataFrame:
+        """rows with ``cap``."""
+        return P.market_cap(rows, self.table("fundamentals"), asof=asof)
+
     def market_cap(self, asof: bool = True) -> DataFrame:
-        return P.market_cap(self.panel, self.table("fundamentals"), asof=asof)
+        return self.capped(self.panel, asof)
