@@ -12,13 +12,10 @@ from gridloom.sources.catalog import Catalog
 
 
 def find(name: str):
-    for registry in (FACTORS, GRAPH_FACTORS):
-        try:
-            return registry.get(name)
-        except KeyError:
-            continue
-    known = [f.name for r in (FACTORS, GRAPH_FACTORS) for f in r.all()]
-    raise SystemExit(f"no factor {name!r}; known: {', '.join(known)}")
+    known = {f.name: f for registry in (GRAPH_FACTORS, FACTORS) for f in registry.all()}
+    if name not in known:
+        raise SystemExit(f"{name!r} is none of the factors {', '.join(sorted(known))}")
+    return known[name]
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -75,6 +75,32 @@ def step_up(p: np.ndarray, alpha: float) -> np.ndarray:
     return out
 
 
+def step_up_normal(z: np.ndarray, alpha: float) -> np.ndarray:
+    """step_up() of the two-sided normal p-values of z. p falls in |z|, so the last rejected place is looked for from the
+    smallest |z| upwards among those with p <= alpha; only scores near that place need their p-value."""
+    m = len(z)
+    size = np.abs(z)
+    order = np.argsort(-size, kind="stable")
+    ranked = size[order]
+    out = np.zeros(m, bool)
+    # place k (from 1) passes if p(z_k) <= k / m * alpha, i.e. if z_k >= the score whose p is k / m * alpha: that score
+    # falls in k, so whole stretches of places fail or pass by their ends' scores
+    a, b = 0, int(np.searchsorted(-ranked, -_NORMAL.inv_cdf(1 - alpha / 2) + 1e-9, side="right")) if m else 0
+    stretches = [(a, b)]
+    while stretches:
+        lo, hi = stretches.pop()  # places lo .. hi - 1, the last stretch first
+        if hi <= lo:
+            continue
+        if normal_two_sided(float(ranked[lo])) > hi / m * alpha:  # the best score against the mildest limit
+            continue
+        if hi - lo == 1:
+            out[order[:hi]] = True
+            break
+        mid = (lo + hi) // 2
+        stretches += [(lo, mid), (mid, hi)]
+    return out
+
+
 def benjamini_hochberg(p: dict[str, float | None], alpha: float = 0.05) -> dict[str, bool]:
     names = list(p)
     return dict(zip(names, step_up(np.array([math.nan if p[k] is None else p[k] for k in names], float), alpha).tolist(), strict=True))

@@ -253,7 +253,11 @@ def with_costs(run: Run, adv: DataFrame, model: CostModel) -> DataFrame:
     return d.withColumn("net", F.col("gross") - F.col("linear") - F.col("impact") - F.col("borrow"))
 
 
-def sharpe_by_cost(run: Run, adv: DataFrame, grid: tuple[float, ...] = (0, 5, 10, 15, 20, 25), model: CostModel = CostModel()) -> DataFrame:  # noqa: B008
+# The spreads of the cost curve, in basis points.
+SPREADS = (0.0, 5.0, 10.0, 15.0, 20.0, 25.0)
+
+
+def sharpe_by_cost(run: Run, adv: DataFrame, grid: tuple[float, ...] = SPREADS, model: CostModel = CostModel()) -> DataFrame:  # noqa: B008
     """bps, net_sharpe: the one gross run priced at several spreads; only the linear term differs."""
     base = with_costs(run, adv, CostModel(0.0, model.impact, model.borrow_bps, model.aum, model.per_year)).join(run.daily.select("pos", "turnover"), "pos")
     each = base.select(

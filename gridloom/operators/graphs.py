@@ -90,11 +90,11 @@ def hold_until_next(values: DataFrame, days: DataFrame) -> DataFrame:
 
 
 class GraphFactor(Factor):
-    """A node statistic computed at each snapshot and held between them."""
+    """A node statistic computed at each snapshot over the universe of its day and held between them; in_universe=False takes every name."""
 
     def __init__(
         self, name: str, function: SnapshotFunction, window: int = 120, freq: str = "M", direction: int = 1, least: int | None = None,
-        in_universe: bool = False
+        in_universe: bool = True
     ) -> None:
         super().__init__(name, direction)
         self.function, self.window, self.freq, self.least, self.in_universe = function, window, freq, least, in_universe
@@ -166,7 +166,7 @@ class VectorFactor(Factor):
 
     def __init__(
         self, name: str, store: DataFrame, k: int = 20, freq: str = "M", lookback: int = 21, least_similarity: float = 0.0,
-        least_names: int = 10, direction: int = 1, in_universe: bool = False
+        least_names: int = 10, direction: int = 1, in_universe: bool = True
     ) -> None:
         super().__init__(name, direction)
         self.store, self.k, self.freq, self.lookback, self.least_similarity, self.least_names, self.in_universe = store, k, freq, lookback, least_similarity, least_names, in_universe

@@ -34,15 +34,19 @@ def restrict(panel: DataFrame, spans: DataFrame) -> DataFrame:
     return panel.join(s, (F.col("ticker") == F.col("_t")) & (F.col("day") >= F.col("start")) & (F.col("day") < F.col("end")), "left_semi")
 
 
-def sizes_at_month_ends(spans: DataFrame, first: str, last: str) -> DataFrame:
-    """month_end, n: members at each calendar month end from first to last. Each period counts itself at the month ends it covers, then one combinable count."""
-    a, b = F.lit(first).cast("date"), F.lit(last).cast("date")
-    lo = F.greatest(F.date_from_unix_date("start"), a)
-    hi = F.least(F.date_from_unix_date(F.col("end") - 1), b)
+def month_ends_covered(spans: DataFrame, first: Column, last: Column) -> DataFrame:
+    """month_end, ticker: each period unfolded to the calendar month ends it covers, from first to last."""
+    lo = F.greatest(F.date_from_unix_date("start"), first)
+    hi = F.least(F.date_from_unix_date(F.col("end") - 1), last)
     months = spans.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi")
     ends = F.sequence(F.trunc("_lo", "month"), F.trunc("_hi", "month"), F.expr("interval 1 month"))
-    out = months.select(F.explode(F.transform(ends, lambda m: F.last_day(m))).alias("month_end"), "_lo", "_hi")
-    return out.where("month_end between _lo and _hi").groupBy("month_end").agg(F.count(F.lit(1)).alias("n"))
+    out = months.select(F.explode(F.transform(ends, lambda m: F.last_day(m))).alias("month_end"), "ticker", "_lo", "_hi")
+    return out.where("month_end between _lo and _hi").select("month_end", "ticker")
+
+
+def sizes_at_month_ends(spans: DataFrame, first: str, last: str) -> DataFrame:
+    """month_end, n: members at each calendar month end from first to last. Each period counts itself at the month ends it covers, then one combinable count."""
+    return month_ends_covered(spans, F.lit(first).cast("date"), F.lit(last).cast("date")).groupBy("month_end").agg(F.count(F.lit(1)).alias("n"))
 
 
 def resolve_renames(tickers: DataFrame, renames: dict[str, str]) -> DataFrame:

@@ -178,7 +178,8 @@ def extreme_moves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def windows(c: Catalog, least: int | None = None) -> DataFrame:
-    return G.window_rows(c.returns("log"), month_ends(c), 120, least)
+    """Trailing windows at month ends of the members of each month end."""
+    return G.window_rows(c.returns("log"), month_ends(c), 120, least, c.periods)
 
 
 def graph_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -251,8 +252,8 @@ def vector_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def item_one_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Length of the business section of each filing that has one."""
-    found = table(spark, d, "documents").where("source = 'tenk_item1'").select("doc_id", V.item_one(F.col("text")).alias("item"))
+    """Length of the business section of each text that has one, whatever its source says."""
+    found = table(spark, d, "documents").select("doc_id", V.item_one(F.col("text")).alias("item"))
     return found.where("item is not null").select("doc_id", F.length("item").alias("n_chars"))
 
 
@@ -304,7 +305,7 @@ beta as (select *, case when count(r * market) over w = 60 and count(r) over w =
 _SECTORS = f"sec as (select {_TICKER.format('')} as ticker, min(sector) as sector from listings where sector is not null group by 1)"
 
 #: Complete windows of 120 returns at month ends and their shrunk correlations (c: snap, i < j, rho).
-_SHRUNK = f"""{_RET}, {_ENDS}, w as (select e.pos as snap, t.ticker, t.pos, t.r from ret t join ends e on t.pos between e.pos - 119 and e.pos where t.r is not null),
+_SHRUNK = f"""{_RET}, {_ENDS}, {_SPANS}, w as (select e.pos as snap, t.ticker, t.pos, t.r from ret t join ends e on t.pos between e.pos - 119 and e.pos where t.r is not null and exists (select 1 from spans m where m.ticker = t.ticker and e.day >= m.s and e.day < m.e)),
 k as (select *, count(*) over (partition by snap, ticker) as c, var_pop(r) over (partition by snap, ticker) as vr from w), x as (select snap, ticker, pos, r - avg(r) over (partition by snap, ticker) as x from k where c = 120 and vr > 0),
 s as (select a.snap, a.ticker as i, b.ticker as j, sum(a.x * b.x) / 120 as s from x a join x b on a.snap = b.snap and a.pos = b.pos group by all),
 g as (select snap, avg(s) filter (i = j) as mu, sum(s * s) as norm, count(*) filter (i = j) as p from s group by 1),
@@ -382,7 +383,7 @@ select p.obs_day, name_group, round(avg(case when adj is null then 1.0 else 0.0
 p as (select ticker, count(*) filter (abs(a) > 0.4) as x, count(*) filter (abs(a - c) > 1e-9) as d, count(a) as n from d group by 1), t as (select cast(sum(x) as bigint) as n_extreme, count(*) filter (d = 0) as n_unadjusted, count(*) as n_tickers from p where n > 0)
 select n_extreme, n_unadjusted, n_tickers, round(n_unadjusted / n_tickers, 6) + 0.0 as share, n_unadjusted / n_tickers < 0.5 as passed from t""",
     "q_extreme_moves": f"with {_RET} select ticker, obs_day, round(r, 8) + 0.0 as ret from ret where abs(r) > 0.4",
-    "q_graph_windows": f"""with {_RET}, {_ENDS}, w as (select e.pos as snap, t.ticker, t.r from ret t join ends e on t.pos between e.pos - 119 and e.pos where t.r is not null), k as (select *, count(*) over (partition by snap, ticker) as c from w)
+    "q_graph_windows": f"""with {_RET}, {_ENDS}, {_SPANS}, w as (select e.pos as snap, t.ticker, t.r from ret t join ends e on t.pos between e.pos - 119 and e.pos where t.r is not null and exists (select 1 from spans m where m.ticker = t.ticker and e.day >= m.s and e.day < m.e)), k as (select *, count(*) over (partition by snap, ticker) as c from w)
 select snap, count(distinct ticker) as n_names, count(r) as n_returns, round(sum(r), 6) + 0.0 as sum_ret from k where c >= 100 group by 1""",
     "q_neutral_by_sector": f"""with {_RET}, {_SECTORS}, v as (select ticker, pos, day, obs_day, case when count(r) over w >= 40 then stddev_samp(r) over w end as value from ret window w as {_R60}),
 x as (select v.*, sector, count(*) over (partition by pos) as n from v join sec on v.ticker = sec.ticker where value is not null),

@@ -49,7 +49,7 @@ def backtest_report(catalog: Catalog, factor: Factor, freq: str | int = "M", wei
         "day", F.inline(F.array(*(F.struct(F.lit(s).alias("series"), F.col(s).alias("ret")) for s in ("net", "gross"))))
     ).select("series", "day", "ret")
     net = series.where("series = 'net'")
-    grid = tuple(sorted({0.0, 5.0, 10.0, 15.0, 20.0, 25.0, costs.spread_bps}))
+    grid = tuple(sorted({*B.SPREADS, costs.spread_bps}))
     tables = {
         "metrics": M.performance(series, costs.per_year), "benchmark": M.benchmark_table(net, catalog.market, per_year=costs.per_year), "beta": M.realised_beta(net, catalog.market), "monthly": M.monthly_returns(net),
         "cost_curve": B.sharpe_by_cost(run, adv, grid, costs), "capacity": B.capacity(run.book, adv, costs.aum),

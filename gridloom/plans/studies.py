@@ -15,6 +15,7 @@ from gridloom.operators import factors as X
 from gridloom.operators import graphs as G
 from gridloom.operators import universe as U
 from gridloom.operators import vectors as V
+from gridloom.operators.columns import symbol
 from gridloom.operators.readings import usable
 from gridloom.plans import signals as S
 from gridloom.plans import study as T
@@ -127,21 +128,19 @@ def validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Share of each month's members with a filed document by then."""
-    docs = table(spark, d, "documents").where("ticker is not null and filed_at is not null").select("ticker", F.to_date("filed_at").alias("filing_date"))
-    c = cat(spark, d)
-    points = F.array(*(F.to_date(F.lit(p)) for p in ("2014-06-30", "2018-06-30", "2022-06-30")))
-    members = c.periods.withColumn("checkpoint", F.explode(points)).where(
-        (F.unix_date("checkpoint") >= F.col("start")) & (F.unix_date("checkpoint") < F.col("end"))
-    ).select("checkpoint", "ticker")
+    """Share of the members at each month end with a filed document by then, over the months of the filings."""
+    docs = table(spark, d, "documents").select(symbol("ticker").alias("ticker"), F.to_date("filed_at").alias("filing_date")).where(
+        "ticker is not null and filing_date is not null"
+    )
+    span = docs.agg(F.min("filing_date").alias("a"), F.max("filing_date").alias("b")).first()
+    points = U.month_ends_covered(cat(spark, d).periods, F.last_day(F.lit(span["a"])), F.last_day(F.lit(span["b"])))
+    members = points.select(F.col("month_end").alias("checkpoint"), "ticker")
     return V.coverage(docs, members).select(F.date_format("checkpoint", "yyyy-MM-dd").alias("checkpoint"), "n_universe", "n_covered", rounded("coverage", 6))
 
 
 def filings_per_year(spark: SparkSession, d: str) -> DataFrame:
     """Distinct tickers with a business section of at least 500 characters, by year."""
-    own = table(spark, d, "documents").where(
-        "source = 'tenk_item1' and ticker is not null and filed_at is not null"
-    ).select("ticker", "filed_at", V.item_one(F.col("text")).alias("item"))
+    own = table(spark, d, "documents").where("ticker is not null and filed_at is not null").select("ticker", "filed_at", V.item_one(F.col("text")).alias("item"))
     return own.where("length(item) >= 500").groupBy(F.year("filed_at").alias("year")).agg(F.countDistinct("ticker").alias("n"))
 
 
@@ -208,11 +207,12 @@ union all select 'open_set_is_current', count(*) from (
   (select distinct {S._TICKER.format('')} as ticker from membership where end_date is null or cast(end_date as date) >= date '2099-12-31' except select ticker from ({_PERIODS}) where kind = 'period' and to_day = '2099-12-31')
   union all (select ticker from ({_PERIODS}) where kind = 'period' and to_day = '2099-12-31' except select distinct {S._TICKER.format('')} from membership where end_date is null or cast(end_date as date) >= date '2099-12-31'))
 union all select 'size_{AS_OF}', case when count(*) >= 1 then 0 else 1 end from ({S.SQL['q_members']})""",
-    "q_embedding_coverage": f"""with {_SPAN}, cp as (select unnest([date '2014-06-30', date '2018-06-30', date '2022-06-30']) as c), m as (select c, ticker from cp join spans on s <= c and e > c),
-f as (select ticker, min(cast(filed_at as date)) as first from documents where ticker is not null and filed_at is not null group by 1)
+    "q_embedding_coverage": f"""with {_SPAN}, f as (select {S._TICKER.format('')} as ticker, min(cast(filed_at as date)) as first from documents where ticker is not null and filed_at is not null group by 1),
+cp as (select last_day(cast(unnest(generate_series(date_trunc('month', min(filed_at)), date_trunc('month', max(filed_at)), interval 1 month)) as date)) as c from documents where ticker is not null and filed_at is not null),
+m as (select c, ticker from cp join spans on s <= c and e > c)
 select strftime(c, '%Y-%m-%d') as checkpoint, count(*) as n_universe, count(*) filter (first <= c) as n_covered, round(count(*) filter (first <= c) / count(*), 6) + 0.0 as coverage from m left join f on m.ticker = f.ticker group by c""",
-    "q_filings_per_year": f"select cast(year(filed_at) as integer) as year, count(distinct ticker) as n from (select ticker, filed_at, {_ITEM} as item from documents where source = 'tenk_item1' and ticker is not null and filed_at is not null) where length(item) >= 500 group by 1",
-    "q_item_one_texts": f"select doc_id, cast(length(item) as integer) as n_chars from (select doc_id, {_ITEM} as item from documents where source = 'tenk_item1') where item is not null",
+    "q_filings_per_year": f"select cast(year(filed_at) as integer) as year, count(distinct ticker) as n from (select ticker, filed_at, {_ITEM} as item from documents where ticker is not null and filed_at is not null) where length(item) >= 500 group by 1",
+    "q_item_one_texts": f"select doc_id, cast(length(item) as integer) as n_chars from (select doc_id, {_ITEM} as item from documents) where item is not null",
     "q_neighbour_signal": """with q as (select vec_id as src, embedding as a from embeddings where vec_id % 100 = 0),
 s as (select src, e.vec_id as dst, e.label, round(list_cosine_similarity(a::double[], e.embedding::double[]), 12) as sim from q join embeddings e on e.vec_id <> src),
 k as (select * from (select *, row_number() over (partition by src order by sim desc, dst) as n from s) where n <= 20 and sim >= 0)

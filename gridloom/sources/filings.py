@@ -119,6 +119,7 @@ def shares_table(raw: DataFrame, lag_days: int = LAG_DAYS) -> DataFrame:
 def resolve_ids(tickers: DataFrame, ids: DataFrame) -> DataFrame:
     """ticker, cik: the first spelling of the ticker (as is, '-' as '.', '.' as '-', without '-', without '.') that ids (ticker, cik) knows; NULL if none."""
     t = F.upper("ticker")
+    # The spellings and their order, which decides between two that are known.
     variants = F.array(t, F.translate(t, "-", "."), F.translate(t, ".", "-"), F.translate(t, "-", ""), F.translate(t, ".", ""))
     tried = tickers.select("ticker", F.posexplode(variants).alias("_n", "_v"))
     known = ids.groupBy(F.upper("ticker").alias("_v")).agg(F.min("cik").alias("cik"))
