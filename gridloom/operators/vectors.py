@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries are searched in blocks of this many, so what a task is sent is bounded: block x dimensions x 4 bytes.
-BLOCK = 4_096
+from gridloom.engine.session import checkpoint
+
+#: Queries are searched in blocks of about this many bytes of float64, so what the driver and a task hold of them is bounded.
+BLOCK_BYTES = 32_000_000
+#: Rows and queries of one product; a tile of similarities is 8 MB.
+TILE_ROWS, TILE_QUERIES = 1_024, 1_024
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -26,54 +31,83 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, least: float = 0.0, block: int = BLOCK) -> DataFrame:
+def keep_best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest of each row of sim (and their ids), ties to the smaller id, in no order. Only rows with a tie at the k-th place are sorted whole."""
+    if sim.shape[1] <= k:
+        return sim, ids
+    at = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    best, who = np.take_along_axis(sim, at, axis=1), np.take_along_axis(ids, at, axis=1)
+    least = best.min(axis=1, keepdims=True)
+    tied = np.flatnonzero((least[:, 0] > -np.inf) & ((sim == least).sum(axis=1) > (best == least).sum(axis=1)))
+    if len(tied):
+        order = np.lexsort((ids[tied], -sim[tied]), axis=1)[:, :k]
+        best[tied], who[tied] = np.take_along_axis(sim[tied], order, axis=1), np.take_along_axis(ids[tied], order, axis=1)
+    return best, who
+
+
+def search(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The k best rows of the batches for each unit query, as (src, dst, similarity): products tile by tile, k kept per query."""
+    best_sim, best_id = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+    for batch in batches:
+        for start in range(0, batch.num_rows, TILE_ROWS):
+            part = batch.slice(start, TILE_ROWS)
+            own = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            unit = unit_rows(matrix_of(part.column(1))).T
+            for a in range(0, len(ids), TILE_QUERIES):
+                some = slice(a, a + TILE_QUERIES)
+                sim = np.clip(q[some] @ unit, -1, 1).round(12)
+                sim[(ids[some, None] == own[None, :]) | (sim < least)] = -np.inf
+                if (sim > -np.inf).any():
+                    found, who = keep_best(sim, np.broadcast_to(own, sim.shape), k)
+                    found, who = np.concatenate((best_sim[some], found), axis=1), np.concatenate((best_id[some], who), axis=1)
+                    best_sim[some], best_id[some] = keep_best(found, who, k)
+    i, j = np.nonzero(best_sim > -np.inf)
+    if len(i):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(best_id[i, j]), pa.array(best_sim[i, j])], names=["src", "dst", "similarity"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, least: float = 0.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """src, dst, similarity: for each query (id, vec) its k most similar other rows of vectors (id, vec) by cosine, those below ``least`` dropped.
 
-    Blocks of queries are sent to every partition, which keeps its own k best per query by one matrix product a batch; the
-    k x partitions candidates of a query are then ranked. Ties go to the smaller id; NULL vectors and vectors of another
-    length than the first query's are left out; no pair of rows is ever emitted beyond those candidates. The number of
-    blocks follows the query set, which callers state (ids divisible by 100, or one snapshot's names).
+    Ties go to the smaller id; NULL vectors and vectors of another length than the first query's are left out. The query
+    set, which callers state (ids divisible by 100, or one snapshot's names), is cut into blocks of at most ``block_bytes``;
+    a block goes to every partition of the vectors, which keeps its own k best per query, and the k x partitions
+    candidates of a query are ranked: no pair of rows is emitted beyond those and the vectors are never shuffled. With
+    several blocks each one's answer is written to the checkpoint folder and the block is dropped before the next is read,
+    so the driver holds one block whatever the number of queries. A pass over the vectors costs far less than the products
+    of a block with all of them (2 x dimensions operations a pair for half a byte read at 65,000 queries of 64 dimensions).
     """
     spark = vectors.sparkSession
-    asked = queries.where("id is not null and vec is not null")
-    n = asked.count()
-    parts = max(1, -(-n // block))
-    out = None
-    for b in range(parts):
-        rows = (asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b) if parts > 1 else asked).select("id", "vec").collect()
-        if not rows:
+    asked = queries.where("id is not null and vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"))
+    shape = asked.agg(F.count(F.lit(1)).alias("n"), F.min_by(F.size("vec"), "id").alias("width")).first()
+    if not shape["n"]:
+        return spark.createDataFrame([], "src long, dst long, similarity double")
+    width = shape["width"]
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.where((F.size("vec") == width) & ~F.exists("vec", lambda v: v.isNull()))
+
+    rows = whole(vectors.where("id is not null").select("id", F.col("vec").cast("array<double>").alias("vec")))
+    asked = whole(asked)
+    blocks = max(1, -(-shape["n"] * width * 8 // block_bytes))
+    out = []
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        held = part.toArrow()  # at most about block_bytes
+        if not held.num_rows:
             continue
-        width = len(rows[0]["vec"])
-        rows = [r for r in rows if len(r["vec"]) == width]
-        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), unit_rows(np.array([r["vec"] for r in rows], np.float64))))
+        shared = spark.sparkContext.broadcast((held.column(0).to_numpy().astype(np.int64), unit_rows(matrix_of(held.column(1).combine_chunks()))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_sim = np.full((len(ids), 0), -np.inf)
-            best_id = np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                sim = np.clip(q @ unit_rows(matrix_of(batch.column(1))).T, -1, 1).round(12)
-                sim[ids[:, None] == own[None, :]] = -np.inf
-                sim = np.concatenate((best_sim, sim), axis=1)
-                who = np.concatenate((best_id, np.broadcast_to(own, (len(ids), len(own)))), axis=1)
-                order = np.lexsort((who, -sim), axis=1)[:, :k]
-                best_sim, best_id = np.take_along_axis(sim, order, axis=1), np.take_along_axis(who, order, axis=1)
-            i, j = np.nonzero(best_sim >= max(least, -1.0)) if best_sim.size else (np.zeros(0, int), np.zeros(0, int))
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(best_id[i, j]), pa.array(best_sim[i, j])], names=["src", "dst", "similarity"])
-
-        whole = vectors.where(
-            (F.size("vec") == width) & F.col("id").isNotNull() & ~F.exists("vec", lambda v: v.isNull())
-        ).select("id", F.col("vec").cast("array<double>").alias("vec"))
-        found = whole.mapInArrow(run, "src long, dst long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "src long, dst long, similarity double")
-    w = Window.partitionBy("src").orderBy(F.col("similarity").desc(), "dst")
-    return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+            yield from search(batches, *shared.value, k, least)
+
+        w = Window.partitionBy("src").orderBy(F.col("similarity").desc(), "dst")
+        found = rows.mapInArrow(run, "src long, dst long, similarity double").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+        if blocks > 1:
+            found = checkpoint(found)
+            shared.destroy()  # the block's answer is written: no task can ask for it again
+        out.append(found)
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "src long, dst long, similarity double")
 
 
 def wide_to_vectors(rows: DataFrame, prefix: str = "emb_") -> DataFrame:

@@ -317,13 +317,13 @@ c as (select s.snap, s.i, s.j, least(1, greatest(-1, (1 - d) * s / sqrt(a.v * b.
 
 
 def _tree() -> str:
-    """Spanning trees: the edges that no path of shorter ones goes around. Four squarings of the minimax matrix reach paths of 16 edges, more than the given tables' snapshots have."""
+    """Spanning trees: the edges that no path of shorter ones (of equal ones by name) goes around. Four squarings of the minimax matrix reach paths of 16 edges, more than the given tables' snapshots have."""
     steps = [
-        "dist as (select snap, i, j, rho, sqrt(greatest(2 * (1 - rho), 0)) as d from c), b0 as (select snap, i, j, d from dist union all select snap, j, i, d from dist)"
+        "dist as (select snap, i, j, rho, struct_pack(a := sqrt(greatest(2 * (1 - rho), 0)), b := i, c := j) as d from c), b0 as (select snap, i, j, d from dist union all select snap, j, i, d from dist)"
     ]
     for k in range(4):
         steps.append(
-            f"b{k + 1} as (select snap, i, j, min(d) as d from (select * from b{k} union all select a.snap, a.i, b.j, greatest(a.d, b.d) from b{k} a join b{k} b on a.snap = b.snap and a.j = b.i and a.i <> b.j) group by 1, 2, 3)"
+            f"b{k + 1} as (select snap, i, j, min(d) as d from (select * from b{k} union all select a.snap, a.i, b.j, case when a.d > b.d then a.d else b.d end from b{k} a join b{k} b on a.snap = b.snap and a.j = b.i and a.i <> b.j) group by 1, 2, 3)"
         )
     return ", ".join(
         [

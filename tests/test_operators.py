@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,7 +406,7 @@ def test_nearest_vectors(rows):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(60, 5))
     df = rows("id long, vec array<double>", [(i, x.tolist()) for i, x in enumerate(v)] + [(98, None), (99, [1.0])])
-    got = vectors.nearest(df, df.where("id % 10 = 0"), 4, least=-1.0, block=3)
+    got = vectors.nearest(df, df.where("id % 10 = 0"), 4, least=-1.0, block_bytes=120)
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = set()
     for i in range(0, 60, 10):
@@ -424,6 +425,23 @@ def test_nearest_vectors(rows):
     assert sig == {"a": 1.75}
 
 
+def test_nearest_with_ties_in_tiles(rows, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE_ROWS", 7)
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 3)
+    rng = np.random.default_rng(2)
+    v = rng.integers(-1, 2, size=(90, 3)).astype(float)  # few directions, many ties, some zero vectors
+    unit = vectors.unit_rows(v)
+    ids, found = np.arange(90), {}
+    own = pa.record_batch({"id": pa.array(ids), "vec": pa.array(v.tolist(), pa.list_(pa.float64()))})
+    for b in vectors.search(iter([own.slice(0, 50), own.slice(50)]), ids[::5], unit[::5], 6, 0.0):
+        for src, dst, sim in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found.setdefault(src, set()).add((dst, sim))
+    for i in range(0, 90, 5):
+        sim = np.clip(unit @ unit[i], -1, 1).round(12)
+        want = sorted((-s, j) for j, s in enumerate(sim.tolist()) if j != i and s >= 0)[:6]
+        assert found[i] == {(j, -s) for s, j in want}
+
+
 def test_item_one(rows):
     texts = ["<p>Item 1. Business</p> We make  pumps. Item 1A. Risk", "nothing", None, "ITEM 1 BUSINESS all the rest"]
     got = [r[0] for r in rows("t string", [(t,) for t in texts]).select(vectors.item_one(F.col("t"))).collect()]
