@@ -61,8 +61,17 @@ class Bits:
     def __init__(self, bits: np.ndarray) -> None:
         padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))
+        self._count(np.packbits(padded, bitorder="little").view(np.uint64))
+
+    def _count(self, words: np.ndarray) -> None:
+        self.words = words
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
+
+    @classmethod
+    def of_words(cls, words: np.ndarray) -> Bits:
+        out = cls.__new__(cls)
+        out._count(words)
+        return out
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Ones among the first i bits."""
@@ -126,6 +135,24 @@ class FMIndex:
         self.symbols = bwt
         self.rows = n
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """The index as plain arrays; of_arrays() makes the same index of them."""
+        out = {
+            "first": self.first, "smaller": self.smaller, "marks": self.marks.words, "samples": self.samples, "symbols": self.symbols,
+            "zeros": np.array([z for _, z in self.tree.levels], np.int64)
+        }
+        return out | {f"level_{i}": bits.words for i, (bits, _) in enumerate(self.tree.levels)}
+
+    @classmethod
+    def of_arrays(cls, arrays: dict[str, np.ndarray]) -> FMIndex:
+        out = cls.__new__(cls)
+        out.first, out.smaller, out.samples, out.symbols = (arrays[k] for k in ("first", "smaller", "samples", "symbols"))
+        out.rows, out.marks = len(out.symbols), Bits.of_words(arrays["marks"])
+        out.tree = WaveletMatrix.__new__(WaveletMatrix)
+        out.tree.levels = [(Bits.of_words(arrays[f"level_{i}"]), int(z)) for i, z in enumerate(arrays["zeros"])]
+        out.tree.depth = len(out.tree.levels)
+        return out
+
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward search of phrases (rows of codes): (which phrases occur, first row, one past the last row)."""
         m, length = phrases.shape

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.engine.session import checkpoint
 from gridloom.llm.fmindex import FMIndex
 from gridloom.llm.words import distinct_texts, encode, slices, spread, words_of
 from gridloom.operators.columns import pick
@@ -20,6 +24,7 @@ NAMES = ["doc_id", "item_id", "leaked_words", "item_words", "share", "spans"]
 BLOCK_ITEMS = 5_000
 #: A shard ends with the document that reaches this many bytes (about two million words).
 SHARD_BYTES = 12_000_000
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Phrases:
@@ -74,21 +79,46 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
-def leaks_in(texts: list[str | None], phrases: Phrases, least_share: float = 0.0) -> Leaks | None:
+class Shard:
+    """The FM-index of some texts and the codes of their words; built once, searched for any number of phrase blocks."""
+
+    def __init__(self, index: FMIndex | None, dictionary: list[str]) -> None:
+        self.index, self.dictionary = index, dictionary
+
+    @classmethod
+    def of_texts(cls, texts: list[str | None]) -> Shard:
+        words = encode(texts)
+        if not len(words.codes):
+            return cls(None, [])
+        return cls(FMIndex(words.codes, words.starts, words.ends, len(words.dictionary) + 1), words.dictionary.to_pylist())
+
+    def dumped(self, **more: np.ndarray) -> bytes:
+        """As bytes, with further arrays. Words hold letters and digits only, so they are stored line by line."""
+        out = io.BytesIO()
+        names = np.frombuffer("\n".join(self.dictionary).encode(), np.uint8)
+        np.savez(out, dictionary=names, **(self.index.arrays() if self.index else {}), **more)
+        return out.getvalue()
+
+    @classmethod
+    def loaded(cls, data: bytes) -> tuple[Shard, dict[str, np.ndarray]]:
+        with np.load(io.BytesIO(data), allow_pickle=False) as found:
+            arrays = dict(found)
+        names = arrays["dictionary"].tobytes().decode()
+        return cls(FMIndex.of_arrays(arrays) if names else None, names.split("\n") if names else []), arrays
+
+
+def leaks_in(shard: Shard, phrases: Phrases, least_share: float = 0.0) -> Leaks | None:
     """The pairs of one shard with at least ``least_share`` of the item's words leaked."""
-    if not len(phrases.distinct):
-        return None
-    shard = encode(texts)
-    if not len(shard.codes):
+    if shard.index is None or not len(phrases.distinct):
         return None
+    index = shard.index
     # the phrases in the shard's codes; those with a word the shard lacks can't occur
-    code = {w: i for i, w in enumerate(shard.dictionary.to_pylist())}
+    code = {w: i for i, w in enumerate(shard.dictionary)}
     to = np.array([code.get(w, -1) for w in phrases.vocabulary], np.int64)
     asked = to[phrases.distinct]
     able = np.flatnonzero((asked >= 0).all(axis=1))
     if not len(able):
         return None
-    index = FMIndex(shard.codes, shard.starts, shard.ends, len(code) + 1)
     which, low, high = index.search(asked[able])
     if not len(which):
         return None
@@ -115,6 +145,56 @@ def leaks_in(texts: list[str | None], phrases: Phrases, least_share: float = 0.0
     return Leaks(pairs[keep] // len(phrases.ids), item[keep], leaked[keep], np.stack((a, b), axis=1), each)
 
 
+def shards_of(batch: pa.RecordBatch, shard_bytes: int) -> Iterator[tuple[Shard, np.ndarray, np.ndarray]]:
+    """(shard, copies of each of its texts, doc_ids text by text) of a batch (doc_id, text); copies are indexed once."""
+    ids = batch.column(0).cast(pa.int64())
+    texts, place = distinct_texts(batch.column(1))
+    rows_of = np.argsort(place, kind="stable")  # rows of text u: rows_of[first[u]:first[u + 1]]
+    copies = np.bincount(place, minlength=len(texts))
+    first = np.concatenate(([0], np.cumsum(copies)))
+    for a, b, some in slices(texts, shard_bytes):
+        yield Shard.of_texts(some), copies[a:b], ids.take(pa.array(rows_of[first[a] : first[b]]))
+
+
+def found_in(shard: Shard, copies: np.ndarray, ids: pa.Array, phrases: Phrases, least_share: float) -> Iterator[pa.RecordBatch]:
+    """Result rows of a shard: every pair of a text for all its copies."""
+    found = leaks_in(shard, phrases, least_share)
+    if found is None:
+        return
+    text = found.document
+    first = np.cumsum(copies) - copies
+    pair = np.repeat(np.arange(len(text)), copies[text])
+    row = ranges(first[text], copies[text])
+    size = phrases.sizes[found.item]
+    span = pa.StructArray.from_arrays([pa.array(found.spans[:, 0]), pa.array(found.spans[:, 1])], ["from", "to"])
+    spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(found.spans_each))), pa.int32()), span)
+    item = pa.array(np.array(phrases.ids, np.int64)[found.item][pair])
+    yield pa.RecordBatch.from_arrays(
+        [
+            ids.take(pa.array(row)), item, pa.array(found.words[pair]), pa.array(size[pair]), pa.array((found.words / size)[pair]),
+            spans.take(pa.array(pair))
+        ],
+        names=NAMES
+    )
+
+
+def indexed(source: DataFrame, shard_bytes: int) -> DataFrame:
+    """shard (bytes): the index of every shard of source (doc_id, text) with its documents, written to the checkpoint folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, copies, ids in shards_of(batch, shard_bytes):
+                # NULL ids are marked, as an array of numbers has no NULL
+                known = ids.is_valid().to_numpy(zero_copy_only=False)
+                data = shard.dumped(copies=copies, ids=ids.fill_null(0).to_numpy(), known=known)
+                yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["shard"])
+
+    return checkpoint(source.mapInArrow(run, "shard binary"))
+
+
+SCHEMA = "doc_id long, item_id long, leaked_words long, item_words long, share double, spans array<struct<from:long,to:long>>"
+
+
 def leaked_items(
     documents: DataFrame, items: DataFrame, length: int = 8, least_share: float = 0.0, block_items: int = BLOCK_ITEMS,
     shard_bytes: int = SHARD_BYTES
@@ -123,45 +203,47 @@ def leaked_items(
 
     A word of the item is leaked if it lies in such a passage; share is leaked_words / item_words; spans are the merged
     ranges [from, to) of the document's words to remove. Every document is indexed and searched whole, in shards of
-    whole documents, so no result crosses a shard and nothing is shuffled but the result. Items with fewer than
-    ``length`` words and NULL or empty texts leak nothing; repeated items or documents give repeated rows once each.
+    whole documents, so no result crosses a shard and nothing is shuffled but the result. Up to ``block_items`` items are
+    searched while a shard is at hand. More of them go in blocks: the indexes of all shards are written once and each
+    block is searched in them, its answer is written and its items are dropped before the next block is read, so driver
+    and tasks hold one block of items whatever their number. Items with fewer than ``length`` words and NULL or empty
+    texts leak nothing; repeated items or documents give repeated rows once each.
     """
+    spark = documents.sparkSession
     source = spread(pick(documents, {"doc_id": "doc_id", "text": "text"}))
     asked = pick(items, {"item_id": "item_id", "text": "text"}).where("item_id is not null and text is not null").distinct()
     blocks = max(1, -(-asked.count() // block_items))
-    schema = "doc_id long, item_id long, leaked_words long, item_words long, share double, spans array<struct<from:long,to:long>>"
-    out = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect() if blocks > 1 else asked.collect()
-        shared = documents.sparkSession.sparkContext.broadcast(Phrases(sorted((r["item_id"], r["text"]) for r in part), length))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
+
+    def block(b: int) -> Broadcast[Phrases]:
+        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        return spark.sparkContext.broadcast(Phrases(sorted((r["item_id"], r["text"]) for r in part.collect()), length))
+
+    if blocks == 1:
+        shared = block(0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).cast(pa.int64())
-                texts, place = distinct_texts(batch.column(1))
-                rows_of = np.argsort(place, kind="stable")  # rows of text u: rows_of[first[u]:first[u + 1]]
-                copies = np.bincount(place, minlength=len(texts))
-                first = np.cumsum(copies) - copies
-                for a, _, some in slices(texts, shard_bytes):
-                    found = leaks_in(some, phrases, least_share)
-                    if found is None:
-                        continue
-                    text = found.document + a
-                    pair = np.repeat(np.arange(len(text)), copies[text])  # every pair of a text goes to all its copies
-                    row = rows_of[ranges(first[text], copies[text])]
-                    size = phrases.sizes[found.item]
-                    span = pa.StructArray.from_arrays([pa.array(found.spans[:, 0]), pa.array(found.spans[:, 1])], ["from", "to"])
-                    spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(found.spans_each))), pa.int32()), span)
-                    item = pa.array(np.array(phrases.ids, np.int64)[found.item][pair])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(row)), item, pa.array(found.words[pair]), pa.array(size[pair]),
-                            pa.array((found.words / size)[pair]), spans.take(pa.array(pair))
-                        ],
-                        names=NAMES
-                    )
-
-        found = source.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+                for shard, copies, ids in shards_of(batch, shard_bytes):
+                    yield from found_in(shard, copies, ids, shared.value, least_share)
+
+        return source.mapInArrow(run, SCHEMA).distinct()
+
+    shards = indexed(source, shard_bytes)
+    out = []
+    rows_a_batch = spark.conf.get(ROWS_A_BATCH)
+    try:
+        spark.conf.set(ROWS_A_BATCH, "1")  # a row is the index of a shard
+        for b in range(blocks):
+            shared = block(b)
+
+            def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for data in batch.column(0):
+                        shard, more = Shard.loaded(data.as_py())
+                        yield from found_in(shard, more["copies"], pa.array(more["ids"], mask=~more["known"]), shared.value, least_share)
+
+            out.append(checkpoint(shards.mapInArrow(search, SCHEMA).distinct()))
+            shared.destroy()
+    finally:
+        spark.conf.set(ROWS_A_BATCH, rows_a_batch)
+    return reduce(DataFrame.unionByName, out)

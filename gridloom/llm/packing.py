@@ -12,7 +12,7 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from gridloom.operators.columns import pick
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-MOST_CONTAINERS = 100  # kinds of containers
+KINDS_AT_ONCE = 100  # kinds of containers that are planned together
 RANK_ROWS = 50_000  # items of one length that one task ranks, about
 #: A run of blanks as long as this is merged on its own: the library's regular expression runs out of stack on very long ones.
 LONGEST_RUN = 5_000
@@ -37,14 +37,19 @@ _LONG_RUN = re.compile(f"[{_BLANK}]{{{LONGEST_RUN},}}")
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
+def encoding_of(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's bytes; built once a process."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("gridloom", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+def tokenizer(path: str):
+    with open(path, "rb") as f:
+        return encoding_of(f.read())
+
+
 def token_count(text: str | None, encoding) -> int:
     """Tokens of a whole text. Before a long run of blanks a pre-token always ends, and the run without its last blank is one
     pre-token (with it at the end of the text), so the text may be cut there without changing the count."""
@@ -61,10 +66,12 @@ def token_count(text: str | None, encoding) -> int:
 
 
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens of every document, whole texts; NULL and empty texts have 0 tokens."""
+    """doc_id, n_tokens of every document, whole texts; NULL and empty texts have 0 tokens. The driver reads the vocabulary (some megabytes) and sends it to the tasks."""
+    with open(vocabulary, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tokenizer(vocabulary)
+        encoding = encoding_of(shared.value)
         for batch in batches:
             texts, place = distinct_texts(batch.column(1))
             sizes = np.array([token_count(t, encoding) for _, _, some in slices(texts) for t in some], np.int64)
@@ -150,11 +157,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Plan:
 
 
 def container_list(containers: DataFrame) -> list[tuple[str, int]]:
-    rows = pick(
-        containers, {"container": "container", "capacity": "capacity_tokens"}
-    ).where("container is not null and capacity > 0").distinct().limit(MOST_CONTAINERS + 1).collect()
-    if len(rows) > MOST_CONTAINERS:
-        raise ValueError(f"more than {MOST_CONTAINERS} kinds of containers")
+    rows = pick(containers, {"container": "container", "capacity": "capacity_tokens"}).where("container is not null and capacity > 0").distinct().collect()
     return sorted((r["container"], int(r["capacity"])) for r in rows)
 
 
@@ -167,13 +170,19 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
     A document longer than the capacity is cut into full pieces and a rest; no other is cut. NULL and empty texts have 0
     tokens and a place in some bin. Containers without name or with a capacity of 0 or less are ignored; no containers or
     no documents give an empty result. Token counts are made once and cut the lineage; what one task ranks are about
-    RANK_ROWS items of one length, also where a third of all documents has the same length.
+    RANK_ROWS items of one length, also where a third of all documents has the same length. Kinds of containers are
+    planned KINDS_AT_ONCE at a time, as a plan has an entry per kind and length.
     """
-    spark = documents.sparkSession
     kinds = container_list(containers)
     sizes = checkpoint(count_tokens(documents, vocabulary))
     if not kinds:
-        return spark.createDataFrame([], SCHEMA)
+        return documents.sparkSession.createDataFrame([], SCHEMA)
+    return reduce(DataFrame.unionByName, (packed(sizes, kinds[a : a + KINDS_AT_ONCE]) for a in range(0, len(kinds), KINDS_AT_ONCE)))
+
+
+def packed(sizes: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
+    """pack() of counted documents (doc_id, n_tokens) for some kinds (container, capacity)."""
+    spark = sizes.sparkSession
     each = F.array(*(F.struct(F.lit(i).alias("kind"), F.lit(c).cast("long").alias("capacity")) for i, (_, c) in enumerate(kinds)))
     wide = sizes.select("doc_id", "n_tokens", F.inline(each))
     full = F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(0)

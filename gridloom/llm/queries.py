@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.leakage import leaked_items
 from gridloom.llm.packing import fill, pack
-from gridloom.llm.repetition import ablations, apply_policy, ledger
+from gridloom.llm.repetition import ablations, apply_policy, ledger_once
 from gridloom.sources.tables import table
 
 
@@ -32,15 +32,15 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return apply_policy(ledger(table(spark, d, "documents")), "passages_v1").select("doc_id").distinct()
+    return apply_policy(ledger_once(table(spark, d, "documents")), "passages_v1").select("doc_id").distinct()
 
 
 def p9_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return ledger(table(spark, d, "documents"))
+    return ledger_once(table(spark, d, "documents"))
 
 
 def p9_ablations(spark: SparkSession, d: str) -> DataFrame:
-    return ablations(ledger(table(spark, d, "documents")))
+    return ablations(ledger_once(table(spark, d, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -201,10 +201,24 @@ def test_stored_ledger(rows, spark, tmp_path):
     kept = repetition.store(entries, str(tmp_path / "ledger"))
     assert sorted(map(str, kept.collect())) == sorted(map(str, entries.collect()))
     kept.withColumn("rules", F.lit("other")).write.parquet(str(tmp_path / "odd"))
+    for rules in ("repeated_8_words", "repeated_8_words,repeated_lines"):  # made before the later rules were appended
+        kept.withColumn("rules", F.lit(rules)).write.mode("append").parquet(str(tmp_path / "odd"))
     with pytest.raises(ValueError):
         repetition.stored(spark, str(tmp_path / "odd"))
 
 
+def test_the_ledger_of_a_table_is_measured_once(rows, spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "docs.parquet")
+    rows(DOCS, repeated_corpus()).write.parquet(path)
+    first = sorted(map(str, repetition.ledger_once(spark.read.parquet(path)).collect()))
+    assert first == sorted(map(str, repetition.ledger(spark.read.parquet(path)).collect()))
+    monkeypatch.setattr(repetition, "ledger", None)
+    assert sorted(map(str, repetition.ledger_once(spark.read.parquet(path)).collect())) == first
+    monkeypatch.undo()
+    rows(DOCS, [(1, "a b")]).write.mode("overwrite").parquet(path)
+    assert repetition.ledger_once(spark.read.parquet(path)).count() == 1
+
+
 def test_windows_under_one_key_are_compared():
     codes = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.int32)
     at = np.array([0, 3, 6])
@@ -249,6 +263,7 @@ CONTAINERS = "container string, capacity_tokens int"
 @pytest.mark.parametrize("rank_rows", [50_000, 7])
 def test_packing(rows, monkeypatch, rank_rows):
     monkeypatch.setattr(packing, "RANK_ROWS", rank_rows)
+    monkeypatch.setattr(packing, "KINDS_AT_ONCE", 100 if rank_rows > 7 else 1)
     docs = list(enumerate(ODD)) + [(100 + i, "word " * (i % 17)) for i in range(120)] + [(300, "one two three " * 90), (301, "one two three four " * 16)]
     kinds = [("s", 64), ("m", 200), ("m", 200), ("bad", 0), (None, 9), ("none", None)]
     got = packing.pack(rows(DOCS, docs), rows(CONTAINERS, kinds)).collect()
