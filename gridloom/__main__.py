@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from datetime import date
 
 from gridloom.engine import get_session
 from gridloom.operators.factors import FACTORS
@@ -23,7 +24,15 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("study", choices=["zoo", "scorecard", "backtest", "audit", "grid"])
     p.add_argument("data")
     p.add_argument("out")
-    p.add_argument("--factor", default="momentum_12_1")
+    p.add_argument("--factor", default="momentum_12_1", help="a factor's name, or 'all' for every classical one")
+    p.add_argument("--oos", default=None, help="evaluate from this day on, e.g. 2020-01-01")
+    p.add_argument("--n-trials", type=int, default=None, help="number of trials behind the deflated Sharpe ratio")
+    p.add_argument("--var-sharpe", type=float, default=1.0, help="variance of the trials' Sharpe ratios")
+    p.add_argument("--spread-bps", type=float, default=8.0)
+    p.add_argument("--impact-coef", type=float, default=0.1)
+    p.add_argument("--borrow-bps", type=float, default=75.0)
+    p.add_argument("--aum", type=float, default=5e8)
+    p.add_argument("--years", type=float, default=5, help="last years of the calendar the zoo looks at")
     p.add_argument("--freq", default="M", help="W, M, Q or a number of days")
     p.add_argument("--scheme", default="equal", choices=["equal", "signal", "rank"])
     p.add_argument("--buckets", type=int, default=10)
@@ -40,13 +49,20 @@ def main(argv: list[str] | None = None) -> None:
         study.register_grid(spark, a.out)
         return
     if a.study == "zoo":
-        tables = {"zoo": study.factor_zoo(c, FACTORS.all(), a.horizon, a.buckets, a.least)}
+        tables = {"zoo": study.factor_zoo(c, FACTORS.all(), a.horizon, a.buckets, a.least, horizons=(1, 5, 21), years=a.years, warm_up=273)}
     elif a.study == "scorecard":
         tables = {"scorecard": study.scorecard(c, GRAPH_FACTORS.all(), FACTORS.all(), len(study.configurations()), a.horizon, a.buckets, a.least)}
     elif a.study == "audit":
         tables = reports.audit_report(c, a.first, a.last, a.day)
     else:
-        tables = reports.backtest_report(c, find(a.factor), int(a.freq) if a.freq.isdigit() else a.freq, reports.B.weigher(a.scheme, a.buckets)).tables
+        factors = FACTORS.all() if a.factor == "all" else [find(a.factor)]
+        costs = reports.B.CostModel(a.spread_bps, a.impact_coef, a.borrow_bps, a.aum)
+        split = (date.fromisoformat(a.oos) - date(1970, 1, 1)).days if a.oos else None
+        freq = int(a.freq) if a.freq.isdigit() else a.freq
+        tables = {}
+        for f in factors:
+            made = reports.backtest_report(c, f, freq, reports.B.weigher(a.scheme, a.buckets), costs, split, a.n_trials, a.var_sharpe).tables
+            tables |= {name if len(factors) == 1 else f"{f.name}_{name}": t for name, t in made.items()}
     print(reports.save(tables, a.out, a.study))
 
 

@@ -179,9 +179,10 @@ def delayed(signal: DataFrame, lag: int = 1) -> DataFrame:
 
 
 def factor_long_short(
-    catalog: Catalog, factors: list[Factor], n: int = 10, horizons: tuple[int, ...] = (21,), lag: int = 1, restrict_universe: bool = False
+    catalog: Catalog, factors: list[Factor], n: int = 10, horizons: tuple[int, ...] = (21,), lag: int = 1, restrict_universe: bool = False,
+    days: DataFrame | None = None
 ) -> DataFrame:
-    rows = scored(catalog, factors, horizons, lag)
+    rows = scored(catalog, factors, horizons, lag, days)
     return long_short(buckets(restrict(rows, catalog.periods) if restrict_universe else rows, n))
 
 

@@ -160,12 +160,12 @@ def lead_lag_statistic(kind: str, lags: tuple[int, ...] = N.LAGS, alpha: float =
 class VectorFactor(Factor):
     """Mean recent return of each name's nearest neighbours by the embedding of its latest filing, at each snapshot, held between them.
 
-    store: ticker, filing_date, vec. A filing holds from its date until the ticker's next one, so it is unfolded to the
+    store: ticker, filing_date, vec; the catalog's vectors by default. A filing holds from its date until the ticker's next one, so it is unfolded to the
     snapshots in between; a snapshot is one group, bounded by the universe.
     """
 
     def __init__(
-        self, name: str, store: DataFrame, k: int = 20, freq: str = "M", lookback: int = 21, least_similarity: float = 0.0,
+        self, name: str, store: DataFrame | None = None, k: int = 20, freq: str = "M", lookback: int = 21, least_similarity: float = 0.0,
         least_names: int = 10, direction: int = 1, in_universe: bool = True
     ) -> None:
         super().__init__(name, direction)
@@ -177,7 +177,8 @@ class VectorFactor(Factor):
         at = F.array(
             *(F.struct(F.lit(d).alias("day"), F.lit(p).alias("snap")) for d, p in points)
         ) if points else F.array().cast("array<struct<day:int,snap:int>>")
-        filed = self.store.groupBy("ticker", F.unix_date(F.to_date("filing_date")).alias("from")).agg(F.max("vec").alias("vec"))
+        store = catalog.vectors if self.store is None else self.store
+        filed = store.groupBy("ticker", F.unix_date(F.to_date("filing_date")).alias("from")).agg(F.max("vec").alias("vec"))
         filed = filed.withColumn("to", F.lead("from").over(Window.partitionBy("ticker").orderBy("from")))
         seen = filed.withColumn("at", F.explode(F.filter(at, lambda x: (x["day"] >= F.col("from")) & (F.col("to").isNull() | (x["day"] < F.col("to"))))))
         known = seen.select("ticker", F.col("at.snap").alias("snap"), F.col("at.day").alias("day"), "vec")
@@ -216,10 +217,33 @@ for _f in (
     GraphFactor("degree_centrality_mst_120d", tree_statistic(N.degree)),
     ChangeFactor("delta_eigenvector_centrality_mst_120d", tree_statistic(N.eigenvector)),
     *(GraphFactor(f"leadlag_{k}_120d", lead_lag_statistic(k)) for k in ("out", "in", "upstream")),
+    VectorFactor("text_neighbour_return_k20"),
 ):
     GRAPH_FACTORS.register(_f)
 
 
+def clustering_table(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """snap, ticker, clustering, degree of every node (snap, ticker) from undirected edges (snap, src, dst, weight, each once).
+
+    Stays in the engine and needs no matrix: every edge asks for the common neighbours of its ends, so a snapshot's cost is
+    that of its edges and their triangles, not of its names squared. degree is the weight per possible neighbour.
+    """
+    both = edge_rows.select("snap", "src", "dst", "weight").union(edge_rows.select("snap", F.col("dst"), F.col("src"), "weight"))
+    ends = both.groupBy("snap", F.col("src").alias("ticker")).agg(F.count(F.lit(1)).alias("_k"), F.sum("weight").alias("_w"))
+    first = edge_rows.select("snap", F.col("src").alias("a"), F.col("dst").alias("b"))
+    hop = both.select("snap", F.col("src").alias("a"), F.col("dst").alias("c"))
+    back = both.select("snap", F.col("src").alias("b"), F.col("dst").alias("c"))
+    triangles = first.join(hop, ["snap", "a"]).join(back, ["snap", "b", "c"])  # each triangle once per edge, seen from its third node
+    closed = triangles.groupBy("snap", F.col("c").alias("ticker")).agg(F.count(F.lit(1)).alias("_t"))
+    n = nodes.groupBy("snap").agg(F.countDistinct("ticker").alias("_n"))
+    out = nodes.select("snap", "ticker").distinct().join(n, "snap").join(ends, ["snap", "ticker"], "left").join(closed, ["snap", "ticker"], "left")
+    pairs = F.col("_k") * (F.col("_k") - 1) / 2
+    return out.select(
+        "snap", "ticker", F.coalesce(F.try_divide(F.col("_t"), pairs), F.lit(0.0)).alias("clustering"),
+        (F.coalesce("_w", F.lit(0.0)) / F.greatest(F.col("_n") - 1, F.lit(1))).alias("degree")
+    )
+
+
 def edges(rows: DataFrame, graph: str = "mst", least: float = 0.3, window: int = 120) -> DataFrame:
     """snap, src, dst, weight of each snapshot's network: 'mst', 'threshold' (src < dst) or 'leadlag' (directed)."""
     if graph not in ("mst", "threshold", "leadlag"):
@@ -265,12 +289,13 @@ def node_table(rows: DataFrame, window: int = 120, least: float = 0.3, seed: int
     )
 
 
-def density_report(rows: DataFrame, window: int = 120, shuffles: int = 200, seed: int = 0, alpha: float = 0.1) -> DataFrame:
+def density_report(rows: DataFrame, window: int = 120, shuffles: int = 200, seed: int = 0, alpha: float = 0.1, null: bool = True) -> DataFrame:
     """snap, n_names, n_edges, density, null_mean, null_q95, p_value, autocorrelation: lead-lag density against a null of shifted series.
 
-    The replicates of a snapshot are spread over tasks: every (snapshot, block of replicates) is a group with its own copy of the window.
+    The replicates of a snapshot are spread over tasks: every (snapshot, block of replicates) is a group with its own copy
+    of the window. null=False leaves out the null and its three columns.
     """
-    blocks = 8
+    blocks = 8 if null else 1
     copies = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -279,7 +304,7 @@ def density_report(rows: DataFrame, window: int = 120, shuffles: int = 200, seed
         e = N.residualised(x[:, N.usable_columns(x)])
         if e.shape[1] < 2:
             return pd.DataFrame({"snap": pd.Series([], dtype=np.int32), "rep": [], "n_names": [], "n_edges": [], "density": [], "autocorrelation": []})
-        reps = list(range(block, shuffles, blocks))
+        reps = list(range(block, shuffles, blocks)) if null else []
         out = [(r, e.shape[1], 0, N.shuffled_density(e, seed * 1_000_003 + r, alpha=alpha), 0.0) for r in reps]
         if block == 0:
             d = N.lead_lag(e, alpha=alpha)
@@ -288,8 +313,10 @@ def density_report(rows: DataFrame, window: int = 120, shuffles: int = 200, seed
 
     each = copies.groupBy("snap", "block").applyInPandas(run, "snap int, rep int, n_names int, n_edges int, density double, autocorrelation double")
     actual = each.where("rep < 0").select("snap", "n_names", "n_edges", "density", "autocorrelation")
-    null = each.where("rep >= 0").select("snap", F.col("density").alias("_d")).join(actual.select("snap", "density"), "snap")
-    stats = null.groupBy("snap").agg(
+    if not null:
+        return actual
+    null_rows = each.where("rep >= 0").select("snap", F.col("density").alias("_d")).join(actual.select("snap", "density"), "snap")
+    stats = null_rows.groupBy("snap").agg(
         F.avg("_d").alias("null_mean"), F.percentile("_d", F.lit(0.95)).alias("null_q95"),
         F.avg((F.col("_d") >= F.col("density")).cast("double")).alias("p_value")
     )

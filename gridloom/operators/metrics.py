@@ -41,6 +41,12 @@ def performance(returns: DataFrame, per_year: int = 252, tail: float = 0.05, tar
     )
 
 
+def average_turnover(daily: DataFrame) -> DataFrame:
+    """avg_turnover, n_rebalances: mean two-sided turnover over the days (turnover) on which the book changed; NULL without any."""
+    moved = F.when(F.col("turnover") > 0, F.col("turnover"))
+    return daily.agg(F.avg(moved).alias("avg_turnover"), F.count(moved).alias("n_rebalances"))
+
+
 def monthly_returns(returns: DataFrame) -> DataFrame:
     """series, year, month, ret: compounded by calendar month, months without a day between first and last as 0."""
     day = F.date_from_unix_date("day")

@@ -117,10 +117,10 @@ def wide_to_vectors(rows: DataFrame, prefix: str = "emb_") -> DataFrame:
 
 
 def vectors_as_of(store: DataFrame, day: str, members: DataFrame | None = None) -> DataFrame:
-    """ticker, filing_date, vec of each ticker's latest filing on or before the day: one combinable aggregate."""
+    """ticker, filing_date, vec of each ticker's latest filing on or before the day: one combinable aggregate; of several on one day the greatest vector."""
     known = store.where(F.col("filing_date") <= F.lit(day).cast("date"))
     known = known if members is None else known.join(members, "ticker", "left_semi")
-    return known.groupBy("ticker").agg(F.max("filing_date").alias("filing_date"), F.max_by("vec", "filing_date").alias("vec"))
+    return known.groupBy("ticker").agg(F.max(F.struct("filing_date", "vec")).alias("_r")).select("ticker", "_r.filing_date", "_r.vec")
 
 
 def coverage(store: DataFrame, members: DataFrame) -> DataFrame:

@@ -198,13 +198,31 @@ def graph_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_lead_lag(spark: SparkSession, d: str) -> DataFrame:
-    return G.edges(windows(cat(spark, d)), "leadlag")
+    return G.edges(windows(cat(spark, d)), "leadlag").select("snap", "src", "dst", rounded("weight"))
 
 
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return G.node_table(windows(cat(spark, d)))
 
 
+def graph_density_actual(spark: SparkSession, d: str) -> DataFrame:
+    """The lead-lag density of each snapshot without its null."""
+    r = G.density_report(windows(cat(spark, d)), null=False)
+    return r.select("snap", "n_names", "n_edges", rounded("density"), rounded("autocorrelation"))
+
+
+def graph_tree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Degree, eigenvector and betweenness on the spanning trees, clustering on the threshold graphs."""
+    n = G.node_table(windows(cat(spark, d)), least=0.05)
+    return n.select("snap", "ticker", *(rounded(c, 6) for c in ("degree", "eigenvector", "clustering", "betweenness")))
+
+
+def graph_clustering(spark: SparkSession, d: str) -> DataFrame:
+    """Clustering and degree of the threshold graphs from their edges."""
+    w = windows(cat(spark, d))
+    return G.clustering_table(G.edges(w, "threshold", least=0.02), w.select("snap", "ticker")).select("snap", "ticker", rounded("clustering"), rounded("degree"))
+
+
 def graph_density(spark: SparkSession, d: str) -> DataFrame:
     return G.density_report(windows(cat(spark, d)))
 
@@ -226,6 +244,23 @@ def lead_lag(kind: str) -> G.GraphFactor:
     return G.GraphFactor(f"leadlag_{kind}_120d", G.lead_lag_statistic(kind, least_names=3))
 
 
+def text_factor() -> G.VectorFactor:
+    """The neighbours' returns by filed texts for the given tables' thin universe: at least 3 names instead of 10."""
+    return G.VectorFactor("text_neighbour_return_k20", least_names=3)
+
+
+def graph_factor_text(spark: SparkSession, d: str) -> DataFrame:
+    return text_factor().panel(cat(spark, d)).select("ticker", label(), rounded("value", 6))
+
+
+def vectors_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Each member's latest filing on a day: its date and the mean of its vector."""
+    c = cat(spark, d)
+    v = V.vectors_as_of(c.vectors, AS_OF, U.members_on(c.table("membership"), AS_OF))
+    mean = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x) / F.size("vec")
+    return v.select("ticker", F.date_format("filing_date", "yyyy-MM-dd").alias("filing_date"), F.round(mean, 6).alias("mean"))
+
+
 def lead_lag_factor(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         return lead_lag(kind).panel(cat(spark, d)).select("ticker", label(), rounded("value", 6))
@@ -260,7 +295,7 @@ def item_one_texts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"q_{f.__name__}": f for f in (
     schedule_month, schedule_ten_days, walk_forward_folds, weights_risk, weights_constrained, rolling_beta, simulated_days, simulated_book, simulated_trades, costed_days, sharpe_by_cost, capacity, hard_to_borrow,
     performance, monthly_returns, rolling_sharpe, realised_beta, holding_periods, missing_share, return_quantiles, sector_counts, leakage_check, churn_check, adjustment_check, extreme_moves,
-    graph_windows, graph_mst, graph_threshold, graph_lead_lag, graph_nodes, graph_density, cluster_sectors, neutral_by_sector, neutral_by_size, vector_neighbours, item_one_texts,
+    graph_windows, graph_mst, graph_threshold, graph_lead_lag, graph_nodes, graph_density, graph_density_actual, graph_tree_nodes, graph_clustering, graph_factor_text, vectors_as_of, cluster_sectors, neutral_by_sector, neutral_by_size, vector_neighbours, item_one_texts,
 )} | {f"q_weights_{s}": weighted(s) for s in ("equal", "signal", "rank")} | {f"q_graph_factor_{k}": graph_factor(n) for k, n in (
     ("eigenvector", "eigenvector_centrality_mst_120d"), ("degree", "degree_centrality_mst_120d"), ("delta_eigenvector", "delta_eigenvector_centrality_mst_120d"),
 )} | {f"q_graph_factor_leadlag_{k}": lead_lag_factor(k) for k in ("out", "in", "upstream")}
@@ -316,6 +351,59 @@ v as (select s.snap, i, d * mu + (1 - d) * s as v from s join sh on s.snap = sh.
 c as (select s.snap, s.i, s.j, least(1, greatest(-1, (1 - d) * s / sqrt(a.v * b.v))) as rho from s join sh on s.snap = sh.snap join v a on a.snap = s.snap and a.i = s.i join v b on b.snap = s.snap and b.i = s.j where s.i < s.j)"""
 
 
+_LN2 = "0.6931471805599453"
+
+
+def p_two_sided(z: str) -> str:
+    """Two-sided normal p-value of an SQL expression, by the series of the error function (all terms positive)."""
+    terms = f"[exp((2 * n + 1) * (ln(abs({z})) - {_LN2} / 2) - ({z}) * ({z}) / 2 - lgamma(n + 1.5::double)) for n in range(0, 220)]"
+    return f"case when abs({z}) < 1e-12 then 1.0 when abs({z}) > 11 then 0.0 else greatest(0, 1 - list_sum({terms})) end"
+
+
+#: Lead-lag networks at month ends: residuals e, lagged correlations, those that survive the step-up, and the strongest of each pair (net).
+_LEAD = f"""{_RET}, {_ENDS}, {_SPANS}, w as (select e.pos as snap, t.ticker, t.pos - e.pos + 119 as t, t.r from ret t join ends e on t.pos between e.pos - 119 and e.pos where t.r is not null and exists (select 1 from spans m where m.ticker = t.ticker and e.day >= m.s and e.day < m.e)),
+k as (select *, count(*) over (partition by snap, ticker) as c, var_pop(r) over (partition by snap, ticker) as vr from w), u as (select snap, ticker, t, r from k where c = 120 and vr > 0),
+size as (select snap, count(distinct ticker) as p from u group by 1),
+mk as (select snap, t, m - avg(m) over (partition by snap) as m from (select snap, t, avg(r) as m from u group by 1, 2)),
+xm as (select u.snap, u.ticker, u.t, u.r - avg(u.r) over (partition by u.snap, u.ticker) as x, m from u join mk on u.snap = mk.snap and u.t = mk.t),
+e as (select snap, ticker, t, x - m * coalesce(sum(m * x) over (partition by snap, ticker) / nullif(sum(m * m) over (partition by snap, ticker), 0), 0) as e from xm),
+cc as (select a.snap, a.ticker as i, b.ticker as j, b.t - a.t as lag, corr(a.e, b.e) as c, count(*) as n from e a join e b on a.snap = b.snap and b.t - a.t between 1 and 5 and a.ticker <> b.ticker group by all),
+z as (select *, c * sqrt(n) as z from cc), pv as (select *, {p_two_sided('z')} as p from z),
+rk as (select *, row_number() over (partition by snap order by p, abs(z) desc) as k, count(*) over (partition by snap) as m from pv),
+lim as (select snap, max(k) filter (p <= k / m * 0.1::double) as last from rk group by 1),
+net as (select snap, i, j, c from (select r.*, row_number() over (partition by r.snap, i, j order by abs(c) desc, lag) as best from rk r join lim l on r.snap = l.snap where r.k <= coalesce(last, 0)) where best = 1)"""
+
+
+def _held(values: str) -> str:
+    """A factor's daily panel from values (snap, ticker, value)."""
+    return f"""deg as ({values}),
+held as (select ticker, value, unnest(range(snap, coalesce(lead(snap) over (partition by ticker order by snap), (select max(pos) + 1 from cal)))) as pos from deg)
+select ticker, strftime(day, '%Y-%m-%d') as obs_day, round(value, 6) + 0.0 as value from held join cal on held.pos = cal.pos"""
+
+
+def _lead_factor(kind: str) -> str:
+    node = "node as (select u.snap, u.ticker, p from (select distinct snap, ticker from u) u join size s on u.snap = s.snap where p >= 3)"
+    if kind == "out":
+        return f"with {_LEAD}, {node}, " + _held("select n.snap, n.ticker, coalesce(sum(abs(c)), 0) / any_value(p - 1) as value from node n left join net on n.snap = net.snap and n.ticker = net.i group by 1, 2")
+    if kind == "in":
+        return f"with {_LEAD}, {node}, " + _held("select n.snap, n.ticker, coalesce(sum(abs(c)), 0) / any_value(p - 1) as value from node n left join net on n.snap = net.snap and n.ticker = net.j group by 1, 2")
+    return f"with {_LEAD}, {node}, late as (select snap, ticker, avg(e) as r from e where t >= 115 group by 1, 2), " + _held(
+        "select n.snap, n.ticker, coalesce(sum(c * r) / nullif(sum(abs(c)), 0), 0) as value from node n left join net on n.snap = net.snap and n.ticker = net.j left join late on late.snap = n.snap and late.ticker = net.i group by 1, 2"
+    )
+
+
+def _eigen() -> str:
+    """Leading eigenvectors of the trees: (A / max + I) squared 26 times, so that only the leading direction is left; its diagonal holds the squares of the vector."""
+    steps = [
+        "node as (select snap, ticker, count(*) over (partition by snap) as p from (select distinct snap, ticker from x))",
+        "sym as (select snap, i, j, weight from tree union all select snap, j, i, weight from tree)",
+        "a0 as (select snap, i, j, sum(v) as v from (select snap, i, j, weight / max(weight) over (partition by snap) as v from sym union all select snap, ticker, ticker, 1.0 from node) group by 1, 2, 3)",
+    ]
+    for k in range(26):
+        steps.append(f"a{k + 1} as materialized (select snap, i, j, v / max(v) over (partition by snap) as v from (select a.snap, a.i, b.j, sum(a.v * b.v) as v from a{k} a join a{k} b on a.snap = b.snap and a.j = b.i group by 1, 2, 3))")
+    return ", ".join([*steps, "ev as (select n.snap, n.ticker, case when p < 2 then 0 else sqrt(v / sum(v) over (partition by n.snap)) end as value, p from node n join a26 a on a.snap = n.snap and a.i = n.ticker and a.j = n.ticker)"])
+
+
 def _tree() -> str:
     """Spanning trees: the edges that no path of shorter ones (of equal ones by name) goes around. Four squarings of the minimax matrix reach paths of 16 edges, more than the given tables' snapshots have."""
     steps = [
@@ -334,6 +422,7 @@ def _tree() -> str:
 
 
 _TREE = _tree()
+_EIGEN = _eigen()
 
 SQL: dict[str, str] = {
     "q_schedule_month": f"with {_PANEL}, {_ENDS} select strftime(day, '%Y-%m-%d') as obs_day, pos from ends",
@@ -396,6 +485,36 @@ b as (select v.*, z.size, count(*) over (partition by v.pos) as n from v join z
 k as (select *, rank() over (partition by pos order by value) + (count(*) over (partition by pos, value) - 1) / 2.0::double as y, rank() over (partition by pos order by size) + (count(*) over (partition by pos, size) - 1) / 2.0::double as x from b where n >= 5),
 f as (select pos, regr_slope(y, x) as slope, regr_intercept(y, x) as base from k group by 1)
 select ticker, obs_day, round(y - base - slope * x, 6) + 0.0 as value from k join f on k.pos = f.pos""",
+    "q_graph_lead_lag": f"with {_LEAD} select snap, i as src, j as dst, round(c, 8) + 0.0 as weight from net",
+    **{f"q_graph_factor_leadlag_{kind}": _lead_factor(kind) for kind in ("out", "in", "upstream")},
+    "q_graph_density_actual": f"""with {_LEAD}, ac as (select snap, avg(abs(c)) as a from (select a.snap, a.ticker, corr(a.e, b.e) as c from e a join e b on a.snap = b.snap and a.ticker = b.ticker and b.t = a.t + 1 group by 1, 2) group by 1)
+select s.snap, cast(p as integer) as n_names, cast(count(net.i) as integer) as n_edges, round(count(net.i) / (p * (p - 1)), 8) + 0.0 as density, round(any_value(a), 8) + 0.0 as autocorrelation from size s left join net on s.snap = net.snap join ac on ac.snap = s.snap where p >= 2 group by s.snap, p""",
+    "q_graph_factor_eigenvector": f"with {_SHRUNK}, {_TREE}, {_EIGEN}, " + _held("select snap, ticker, value from ev where p >= 3"),
+    "q_graph_factor_delta_eigenvector": f"""with {_SHRUNK}, {_TREE}, {_EIGEN}, l0 as (select ticker, value, unnest(range(snap, coalesce(lead(snap) over (partition by ticker order by snap), (select max(pos) + 1 from cal)))) as pos from ev where p >= 3),
+moved_at as (select l0.ticker, l0.pos as snap, value - lag(value) over (partition by l0.ticker order by l0.pos) as value from l0 join ends on l0.pos = ends.pos), """ + _held("select snap, ticker, value from moved_at where value is not null"),
+    "q_graph_tree_nodes": f"""with recursive {_SHRUNK}, {_TREE}, {_EIGEN},
+walk as (select snap, i as root, j as first, j as at, i as prev from sym union all select w.snap, w.root, w.first, s.j, w.at from walk w join sym s on s.snap = w.snap and s.i = w.at and s.j <> w.prev),
+part as (select snap, root, first, count(*) as n from walk group by 1, 2, 3),
+bt as (select n.snap, n.ticker, case when p > 2 then (power(p - 1, 2) - coalesce(sum(part.n * part.n), 0)) / ((p - 1) * (p - 2)) else 0 end as b from node n left join part on part.snap = n.snap and part.root = n.ticker group by n.snap, n.ticker, p),
+dg as (select snap, i as ticker, sum(weight) as w from sym group by 1, 2),
+th as (select snap, i, j from c where abs(rho) >= 0.05 union all select snap, j, i from c where abs(rho) >= 0.05), kk as (select snap, i, count(*) as k from th group by 1, 2),
+tri as (select a.snap, a.i, count(*) as t from th a join th b on a.snap = b.snap and a.j = b.i join th c2 on c2.snap = a.snap and c2.i = b.j and c2.j = a.i group by 1, 2)
+select n.snap, n.ticker, round(coalesce(w, 0) / greatest(n.p - 1, 1), 6) + 0.0 as degree, round(ev.value, 6) + 0.0 as eigenvector, round(case when k > 1 then coalesce(t, 0) / (k * (k - 1)) else 0 end, 6) + 0.0 as clustering, round(b, 6) + 0.0 as betweenness
+from node n join ev on ev.snap = n.snap and ev.ticker = n.ticker join bt on bt.snap = n.snap and bt.ticker = n.ticker left join dg on dg.snap = n.snap and dg.ticker = n.ticker left join kk on kk.snap = n.snap and kk.i = n.ticker left join tri on tri.snap = n.snap and tri.i = n.ticker""",
+    "q_graph_clustering": f"""with {_SHRUNK}, node as (select distinct snap, ticker from w qualify count(*) over (partition by snap, ticker) = 120), sz as (select snap, count(*) as p from node group by 1),
+th as (select snap, i, j, abs(rho) as v from c where abs(rho) >= 0.02 union all select snap, j, i, abs(rho) from c where abs(rho) >= 0.02), kk as (select snap, i, count(*) as k, sum(v) as v from th group by 1, 2),
+tri as (select a.snap, a.i, count(*) as t from th a join th b on a.snap = b.snap and a.j = b.i join th c2 on c2.snap = a.snap and c2.i = b.j and c2.j = a.i group by 1, 2)
+select n.snap, n.ticker, round(case when k > 1 then coalesce(t, 0) / (k * (k - 1)) else 0 end, 8) + 0.0 as clustering, round(coalesce(v, 0) / greatest(p - 1, 1), 8) + 0.0 as degree
+from node n join sz on sz.snap = n.snap left join kk on kk.snap = n.snap and kk.i = n.ticker left join tri on tri.snap = n.snap and tri.i = n.ticker""",
+    "q_vectors_as_of": f"""with {_SPANS}, f as (select {_TICKER.format('d.')} as ticker, cast(filed_at as date) as day, embedding::double[] as vec from documents d join embeddings e on d.doc_id = e.vec_id where filed_at is not null),
+l as (select * from f where ticker is not null and day <= date '{AS_OF}' and exists (select 1 from spans m where m.ticker = f.ticker and m.s <= date '{AS_OF}' and m.e > date '{AS_OF}') qualify row_number() over (partition by ticker order by day desc, vec desc) = 1)
+select ticker, strftime(day, '%Y-%m-%d') as filing_date, round(list_sum(vec) / len(vec), 6) as mean from l""",
+    "q_graph_factor_text": f"""with {_RET}, {_ENDS}, {_SPANS}, f0 as (select {_TICKER.format('d.')} as ticker, cast(filed_at as date) as day, max(embedding::double[]) as vec from documents d join embeddings e on d.doc_id = e.vec_id where filed_at is not null group by 1, 2),
+f as (select *, lead(day) over (partition by ticker order by day) as nxt from f0 where ticker is not null),
+kn as (select e.pos as snap, f.ticker, vec from f join ends e on e.day >= f.day and (nxt is null or e.day < nxt) where exists (select 1 from spans m where m.ticker = f.ticker and e.day >= m.s and e.day < m.e)),
+kc as (select *, count(*) over (partition by snap) as p from kn), rec as (select e.pos as snap, t.ticker, avg(r) as r from ret t join ends e on t.pos between e.pos - 20 and e.pos where t.r is not null group by 1, 2),
+pr as (select a.snap, a.ticker, b.ticker as o, greatest(-1, least(1, list_cosine_similarity(a.vec, b.vec))) as sim from kc a join kc b on a.snap = b.snap and a.ticker <> b.ticker where a.p >= 3),
+tk as (select *, row_number() over (partition by snap, ticker order by sim desc, o) as n from pr), """ + _held("select tk.snap, tk.ticker, sum(sim * r) / sum(sim) as value from tk join rec on rec.snap = tk.snap and rec.ticker = tk.o where n <= 20 and sim >= 0 group by 1, 2 having sum(sim) > 0"),
     "q_graph_threshold": f"with {_SHRUNK} select snap, i as src, j as dst, round(abs(rho), 8) + 0.0 as weight from c where abs(rho) >= 0.05",
     "q_graph_mst": f"with {_SHRUNK}, {_TREE} select snap, i as src, j as dst, round(weight, 8) + 0.0 as weight from tree",
     "q_graph_factor_degree": f"""with {_SHRUNK}, {_TREE}, node as (select snap, ticker, count(*) over (partition by snap) as p from (select distinct snap, ticker from x)),

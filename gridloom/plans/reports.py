@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from gridloom.operators import graphs as G
 from gridloom.operators import metrics as M
 from gridloom.operators.factors import Factor
 from gridloom.operators.universe import restrict, sizes_at_month_ends
-from gridloom.plans.study import long_short_moments
+from gridloom.plans.study import exposures, long_short_moments
 from gridloom.sources.catalog import Catalog
 from gridloom.sources.tables import report
 
@@ -40,7 +41,11 @@ class Report:
 
 
 def backtest_report(catalog: Catalog, factor: Factor, freq: str | int = "M", weigh=None, costs: B.CostModel = B.CostModel(), split_day: int | None = None, n_trials: int | None = None, var_sharpe: float | None = None) -> Report:  # noqa: B008
-    """Gross and net metrics, benchmark, beta, cost curve, capacity, monthly returns; from ``split_day`` on only. A deflated Sharpe ratio needs both n_trials and var_sharpe."""
+    """Gross and net metrics, benchmark, beta, factor exposures (where the catalog has a table ``factor_returns``: factor, day, ret), cost curve, capacity, equity with drawdown, rolling Sharpe, monthly returns, settings and headline.
+
+    From ``split_day`` on only; equity, rolling Sharpe and monthly returns are of the whole run. A deflated Sharpe ratio
+    needs both n_trials and var_sharpe.
+    """
     run = backtest(catalog, factor, freq, weigh).stored()
     adv = B.average_dollar_volume(catalog.panel)
     costed = checkpoint(B.with_costs(run, adv, costs))
@@ -55,6 +60,29 @@ def backtest_report(catalog: Catalog, factor: Factor, freq: str | int = "M", wei
         "cost_curve": B.sharpe_by_cost(run, adv, grid, costs), "capacity": B.capacity(run.book, adv, costs.aum),
         "costs": kept.agg(*(F.sum(c).alias(c) for c in ("linear", "impact", "borrow"))),
     }
+    whole = costed.select("day", F.inline(F.array(*(F.struct(F.lit(s).alias("series"), F.col(s).alias("ret")) for s in ("net", "gross")))))
+    tables["equity"] = M.equity(whole.select("series", "day", "ret"))
+    tables["rolling_sharpe"] = M.rolling_sharpe(whole.where("series = 'net'").select("series", "day", "ret"), per_year=costs.per_year)
+    tables["turnover"] = M.average_turnover(run.daily if split_day is None else run.daily.where(F.col("day") >= split_day))
+    try:
+        tables["exposures"] = exposures(catalog.spark, net, catalog.table("factor_returns"))
+    except (KeyError, AnalysisException):
+        pass  # no factor returns at hand: the section is left out
+    span = costed.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    turned = tables["turnover"].first()
+    score = tables["metrics"].where("series = 'net'").first()
+    names = run.book.where("weight <> 0").agg(F.countDistinct("ticker")).first()[0]
+    label = "full sample" if split_day is None else f"from day {split_day}"
+    shown = {
+        "factor": factor.name, "freq": freq, "spread_bps": costs.spread_bps, "impact": costs.impact, "borrow_bps": costs.borrow_bps, "aum": costs.aum,
+        "first_day": span["a"], "last_day": span["b"], "universe_size": names, "n_rebalances": turned["n_rebalances"], "evaluated_on": label,
+    }
+    number = lambda x, f: "n/a" if x is None else format(x, f)
+    shown["headline"] = (
+        f"Turnover {number(turned['avg_turnover'], '.1%')} per rebalance; assumed cost {costs.spread_bps:.0f} bps; "
+        f"net Sharpe {number(score and score['sharpe'], '.2f')} ({label})."
+    )
+    tables["settings"] = catalog.spark.createDataFrame([(k, str(v)) for k, v in shown.items()], "setting string, value string")
     if n_trials is not None and var_sharpe is not None:
         m = long_short_moments(net.select(F.lit(factor.name).alias("factor"), "ret")).collect()
         d = [

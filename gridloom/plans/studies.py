@@ -19,7 +19,7 @@ from gridloom.operators.columns import symbol
 from gridloom.operators.readings import usable
 from gridloom.plans import signals as S
 from gridloom.plans import study as T
-from gridloom.plans.portfolios import lead_lag
+from gridloom.plans.portfolios import lead_lag, text_factor
 from gridloom.plans.problems import _CELLS, _PERIODS, _USABLE
 from gridloom.plans.signals import AS_OF, BUCKETS, LEAST, cat, label, rounded
 from gridloom.sources import filings as L
@@ -27,14 +27,14 @@ from gridloom.sources.tables import table
 
 
 def graph_factors() -> list[X.Factor]:
-    """All graph factors, those of lead and lag for the given tables' thin windows."""
-    thin = {f.name: f for f in map(lead_lag, ("out", "in", "upstream"))}
+    """All graph factors, those of lead and lag and of texts for the given tables' thin windows."""
+    thin = {f.name: f for f in [*map(lead_lag, ("out", "in", "upstream")), text_factor()]}
     return [thin.get(f.name, f) for f in G.GRAPH_FACTORS.all()]
 
 
 def zoo(spark: SparkSession, d: str) -> DataFrame:
     z = T.factor_zoo(cat(spark, d), X.FACTORS.all(), 21, BUCKETS, LEAST, restrict_universe=False)
-    return z.select("factor", "n", *(rounded(c, 6) for c in z.columns[2:-1]), "rejected")
+    return z.select("factor", "direction", "horizon", "n", *(rounded(c, 6) for c in z.columns[4:-1]), "rejected")
 
 
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,8 @@ def exposures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spanning(spark: SparkSession, d: str) -> DataFrame:
-    return T.spanning(spark, "reversal_1m", *_against_others(spark, d))
+    t = T.spanning(spark, "reversal_1m", *_against_others(spark, d))
+    return t.select("factor", "n", *(rounded(c, 6) for c in t.columns[2:]))
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:

@@ -54,6 +54,16 @@ class Catalog:
         rows = pick(self.table("listings"), {"ticker": "ticker", "sector": "sector"}).select(symbol("ticker").alias("ticker"), "sector")
         return rows.where("ticker is not null and sector is not null").groupBy("ticker").agg(F.min("sector").alias("sector"))
 
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """ticker, filing_date, vec: the table ``vectors`` if there is one, else the embeddings of the documents with a ticker and a filing date (vec_id is the document's id)."""
+        if "vectors" in self._tables:
+            return self._tables["vectors"]
+        filed = pick(self.table("documents"), {"id": "doc_id", "ticker": "ticker", "filing_date": "filed_at"})
+        filed = filed.select("id", symbol("ticker").alias("ticker"), F.to_date("filing_date").alias("filing_date")).where("ticker is not null and filing_date is not null")
+        own = pick(self.table("embeddings"), {"id": "vec_id", "vec": "embedding"}).select("id", F.col("vec").cast("array<double>").alias("vec"))
+        return filed.join(own, "id").select("ticker", "filing_date", "vec")
+
     def known(self, field: str, panel: DataFrame | None = None) -> DataFrame:
         return P.facts_on_calendar(self.panel if panel is None else panel, self.table("fundamentals"), field)
 

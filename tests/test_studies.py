@@ -37,7 +37,7 @@ def test_scorecard_takes_every_factor(spark, monkeypatch):
 
     monkeypatch.setattr(T, "scorecard", scorecard)
     Q.scorecard(spark, "nowhere")
-    assert taken == [names(G.GRAPH_FACTORS.all()), names(X.FACTORS.all())] and len(taken[0]) == 6
+    assert taken == [names(G.GRAPH_FACTORS.all()), names(X.FACTORS.all())] and len(taken[0]) == 7
 
 
 def test_spanning_is_against_all_other_factors(spark, rows, monkeypatch):
