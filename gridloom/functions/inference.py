@@ -60,6 +60,11 @@ def pvalue_of_t(t: float | None, df: int | None = None) -> float | None:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
+def pvalues_of_t(t: np.ndarray) -> np.ndarray:
+    """Two-sided normal p-values; NaN for NaN."""
+    return np.array([math.nan if math.isnan(z) else normal_two_sided(z) for z in np.asarray(t, float).tolist()], float)
+
+
 def bonferroni(p: dict[str, float], alpha: float = 0.05) -> dict[str, bool]:
     return {k: v is not None and v <= alpha / len(p) for k, v in p.items()}
 

@@ -357,7 +357,7 @@ _LN2 = "0.6931471805599453"
 def p_two_sided(z: str) -> str:
     """Two-sided normal p-value of an SQL expression, by the series of the error function (all terms positive)."""
     terms = f"[exp((2 * n + 1) * (ln(abs({z})) - {_LN2} / 2) - ({z}) * ({z}) / 2 - lgamma(n + 1.5::double)) for n in range(0, 220)]"
-    return f"case when abs({z}) < 1e-12 then 1.0 when abs({z}) > 11 then 0.0 else greatest(0, 1 - list_sum({terms})) end"
+    return f"case when ({z}) is null then null when abs({z}) < 1e-12 then 1.0 when abs({z}) > 11 then 0.0 else greatest(0, 1 - list_sum({terms})) end"
 
 
 #: Lead-lag networks at month ends: residuals e, lagged correlations, those that survive the step-up, and the strongest of each pair (net).

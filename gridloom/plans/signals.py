@@ -172,7 +172,7 @@ _SPANS = "spans as (select ticker, cast(from_day as date) as s, cast(to_day as d
 
 def _known(field: str, name: str) -> str:
     return f"""{name}_f as (select ticker, cast(t as date) as day, arg_max(value, t) as v from inst where field = '{field}' group by 1, 2),
-{name} as (select p.ticker, p.pos, p.obs_day, p.close, x.v as known from panel p asof left join {name}_f x on p.ticker = x.ticker and p.day >= x.day)"""
+{name} as (select p.ticker, p.pos, p.day, p.obs_day, p.close, x.v as known from panel p asof left join {name}_f x on p.ticker = x.ticker and p.day >= x.day)"""
 
 
 _CAP = f"with {_USABLE}, {_PANEL}, {_known('shares_outstanding', 'sh')}, cap as (select *, close * known as cap from sh)"
@@ -215,8 +215,8 @@ turn as (select factor, day, obs_day, sum(coalesce(t, 0)) as turnover from legs
 def _hac(lags: int) -> str:
     shifts = ", ".join(f"lag(e, {k}) over (partition by factor, horizon order by day) as e{k}" for k in range(1, lags + 1))
     total = "sum(e * e)" + "".join(f" + 2 * (1 - {k} / {lags + 1}.0::double) * coalesce(sum(e * e{k}), 0)" for k in range(1, lags + 1))
-    return f"""dev as (select *, ic - avg(ic) over (partition by factor, horizon) as e from ic), sh as (select *, {shifts} from dev),
-hac as (select factor, horizon, avg(ic) / (sqrt({total}) / count(*)) as t_hac from sh group by 1, 2)"""
+    return f"""dev as (select *, ic - avg(ic) over (partition by factor, horizon) as e from ic), moved as (select *, {shifts} from dev),
+hac as (select factor, horizon, avg(ic) / (sqrt({total}) / count(*)) as t_hac from moved group by 1, 2)"""
 
 
 def _f(select: str) -> str:
@@ -225,6 +225,36 @@ def _f(select: str) -> str:
 
 _ROLL = "(partition by ticker order by pos rows between {} preceding and current row)"
 
+
+def _all_signals() -> str:
+    """sig: factor, ticker, pos, day, obs_day, value of all classical factors, oriented."""
+    w60, w21 = _ROLL.format(59), _ROLL.format(20)
+    each = {
+        "momentum_12_1": f"lag(lp, 21) over {_W} - lag(lp, 252) over {_W} as value from panel",
+        "reversal_1m": f"-(lp - lag(lp, 21) over {_W}) as value from panel",
+        "volatility_60": f"-(case when count(r) over w >= 40 then stddev_samp(r) over w end) as value from ret window w as {w60}",
+        "amihud_illiquidity": f"case when count(x) over w >= 14 then avg(x) over w * 1e6 end as value from ill window w as {w21}",
+        "idiosyncratic_skew": f"-(case when count(e) over w >= 40 and stddev_pop(e) over w > 1e-12 then skewness(e) over w end) as value from resid window w as {w60}",
+        "size": "-(case when cap > 0 then ln(cap) end) as value from cap",
+        "value": "be.known / nullif(c.cap, 0) as value from cap c join be on c.ticker = be.ticker and c.pos = be.pos",
+        "quality": "gp.known / nullif(ta.known, 0) as value from gp join ta on gp.ticker = ta.ticker and gp.pos = ta.pos",
+    }
+    source = {"value": "c.", "quality": "gp."}
+    parts = [
+        "select '{0}' as factor, {1}ticker as ticker, {1}pos as pos, {1}day as day, {1}obs_day as obs_day, {2}".format(n, source.get(n, ""), body)
+        for n, body in each.items()
+    ]
+    return f"""with {_USABLE}, {_RET}, {_MKT}, {_known('shares_outstanding', 'sh')}, cap as (select *, close * known as cap from sh),
+{_known('book_equity', 'be')}, {_known('gross_profit', 'gp')}, {_known('total_assets', 'ta')},
+ill as (select *, abs(r) / nullif(close * volume, 0) as x from sraw), jm as (select t.*, m.market from ret t left join mkt m on t.day = m.day),
+bm as (select *, case when count(case when r is not null and market is not null then 1 end) over w >= 40 then covar_samp(r, market) over w end / nullif(case when count(market) over w >= 40 then var_samp(market) over w end, 0) as beta from jm window w as {w60}),
+resid as (select *, r - beta * market as e from bm),
+sig as ({' union all '.join(parts)})"""
+
+
+_SIG8 = _all_signals()
+_SIDED8 = _SIDED.replace(_SIG, _SIG8)
+
 SQL: dict[str, str] = {
     "q_members": f"select distinct {_TICKER.format('')} as ticker from membership where coalesce(cast(start_date as date), date '0001-01-01') <= date '{AS_OF}' and coalesce(cast(end_date as date), date '2099-12-31') > date '{AS_OF}' and coalesce(cast(end_date as date), date '2099-12-31') > coalesce(cast(start_date as date), date '0001-01-01') and ticker is not null",
     "q_all_members": f"select distinct {_TICKER.format('')} as ticker from membership where ticker is not null",

@@ -19,13 +19,16 @@ from gridloom.operators.columns import symbol
 from gridloom.operators.readings import usable
 from gridloom.plans import signals as S
 from gridloom.plans import study as T
-from gridloom.plans.portfolios import lead_lag, text_factor
+from gridloom.plans.portfolios import lead_lag, p_two_sided, text_factor
 from gridloom.plans.problems import _CELLS, _PERIODS, _USABLE
 from gridloom.plans.signals import AS_OF, BUCKETS, LEAST, cat, label, rounded
 from gridloom.sources import filings as L
 from gridloom.sources.tables import table
 
 
+_OTHERS = sorted(f.name for f in X.FACTORS.all() if f.name != "reversal_1m")
+
+
 def graph_factors() -> list[X.Factor]:
     """All graph factors, those of lead and lag and of texts for the given tables' thin windows."""
     thin = {f.name: f for f in [*map(lead_lag, ("out", "in", "upstream")), text_factor()]}
@@ -48,16 +51,16 @@ def _against_others(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def exposures(spark: SparkSession, d: str) -> DataFrame:
-    return T.exposures(spark, *_against_others(spark, d)).select("term", *(rounded(x, 6) for x in ("coef", "se", "t")), "n")
+    return T.exposures(spark, *_against_others(spark, d), names=_OTHERS).select("term", *(rounded(x, 6) for x in ("coef", "se", "t")), "n")
 
 
 def spanning(spark: SparkSession, d: str) -> DataFrame:
-    t = T.spanning(spark, "reversal_1m", *_against_others(spark, d))
+    t = T.spanning(spark, "reversal_1m", *_against_others(spark, d), names=_OTHERS)
     return t.select("factor", "n", *(rounded(c, 6) for c in t.columns[2:]))
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return T.bootstrap(spark, *_against_others(spark, d))
+    return T.bootstrap(spark, *_against_others(spark, d), names=_OTHERS)
 
 
 def long_short_moments(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +75,7 @@ def p_values(spark: SparkSession, d: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def two_sided(t: pd.Series) -> pd.Series:
-        return t.map(I.pvalue_of_t).astype(float)
+        return pd.Series(I.pvalues_of_t(t.to_numpy(float)))
 
     p = s.select("factor", "horizon", two_sided("t_hac").alias("p"))
     from pyspark.sql import Window
@@ -188,7 +191,96 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"q_{f.__name__}
 _SPAN = S._SPANS
 _ITEM = r"nullif(trim(regexp_extract(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\s\p{Z}\x{0085}\x{000b}]+', ' ', 'g')), '(?is)item\s*1\s*\.?\s*(?:-|:)?\s*business(.*?)(?:item\s*1a\b|item\s*2\b|$)', 1)), '')"
 
+def _regression(lags: int, names: list[str]) -> str:
+    """SQL of least squares with HAC errors of target on [1, names] by orthogonalisation: tables coef (term, coef, se), stat (n, k, rss, tss, theta).
+
+    ``wide`` (day, y, x0 = 1, x1, ...) holds the complete rows. The columns are made orthonormal one by one (q0, q1, ...),
+    R holds the products; rows of its inverse turn them into each coefficient's weights h, whose products with the
+    residuals are summed over lags.
+    """
+    k = len(names)
+    columns = [f"x{i}" for i in range(k + 1)]
+    steps, have = [], []
+    before = "wide"
+    for i, x in enumerate(columns):
+        # twice, so that rounding leaves nothing of the earlier columns
+        for again in range(2):
+            dots = ", ".join(f"sum({x} * {q}) over () as d{j}" for j, q in enumerate(have))
+            steps.append(f"o{i}_{again}a as (select *{', ' + dots if dots else ''} from {before})")
+            less = "".join(f" - d{j} * {q}" for j, q in enumerate(have))
+            keep = ", ".join(["day", "y", *columns[i + 1 :], *have])
+            sums = ", ".join(f"d{j} as s{i}_{j}" for j in range(len(have))) if again == 0 else ", ".join(f"s{i}_{j} + d{j} as s{i}_{j}" for j in range(len(have)))
+            rest = [f"s{a}_{b}" for a in range(i) for b in range(a + 1)]
+            steps.append(f"o{i}_{again} as (select {keep}{', ' + ', '.join(rest) if rest else ''}{', ' + sums if sums else ''}, {x}{less} as {x} from o{i}_{again}a)")
+            before = f"o{i}_{again}"
+        rest = [f"s{a}_{b}" for a in range(i) for b in range(a + 1)] + [f"s{i}_{j}" for j in range(i)]
+        keep = ", ".join(["day", "y", *(c for c in columns[i + 1 :]), *have, *rest])
+        steps.append(f"q{i}_t as (select {keep}, sqrt(sum({x} * {x}) over ()) as s{i}_{i}, {x} / sqrt(sum({x} * {x}) over ()) as q{i} from {before})")
+        before = f"q{i}_t"
+        have.append(f"q{i}")
+    # row j of the inverse of R, from its diagonal on
+    for m in range(k + 1):
+        cells = [f"1 / s{m}_{m} as v{m}_{m}"] + [f"-({' + '.join(f'v{j}_{i} * s{m}_{i}' for i in range(j, m))}) / s{m}_{m} as v{j}_{m}" for j in range(m)]
+        steps.append(f"inv{m} as (select *, {', '.join(cells)} from {before})")
+        before = f"inv{m}"
+    fit = ", ".join(f"sum(y * q{j}) over () as b{j}" for j in range(k + 1))
+    steps.append(f"fit as (select *, {fit} from {before})")
+    left = "".join(f" - b{j} * q{j}" for j in range(k + 1))
+    steps.append(f"res as (select *, y{left} as e from fit)")
+    each = " union all ".join(
+        f"select {j} as term, day, e, {' + '.join(f'v{j}_{m} * q{m}' for m in range(j, k + 1))} as h, {' + '.join(f'v{j}_{m} * b{m}' for m in range(j, k + 1))} as coef from res" for j in range(k + 1)
+    )
+    shifts = ", ".join(f"lag(e * h, {g}) over (partition by term order by day) as g{g}" for g in range(1, lags + 1))
+    total = "sum(e * h * e * h)" + "".join(f" + 2 * (1 - {g} / {lags + 1}.0::double) * coalesce(sum(e * h * g{g}), 0)" for g in range(1, lags + 1))
+    label = " ".join(f"when {j} then '{n}'" for j, n in enumerate(["alpha", *names]))
+    return ", ".join(steps) + f""", terms as ({each}), lagged as (select *, {shifts} from terms),
+coef as (select term as place, case term {label} end as term, any_value(coef) as coef, sqrt(greatest({total}, 0)) as se, sum(h * h) as hh, count(*) as n from lagged group by 1, 2),
+stat as (select count(*) as n, sum(e * e) as rss, sum(y * y) - sum(y) * sum(y) / count(*) as tss from res)"""
+
+
+_WIDE_LS = f"""{S._SIDED8}, {S._LS},
+complete as (select * from (select day, max(ret) filter (factor = 'reversal_1m') as y, 1.0::double as x0, {', '.join(f"max(ret) filter (factor = '{n}') as x{i + 1}" for i, n in enumerate(_OTHERS))} from ls where ret is not null group by day)
+  where y is not null {''.join(f' and x{i + 1} is not null' for i in range(len(_OTHERS)))}),
+wide as (select * from complete where (select count(*) from complete) > {len(_OTHERS) + 1})"""
+
+
+def _t_two_sided(t: str, dof: str) -> str:
+    """Two-sided p-value of Student's t: one less the density's integral from -t to t, by Simpson's rule over 2,000 steps."""
+    g = f"exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt({dof} * 3.141592653589793)"
+    h = f"(({t}) / 2000)"
+    return f"1 - 2 * {g} * {h} / 3 * list_sum([(case when i = 0 or i = 2000 then 1 when i % 2 = 1 then 4 else 2 end) * power(1 + i * {h} * i * {h} / {dof}, -({dof} + 1) / 2.0) for i in range(0, 2001)])"
+
+
+def _expected_max() -> str:
+    """Expected maximum of so many standard normal Sharpe ratios, for up to as many trials as there are factors."""
+    return "case m " + " ".join(f"when {m} then {I.expected_max_sharpe(m, 1.0)!r}" for m in range(1, len(X.FACTORS.all()) + 1)) + " end"
+
+
+def _normal_cdf(z: str) -> str:
+    return f"case when ({z}) >= 0 then 1 - ({p_two_sided(z)}) / 2 else ({p_two_sided(z)}) / 2 end"
+
+
+_STEP_UP = "lim as (select max(k) filter (p <= k / m * 0.05::double) as last from tests)"
+_P = f"""{S._SIG}, {S._ic(S.HORIZONS)}, {S._hac(5)}, pv as (select factor, horizon, {p_two_sided('t_hac')} as p from hac),
+tests as (select *, row_number() over (order by p, factor, horizon) as k, count(*) over () as m from pv), {_STEP_UP}"""
+_ZOO = f"""{S._SIG8}, {S._ic((21,))}, {S._hac(20)},
+st as (select factor, count(*) as n, avg(ic) as mean, stddev_samp(ic) as sd, sum(case when ic > 0 then 1 else 0 end) as up, sum(case when ic < 0 then 1 else 0 end) as down, sum(case when ic = 0 then 1 else 0 end) as flat from ic group by 1),
+{S._SIDED8[len(S._SIG8) + 2:]}, ls as (select s.factor, s.day, avg(fwd) filter (side > 0) - avg(fwd) filter (side < 0) as ret from sided s join fwd f on s.ticker = f.ticker and s.day = f.day where fwd is not null and side <> 0 group by all),
+sr as (select factor, avg(ret) / nullif(stddev_samp(ret), 0) as sharpe from ls where ret is not null group by 1),
+al as (select st.*, h.t_hac, {p_two_sided('t_hac')} as p, sharpe from st left join hac h on h.factor = st.factor left join sr on sr.factor = st.factor),
+tests as (select *, row_number() over (order by p nulls last, factor) as k, count(*) over () as m, coalesce(var_samp(sharpe) over (), 1) as v from al), {_STEP_UP},
+de as (select *, (sharpe - sqrt(v) * {_expected_max()}) * sqrt(greatest(2, n // 21) - 1) / sqrt(1 + sharpe * sharpe / 2) as z from tests)"""
+
 SQL: dict[str, str] = {
+    "q_p_values": f"{_P} select factor, horizon, round(p, 6) + 0.0 as p, k <= coalesce(last, 0) as step_up, p <= 0.05 / m as bonferroni from tests, lim",
+    "q_zoo": f"""{_ZOO} select factor, case when factor in ({', '.join(f"'{f.name}'" for f in X.FACTORS.all() if f.direction < 0)}) then -1 else 1 end as direction, 21 as horizon, n, round(mean, 6) + 0.0 as mean_ic, round(mean / sd * sqrt(252), 6) + 0.0 as ir, round(mean / (sd / sqrt(n)), 6) + 0.0 as t_naive,
+  round(t_hac, 6) + 0.0 as t_hac, round(p, 6) + 0.0 as p_hac, round(case when mean > 0 then up when mean < 0 then down else flat end / n, 6) + 0.0 as hit_rate, round(sharpe, 6) + 0.0 as sharpe, round({_normal_cdf('z')}, 6) + 0.0 as deflated, k <= coalesce(last, 0) as rejected from de, lim""",
+    "q_exposures": f"{_WIDE_LS}, {_regression(21, _OTHERS)} select term, round(coef, 6) + 0.0 as coef, round(se, 6) + 0.0 as se, round(coef / se, 6) + 0.0 as t, n from coef",
+    "q_spanning": f"""{_WIDE_LS}, {_regression(20, _OTHERS)},
+a as (select coef as alpha, coef / se as t, n, n * hh - 1 as base, n - {len(_OTHERS) + 1} as dof, rss, tss from coef, (select rss, tss from stat) where place = 0),
+b as (select *, alpha * alpha / (rss / n) as gain from a), g as (select *, dof * gain / (1 + base) as grs from b)
+select 'reversal_1m' as factor, (select count(*) from complete) as n, round(alpha, 6) + 0.0 as alpha, round(alpha * 252, 6) + 0.0 as alpha_ann, round(t, 6) + 0.0 as t, round({p_two_sided('t')}, 6) + 0.0 as p, round(grs, 6) + 0.0 as grs, round({_t_two_sided('sqrt(grs)', 'dof')}, 6) + 0.0 as grs_p,
+  round(alpha / sqrt(rss / dof) * sqrt(252), 6) + 0.0 as appraisal, round(base, 6) + 0.0 as theta_base, round(gain, 6) + 0.0 as theta_gain, round(1 - rss / tss, 6) + 0.0 as r2 from (select 1) left join g on true""",
     "q_long_short_moments": f"{S._SIDED}, {S._LS} select factor, count(ret) as n, round(avg(ret) / stddev_samp(ret), 6) + 0.0 as sharpe, round(skewness(ret), 6) + 0.0 as skew, round(kurtosis(ret), 6) + 0.0 as kurtosis from ls where ret is not null group by 1",
     "q_grid": """with w as (select unnest([120, 180, 250]) as w), s as (select unnest(['threshold', 'mst', 'pmfg']) as s), c as (select unnest(['degree', 'eigenvector', 'betweenness', 'clustering']) as f), t as (select unnest(['level', 'delta']) as t),
 cf as (select f, t from c, t union all select unnest(['community_louvain', 'community_leiden']), 'level'),

@@ -58,4 +58,4 @@ def test_density_null_takes_month_ends_and_the_default_shuffles(monkeypatch):
 def test_bootstrap_takes_the_default_replicates(monkeypatch):
     monkeypatch.setattr(Q, "_against_others", lambda spark, d: ("target", "others"))
     monkeypatch.setattr(T, "bootstrap", lambda *given, **more: (given, more))
-    assert Q.bootstrap(None, "nowhere") == ((None, "target", "others"), {})
+    assert Q.bootstrap(None, "nowhere") == ((None, "target", "others"), {"names": [n for n in names(X.FACTORS.all()) if n != "reversal_1m"]})
