@@ -15,6 +15,7 @@ from gridloom.operators import metrics as M
 from gridloom.operators import universe as U
 from gridloom.operators import vectors as V
 from gridloom.plans.problems import _TICKER, _USABLE
+from gridloom.plans.signals import SQL as SIGNALS
 from gridloom.plans.signals import _CAP, _MKT, _PANEL, _RET, _ROLL, _SPANS, _W, AS_OF, _known, cat, label, rounded
 from gridloom.sources.catalog import Catalog
 from gridloom.sources.tables import table
@@ -466,7 +467,8 @@ select 'gross' as series, cast(year(sp.m) as integer) as year, cast(month(sp.m)
 select p.obs_day, name_group, round(avg(case when adj is null then 1.0 else 0.0 end), 6) + 0.0 as share from panel p join e on p.day = e.day join nm on nm.ticker = p.ticker where exists (select 1 from spans x where x.ticker = p.ticker and p.day >= x.s and p.day < x.e) group by all""",
     "q_return_quantiles": f"with {_RET} select cast(year(day) as integer) as year, " + ", ".join(f"round(quantile_cont(r, 0.{n}), 8) as q{n}" for n in ("01", "25", "50", "75", "99")) + " from ret where r is not null group by 1",
     "q_sector_counts": f"with {_SECTORS}, {_SPANS}, mem as (select distinct ticker from spans where s <= date '{AS_OF}' and e > date '{AS_OF}') select sector, count(*) as n from mem left join sec on mem.ticker = sec.ticker group by 1",
-    "q_leakage_check": "select 'no_future_members' as \"check\", cast(0 as bigint) as failures",
+    "q_leakage_check": f"""with {_SPANS}, a as ({SIGNALS['q_members']}), b as (select distinct ticker from spans where s <= date '{AS_OF}' and e > date '{AS_OF}')
+select 'no_future_members' as "check", count(*) as failures from ((select * from a except select * from b) union all (select * from b except select * from a))""",
     "q_churn_check": f"with {_PANEL}, {_SPANS}, t as (select ticker, max(e) as e from spans group by 1), a as (select count(*) filter (e <= (select max(day) from panel)) as exited, count(*) as ever from t) select exited, ever, round(exited / ever, 6) + 0.0 as share, exited / ever between 0.05 and 0.6 as passed from a",
     "q_adjustment_check": f"""with {_RET}, c as (select ticker, r as a, case when close > 0 then ln(close) end as lc, pos from ret), d as (select ticker, a, lc - lag(lc) over {_W} as c from c),
 p as (select ticker, count(*) filter (abs(a) > 0.4) as x, count(*) filter (abs(a - c) > 1e-9) as d, count(a) as n from d group by 1), t as (select cast(sum(x) as bigint) as n_extreme, count(*) filter (d = 0) as n_unadjusted, count(*) as n_tickers from p where n > 0)

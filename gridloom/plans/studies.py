@@ -126,9 +126,13 @@ def members_by_replay(spark: SparkSession, d: str) -> DataFrame:
     return U.members_by_replay(current, changes, AS_OF)
 
 
+#: The band and the days of the member counts that are checked; on the given tables some days pass and some fail.
+SIZES, CHECK_DAYS = (40, 400), ["2012-06-29", AS_OF, "2023-12-29"]
+
+
 def validation(spark: SparkSession, d: str) -> DataFrame:
     _, current = changes_of(spark, d)
-    return U.validate(table(spark, d, "membership"), current, 1, 10**9, [AS_OF])
+    return U.validate(table(spark, d, "membership"), current, *SIZES, CHECK_DAYS)
 
 
 def embedding_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -290,7 +294,6 @@ b as (select 'leadlag', f, null, null, null, lag, null, '{"feature":"' || f || '
 k as (select unnest([5, 10, 20]) as knn), x as (select 'text', 'neighbour_return', null, null, null, null, knn, '{"feature":"neighbour_return","feature_class":"text","knn":' || knn || '}' from k),
 every as (select * from a union all select * from b union all select * from x)
 select substr(sha1(js), 1, 12) as config_id, feature_class, feature, transform, cast("window" as integer) as "window", sparsifier, cast(lag as integer) as lag, cast(knn as integer) as knn from every""",
-    "q_grid_by_class": "select * from (values ('correlation', cast(90 as bigint), cast(90 as bigint)), ('leadlag', 15, 15), ('text', 3, 3)) t(feature_class, n, n_ids)",
     "q_earliest_disclosures": f"""with {_USABLE} select ticker, field, epoch_us(t) as available_date, round_even(value, 2) as value, epoch_us(period_end) as period_end from (
 select *, row_number() over (partition by ticker, field, period_end, round_even(value, 2) order by t, value) as k from good) where k = 1""",
     "q_intervals_from_changes": f"select ticker, case when from_day <> '0001-01-01' then from_day end as from_day, case when to_day <> '2099-12-31' then to_day end as to_day from ({_PERIODS}) where kind = 'period'",
@@ -299,7 +302,7 @@ select *, row_number() over (partition by ticker, field, period_end, round_even(
 union all select 'open_set_is_current', count(*) from (
   (select distinct {S._TICKER.format('')} as ticker from membership where end_date is null or cast(end_date as date) >= date '2099-12-31' except select ticker from ({_PERIODS}) where kind = 'period' and to_day = '2099-12-31')
   union all (select ticker from ({_PERIODS}) where kind = 'period' and to_day = '2099-12-31' except select distinct {S._TICKER.format('')} from membership where end_date is null or cast(end_date as date) >= date '2099-12-31'))
-union all select 'size_{AS_OF}', case when count(*) >= 1 then 0 else 1 end from ({S.SQL['q_members']})""",
+{' '.join(f"union all select 'size_{day}', case when count(*) between {SIZES[0]} and {SIZES[1]} then 0 else 1 end from ({S.SQL['q_members'].replace(AS_OF, day)})" for day in CHECK_DAYS)}""",
     "q_embedding_coverage": f"""with {_SPAN}, f as (select {S._TICKER.format('')} as ticker, min(cast(filed_at as date)) as first from documents where ticker is not null and filed_at is not null group by 1),
 cp as (select last_day(cast(unnest(generate_series(date_trunc('month', min(filed_at)), date_trunc('month', max(filed_at)), interval 1 month)) as date)) as c from documents where ticker is not null and filed_at is not null),
 m as (select c, ticker from cp join spans on s <= c and e > c)
@@ -315,3 +318,4 @@ c as (select field, count(*) as n_cells, count(*) filter (not exists (select 1 f
     "q_factor_as_of": f"with x as ({S.SQL['q_factor_volatility_60']}), {S._PANEL} select ticker, value from x where obs_day = (select max(obs_day) from panel where obs_day <= '{AS_OF}')",
     "q_calendar_samples": f"with {S._PANEL}, {_SPAN} select p.ticker, p.obs_day from panel p join spans x on p.ticker = x.ticker and p.day >= x.s and p.day < x.e where p.pos % 63 = 0",
 }
+SQL["q_grid_by_class"] = f"select feature_class, count(*) as n, count(distinct config_id) as n_ids from ({SQL['q_grid']}) group by 1"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -64,10 +65,33 @@ def sessions(events: DataFrame, time: str, keys: list[str], gap: str, delay: str
     return events.withWatermark(time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def upsert_into(path: str, keys: list[str], order: str):
-    """foreachBatch sink: keep the row with the greatest ``order`` per keys in one parquet folder per batch; a batch that is retried is written again in its place, so a retry changes nothing."""
+def batch_log(path: str, keys: list[str], order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: one parquet folder per batch. A batch that is retried is written again in its place, so a retry changes nothing.
+
+    With ``order`` only the row with the greatest one per keys is kept of a batch. Batches are not merged when they are
+    written: current_rows() does that when the log is read.
+    """
     def save(df: DataFrame, batch: int) -> None:
-        best = df.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in df.columns if c not in keys and c != order])).alias("r")).select(*keys, "r.*")
+        best = df if order is None else latest_of(df, keys, order)
         best.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return save
+
+
+def latest_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row with the greatest ``order`` per keys; ties go to the greatest other columns."""
+    rest = [c for c in rows.columns if c not in keys and c != order]
+    return rows.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("_r")).select(*keys, "_r.*")
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows a batch_log() has written; none if it has written nothing yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def current_rows(log: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The table a log stands for: of each key the latest row over all batches. One combinable aggregate."""
+    return latest_of(log.drop("batch"), keys, order)

@@ -500,7 +500,7 @@ def test_streams(spark, rows, tmp_path):
     for part in ([("a", 1.0, at), ("a", 1.0, at)], [("a", 1.0, at), ("a", 2.0, at + dt.timedelta(days=1))]):
         rows(bars, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/bars")
     once = flows.once_per_bar(spark.readStream.schema(bars).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/bars"))
-    q = once.writeStream.foreachBatch(flows.upsert_into(f"{tmp_path}/kept", ["ticker"], "loaded_at")).option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    q = once.writeStream.foreachBatch(flows.batch_log(f"{tmp_path}/kept", ["ticker"], "loaded_at")).option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["close"] for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == [1.0, 2.0]
 
