@@ -27,7 +27,7 @@ def performance(returns: DataFrame, per_year: int = 252, tail: float = 0.05, tar
     r = F.col("ret")
     a = rows.join(cut, "series").groupBy("series").agg(
         F.count("ret").alias("n"), F.max_by("equity", "day").alias("_end"), F.avg("ret").alias("_mean"), F.stddev_samp("ret").alias("_sd"),
-        F.sqrt(F.avg(F.pow(F.least(r - target, F.lit(0.0)), F.lit(2)))).alias("_down"), F.abs(F.min("drawdown")).alias("max_drawdown"),
+        F.sqrt(F.avg(F.when(r.isNotNull(), F.pow(F.least(r - target, F.lit(0.0)), F.lit(2))))).alias("_down"), F.abs(F.min("drawdown")).alias("max_drawdown"),
         (-F.avg(F.when(F.col("drawdown") <= F.col("_q"), F.col("drawdown")))).alias("conditional_drawdown"), F.avg((r > 0).cast("double")).alias("hit_rate"),
         F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)).alias("_gain"), F.coalesce(-F.sum(F.when(r < 0, r)), F.lit(0.0)).alias("_loss"),
     )
