@@ -1,3 +1,3 @@
-from gridloom.engine.session import checkpoint, ensure_checkpoint_dir, get_session
+from gridloom.engine.session import checkpoint, ensure_checkpoint_dir, get_session, ship_package
 
-__all__ = ["checkpoint", "ensure_checkpoint_dir", "get_session"]
+__all__ = ["checkpoint", "ensure_checkpoint_dir", "get_session", "ship_package"]

@@ -36,9 +36,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a Spark context: functions of it are pickled by name, and workers may start in any folder or on any machine."""
+    context = spark.sparkContext
+    if getattr(context, "_gridloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if os.path.isdir(os.path.join(root, "gridloom")):  # a package that runs from an archive came with it
+        folder = tempfile.mkdtemp(prefix="gridloom-package-")  # the driver serves the file from here as long as it runs
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "gridloom"), "zip", root, "gridloom"))
+        owner = os.getpid()
+        atexit.register(lambda: os.getpid() == owner and shutil.rmtree(folder, ignore_errors=True))
+    context._gridloom_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names in spark.checkpoint.dir; a local folder only where none is set and the master is local."""
     context = spark.sparkContext

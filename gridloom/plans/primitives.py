@@ -182,8 +182,7 @@ def cubed(spark: SparkSession, d: str) -> DataFrame:
 
 def rolling_information(spark: SparkSession, d: str) -> DataFrame:
     """63-row mean of the daily rank correlation, at least 21."""
-    c = cat(spark, d)
-    ic = E.information(S.oriented(c), E.forward_returns(c.panel, (21,)), S.LEAST)
+    ic = E.scored_information(S.scores(cat(spark, d), (21,)), S.LEAST)
     w = Window.partitionBy("factor").orderBy("day").rowsBetween(-62, 0)
     return ic.select("factor", label(), F.when(F.count("ic").over(w) >= 21, F.round(F.avg("ic").over(w), 7)).alias("mean")).where("mean is not null")
 
