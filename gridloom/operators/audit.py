@@ -13,12 +13,29 @@ def missing_share(panel: DataFrame, spans: DataFrame, groups: int = 20, price: s
     """month_end, name_group, share: share of members without a price on the last calendar day of each month, names in ``groups`` groups of nearly equal size by ticker."""
     month = F.date_trunc("month", F.date_from_unix_date("day").cast("timestamp"))
     ends = panel.groupBy(month.alias("_m")).agg(F.max("day").alias("day"))
-    names = panel.select("ticker").distinct().withColumn("name_group", F.ntile(groups).over(Window.orderBy("ticker")))
+    names = name_groups(panel.select("ticker").distinct(), groups)
     held = panel.select("ticker", "day", price).join(ends.select("day"), "day", "left_semi")
     rows = restrict(held, spans).join(names, "ticker")
     return rows.groupBy("day", "name_group").agg(F.avg(F.col(price).isNull().cast("double")).alias("share"))
 
 
+def name_groups(names: DataFrame, groups: int) -> DataFrame:
+    """ticker, name_group: names in order in ``groups`` groups of nearly equal size, the first ones longer (as ntile).
+
+    Names are ranked within their first two characters and by the number of names before those, so no task holds them all.
+    """
+    rows = names.withColumn("_head", F.substring("ticker", 1, 2))
+    per = rows.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)  # one row per pair of characters
+    start = per.select("_head", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_head").orderBy("ticker")) - 1
+    ranked = rows.join(F.broadcast(start), "_head").withColumn("_rank", rank)
+    size, longer = F.floor(F.col("_all") / groups), F.col("_all") % groups
+    split = longer * (size + 1)
+    group = F.when(F.col("_rank") < split, F.floor(F.col("_rank") / (size + 1))).otherwise(longer + F.floor((F.col("_rank") - split) / F.greatest(size, F.lit(1))))
+    return ranked.select("ticker", (group + 1).cast("int").alias("name_group"))
+
+
 def returns_by_year(panel: DataFrame) -> DataFrame:
     """year, ret (log, present ones)."""
     return returns(panel, "log").where("ret is not null").select(F.year(F.date_from_unix_date("day")).alias("year"), "ret")

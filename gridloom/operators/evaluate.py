@@ -6,6 +6,7 @@ held against, as columns of one panel: one scan of the prices and one exchange b
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,6 +89,27 @@ def factor_information(
     return scored_information(restrict(rows, catalog.periods) if restrict_universe else rows, least)
 
 
+def information_by_day(
+    catalog: Catalog, compute: Callable[[Catalog, int], DataFrame], days: list[int], name: str = "signal", horizons: tuple[int, ...] = (1, 5, 21),
+    least: int = 30, restrict_universe: bool = True
+) -> DataFrame:
+    """information() of a signal that is given as a function of the catalog and one day (ticker, value), on some days.
+
+    Each day is a plan of its own, so this is for signals that have no panel and for few days. Days on which ``compute``
+    raises ValueError (not enough history) are left out.
+    """
+    parts = []
+    for day in days:
+        try:
+            parts.append(compute(catalog, day).select(F.lit(name).alias("factor"), "ticker", F.lit(day).alias("day"), "value"))
+        except ValueError:
+            continue
+    if not parts:
+        return catalog.spark.createDataFrame([], "factor string, horizon int, day int, ic double, n long")
+    rows = reduce(DataFrame.unionByName, parts)
+    return information(restrict(rows, catalog.periods) if restrict_universe else rows, forward_returns(catalog.panel, horizons), least)
+
+
 def summarise_information(ic: DataFrame, lags: int | None = None, per_year: int = 252) -> DataFrame:
     """factor, horizon, n, mean, sd, ir, t_naive, hit_rate, first_day, last_day and, with lags, t_hac. One pass over the correlations."""
     by = ["factor", "horizon"]

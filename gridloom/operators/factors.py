@@ -101,6 +101,18 @@ def momentum(panel: DataFrame, lookback: int, skip: int, log_prices: bool = Fals
     return panel.withColumn("value", lagged(p, skip) - lagged(p, lookback))
 
 
+def momentum_on(catalog: Catalog, day: int, lookback: int = 252, skip: int = 21, members: DataFrame | None = None) -> DataFrame:
+    """ticker, value: momentum on the last calendar day at or before ``day``, of the members (ticker) if given.
+
+    Fewer than ``lookback`` + 1 calendar days up to then: ValueError.
+    """
+    at = catalog.days.where(F.col("day") <= day).agg(F.max("pos").alias("p")).first()["p"]
+    if at is None or at < lookback:
+        raise ValueError(f"momentum needs {lookback + 1} days up to the day")
+    out = momentum(catalog.panel, lookback, skip).where((F.col("pos") == at) & F.col("value").isNotNull()).select("ticker", "value")
+    return out if members is None else out.join(members.select("ticker").distinct(), "ticker", "left_semi")
+
+
 def reversal(panel: DataFrame, window: int = 21) -> DataFrame:
     return momentum(panel, window, 0)
 

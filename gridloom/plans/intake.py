@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from gridloom.engine.session import ensure_checkpoint_dir
 from gridloom.operators import audit as A
 from gridloom.operators import backtest as B
 from gridloom.operators import evaluate as E
+from gridloom.operators import factors as X
 from gridloom.operators import graphs as G
 from gridloom.operators import metrics as M
 from gridloom.operators import panel as P
@@ -30,6 +32,7 @@ from gridloom.plans.signals import AS_OF, cat, label, rounded
 from gridloom.plans.studies import SQL as _STUDIES
 from gridloom.sources import filings as L
 from gridloom.sources import tables as R
+from gridloom.sources.stored import is_stale
 from gridloom.sources.tables import table
 from gridloom.streaming import flows as W
 
@@ -245,9 +248,35 @@ def sector_agreement(spark: SparkSession, d: str) -> DataFrame:
     return G.cluster_sector_table(nodes, cat(spark, d).sectors)[1].select("snap", "n", rounded("adjusted_rand", 6))
 
 
+def stored_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The panel written once and read back."""
+    c = cat(spark, d)
+    folder = work_folder(spark, "panel")
+    if not is_stale(c.table("prices"), folder, "panel-0"):
+        raise AssertionError("nothing is stored yet")
+    c.stored_panel(folder)
+    if is_stale(c.table("prices"), folder, "panel-0"):
+        raise AssertionError("the panel was not stored")
+    return cat(spark, d).stored_panel(folder).select("ticker", label(), "close", "adj", "volume")
+
+
+def momentum_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Momentum of the members on one day."""
+    c = cat(spark, d)
+    members = U.members_on(c.table("membership"), AS_OF)
+    return X.momentum_on(c, (date.fromisoformat(AS_OF) - date(1970, 1, 1)).days, members=members).select("ticker", rounded("value", 6))
+
+
+def information_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlations of momentum as a function of the day, on the last two calendar days of June 2018 and before any history."""
+    days = [(date.fromisoformat(x) - date(1970, 1, 1)).days for x in ("1980-01-01", "2018-06-28", "2018-06-29")]
+    ic = E.information_by_day(cat(spark, d), X.momentum_on, days, "momentum", S.HORIZONS, 5, False)
+    return ic.select("factor", "horizon", label(), rounded("ic", 7), "n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"q_{f.__name__}": f for f in (
     filed_facts, filed_shares, annual_reports, factor_file, resolved_ids, renamed, ledger_summary, unregistered_trials, event_windows, event_slides, event_sessions, streamed_periods, formats, priced_files,
-    weights_without_hard_shorts, benchmark, average_turnover, top_turnover, split_days, total_return_check, open_prices, shares_long, lowest_volumes, sector_agreement,
+    weights_without_hard_shorts, benchmark, average_turnover, top_turnover, split_days, total_return_check, open_prices, shares_long, lowest_volumes, sector_agreement, stored_panel, momentum_as_of, information_by_day,
 )}
 
 _FILED = f"""rows as (select ticker, field, cast(t as date) as day, cast(period_end as date) as pe, value from good where period_end is not null)"""
@@ -302,6 +331,10 @@ select n, round(power(b / a, 1.0 / y) - 1, 6) + 0.0 as annualised, n >= 100 and
     "q_open_prices": f"""with r as (select {_TICKER.format('')} as ticker, cast(date as date) as day, case when not isnan(open) then open end as open, case when not isnan(high) then high end as high, case when not isnan(low) then low end as low, loaded_at from prices)
 select ticker, strftime(day, '%Y-%m-%d') as obs_day, open, high, low from (select *, row_number() over (partition by ticker, day order by loaded_at desc nulls last, open desc nulls last, high desc nulls last, low desc nulls last) as k from r where ticker is not null and day is not null) where k = 1 and open is not null""",
     "q_shares_long": f"with {_USABLE} select ticker, strftime(cast(t as date), '%Y-%m-%d') as available_date, max(value) as shares from good where field = 'shares_outstanding' group by ticker, cast(t as date)",
+    "q_stored_panel": f"with {S._PANEL} select ticker, obs_day, close, adj, volume from panel",
+    "q_momentum_as_of": f"with x as ({S.SQL['q_factor_momentum_12_1']}), {S._PANEL} select ticker, value from x where obs_day = (select strftime(max(day), '%Y-%m-%d') from cal where day <= date '{AS_OF}') and ticker in ({S.SQL['q_members']})",
+    "q_information_by_day": f"""with {S._PANEL}, sig as (select 'momentum' as factor, ticker, pos, day, obs_day, lag(lp, 21) over {S._W} - lag(lp, 252) over {S._W} as value from panel),
+{S._ic(S.HORIZONS, 5, "and s.obs_day in ('2018-06-28', '2018-06-29')")} select factor, horizon, obs_day, round(ic, 7) + 0.0 as ic, n from ic""",
     "q_lowest_volumes": f"with {_BARS} select ticker, strftime(day, '%Y-%m-%d') as obs_day, volume from bars order by volume nulls first, ticker, day limit 100",
     "q_sector_agreement": f"""with {Q._SECTORS}, l as (select {_TICKER.format('')} as ticker, min(year(listed_on)) as y from listings where listed_on is not null group by 1), x as (select left(l.ticker, 1) as snap, y, sector from l join sec on l.ticker = sec.ticker where l.ticker is not null),
 c as (select snap, y, sector, count(*) as n from x group by all), a as (select snap, sum(n * (n - 1) / 2) as p, sum(n) as n from c group by 1),

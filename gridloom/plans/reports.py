@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.engine.session import checkpoint
 from gridloom.functions import inference as I
 from gridloom.operators import audit as A
 from gridloom.operators import backtest as B
+from gridloom.operators import evaluate as E
 from gridloom.operators import graphs as G
 from gridloom.operators import metrics as M
 from gridloom.operators.factors import Factor
@@ -95,6 +97,14 @@ def backtest_report(catalog: Catalog, factor: Factor, freq: str | int = "M", wei
     return Report(costed, tables)
 
 
+def information_report(catalog: Catalog, factor: Factor, horizons: tuple[int, ...] = (1, 5, 21), least: int = 30, smooth: int = 63) -> dict[str, DataFrame]:
+    """A factor's rank correlations: by day with their trailing mean, and summarised with HAC t per horizon."""
+    ic = checkpoint(E.factor_information(catalog, [factor], horizons, least))
+    w = Window.partitionBy("factor", "horizon").orderBy("day").rowsBetween(-(smooth - 1), 0)
+    summary = [E.summarise_information(ic.where(F.col("horizon") == h), max(h - 1, 0)) for h in horizons]
+    return {"information": ic.withColumn("smoothed", F.avg("ic").over(w)), "summary": reduce(DataFrame.unionByName, summary)}
+
+
 def audit_report(catalog: Catalog, first: str, last: str, check_day: str) -> dict[str, DataFrame]:
     """All audits of a catalog."""
     end = catalog.days.agg(F.max("day")).first()[0] or 0

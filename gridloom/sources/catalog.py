@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import panel as P
 from gridloom.operators import universe as U
 from gridloom.operators.columns import pick, symbol
+from gridloom.sources.stored import build_once
 from gridloom.sources.tables import table
 
 
@@ -35,6 +36,11 @@ class Catalog:
     def days(self) -> DataFrame:
         return P.trading_days(self.table("prices"))
 
+    def stored_panel(self, folder: str, rebuild: bool = False) -> DataFrame:
+        """The panel, written to ``folder`` once and read from there until a price file changes; it becomes this catalog's panel."""
+        self.panel = build_once(self.table("prices"), folder, f"panel-{self.tail}", lambda _: Catalog(self.spark, self.folder, self.tail, **self._tables).panel, rebuild)
+        return self.panel
+
     def returns(self, kind: str = "log", pad_gaps: bool = False) -> DataFrame:
         return P.returns(self.panel, kind, pad_gaps=pad_gaps)
 
