@@ -21,14 +21,14 @@ def asof_join(
     than ``most`` rows of both sides are cut into time shards; each shard gets a copy of the last version before it, and
     every (key, shard) is merged on its own by one sorted window. Where more than ``most`` events share a key and a
     microsecond they are spread over salted parts of that shard, each with its own copy. Events with a NULL key or time keep
-    NULL in ``carry`` and never enter the merge, so NULL keys cannot form a hot group. ``sizes`` (keys, t), cheaper to
+    NULL in ``carry``; each of them is a group of its own, so NULL keys cannot form a hot group. ``sizes`` (keys, t), cheaper to
     read and with at least as many rows, may stand for both sides where shards are planned.
     """
     rest = [c for c in events.columns if c not in keys and c != "t"]
     whole = F.lit(True)
     for k in [*keys, "t"]:
         whole &= F.col(k).isNotNull()
-    left = events.where(whole).select(
+    left = events.select(
         *keys, "t", F.lit(1).alias("_side"), F.struct(*rest).alias("_event"),
         F.lit(None).cast(versions.select(F.struct("t", *carry).alias("s")).schema["s"].dataType).alias("_known")
     )
@@ -36,16 +36,18 @@ def asof_join(
         *keys, "t", F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event"),
         F.struct("t", *carry).alias("_known")
     )
-    sizes = left.select(*keys, "t").unionByName(right.select(*keys, "t")) if sizes is None else sizes
+    sizes = left.where(whole).select(*keys, "t").unionByName(right.select(*keys, "t")) if sizes is None else sizes
     plan = plan_shards(sizes, keys, "t", most)
     both = plan.assign(left.unionByName(right), "t")
+    # an event without key or time is a group of its own: it meets no version
+    both = both.withColumn("shard", F.when(whole, F.col("shard")).otherwise(F.xxhash64("_event")))
     # the version of a full microsecond stays in its part 0, which comes before the others
     part = F.when((F.col("salts") > 1) & (F.col("_side") == 1), 1 + F.pmod(F.xxhash64("_event"), "salts")).otherwise(0)
-    groups = plan.groups
+    groups = [*keys, "shard"]
     if plan.hot is not None:
         both = both.withColumn("part", part.cast("long"))
         groups = [*groups, "part"]
-        parts = plan.hot_rows(both).groupBy(*groups).agg(F.max("_known").alias("_last"))
+        parts = plan.hot_rows(both.where(whole)).groupBy(*groups).agg(F.max("_known").alias("_last"))
         carried = before_shards(parts, keys, "_last", ["shard", "part"]).where("carried is not null").select(
             *groups, F.lit(None).cast("long").alias("t"), F.lit(0).alias("_side"),
             F.lit(None).cast(left.schema["_event"].dataType).alias("_event"), F.col("carried").alias("_known")
@@ -53,15 +55,10 @@ def asof_join(
         both = both.drop("salts").unionByName(carried)
     w = Window.partitionBy(*groups).orderBy(F.col("t").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
     merged = both.withColumn("_known", F.last("_known", ignorenulls=True).over(w)).where("_side = 1")
-    out = merged.select(
+    return merged.select(
         *keys, "t", *(F.col(f"_event.`{c}`").alias(c) for c in rest), F.col("_known.t").alias("known_t"),
         *(F.col(f"_known.`{c}`").alias(c) for c in carry)
     )
-    kinds = dict(out.dtypes)
-    unmatched = events.where(~F.coalesce(whole, F.lit(False))).select(
-        *keys, "t", *rest, F.lit(None).cast("long").alias("known_t"), *(F.lit(None).cast(kinds[c]).alias(c) for c in carry)
-    )
-    return out.unionByName(unmatched)
 
 
 def known_at_decision(decisions: DataFrame, facts: DataFrame, most: int = MOST_ROWS) -> DataFrame:
