@@ -538,8 +538,77 @@ def test_reports_and_command_line(spark, rows, tmp_path):
         backtest.weigher("risk")
     with pytest.raises(SystemExit):
         cli.find("nothing")
-    cli.main(["backtest", folder, str(tmp_path / "out"), "--factor", "reversal_1m", "--master", "local[4]"])
-    assert (tmp_path / "out" / "report.html").exists()
+    settings = {x["setting"]: x["value"] for x in r.tables["settings"].collect()}
+    assert settings["factor"] == "reversal_1m" and settings["universe_size"] == "12" and "net Sharpe" in settings["headline"] and "exposures" not in r.tables
+    assert r.tables["equity"].where("series = 'net'").count() > 90 and r.tables["turnover"].first()["n_rebalances"] > 3
+    cli.main(["backtest", folder, str(tmp_path / "out"), "--factor", "reversal_1m", "--oos", "2019-03-01", "--n-trials", "9", "--spread-bps", "3", "--master", "local[4]"])
+    page = (tmp_path / "out" / "report.html").read_text()
+    assert "deflated_sharpe" in page and "assumed cost 3 bps" in page
+    cli.main(["information", folder, str(tmp_path / "ic"), "--factor", "reversal_1m", "--least", "5", "--master", "local[4]"])
+    assert (tmp_path / "ic" / "report.html").exists()
+
+
+def test_offline_sources_from_the_command_line(spark, rows, tmp_path):
+    from gridloom import __main__ as cli
+
+    run = lambda kind, data: cli.main([kind, str(tmp_path / data), str(tmp_path / f"{kind}.parquet"), "--master", "local[4]"]) or spark.read.parquet(str(tmp_path / f"{kind}.parquet")).collect()
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "AA.json").write_text('{"facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2020-03-31", "val": 5, "filed": "2020-05-01", "accn": "1"}]}}}}}')
+    assert [(r["ticker"], r["field"], str(r["available_date"]), r["value"]) for r in run("facts", "json")] == [("AA", "total_assets", "2020-05-01", 5.0)]
+    assert run("shares", "json") == []
+    (tmp_path / "ff.csv").write_text("made up\n,Mkt-RF,RF\n20200102,1.5,-99.99\n")
+    r = run("factors", "ff.csv")[0]
+    assert (str(r["date"]), r["mkt_rf"], r["rf"]) == ("2020-01-02", 0.015, None)
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "changes.csv").write_text('date,added,removed\n"March 1, 2020",AA,BB\n')
+    (tmp_path / "log" / "current.csv").write_text("ticker,date_added\nAA,2020-03-01\n")
+    found = {r["ticker"]: (r["start_date"] and str(r["start_date"]), r["end_date"] and str(r["end_date"])) for r in run("membership", "log")}
+    assert found == {"AA": ("2020-03-01", None), "BB": (None, "2020-03-01")}
+
+
+def test_logs_of_batches(spark, rows, tmp_path):
+    from gridloom.streaming import flows
+
+    save = flows.batch_log(str(tmp_path / "log"), ["k"], "at")
+    for batch, data in enumerate(([("a", 1, "x"), ("a", 2, "y")], [("b", 1, "z"), ("a", 3, "w")])):
+        for _ in range(2):  # a retry changes nothing
+            save(rows("k string, at int, v string", data), batch)
+    log = flows.read_log(spark, str(tmp_path / "log"), "k string, at int, v string")
+    assert log.count() == 3 and sorted(tuple(r) for r in flows.current_rows(log, ["k"], "at").collect()) == [("a", 3, "w"), ("b", 1, "z")]
+    assert flows.read_log(spark, str(tmp_path / "none"), "k string").count() == 0
+
+
+def test_a_stored_panel_is_read_while_its_files_stay(spark, rows, tmp_path):
+    from gridloom.sources.stored import build_once, is_stale
+
+    path, kept = str(tmp_path / "t.parquet"), str(tmp_path / "kept")
+    rows("a int", [(1,)]).write.parquet(path)
+    read = lambda: spark.read.parquet(path)
+    assert is_stale(read(), kept, "x")
+    assert [r[0] for r in build_once(read(), kept, "x", lambda df: df.selectExpr("a * 2")).collect()] == [2]
+    assert not is_stale(read(), kept, "x") and [r[0] for r in build_once(read(), kept, "x", lambda df: df.selectExpr("a * 3")).collect()] == [2]
+    assert [r[0] for r in build_once(read(), kept, "x", lambda df: df.selectExpr("a * 3"), rebuild=True).collect()] == [3]
+    rows("a int", [(5,)]).write.mode("overwrite").parquet(path)
+    assert is_stale(read(), kept, "x")
+
+
+def test_connected_communities():
+    # two cliques joined by a hub: without refinement a community may fall apart when the hub leaves it
+    rng = np.random.default_rng(3)
+    for seed in range(30):
+        a = (rng.random((14, 14)) < 0.15).astype(float)
+        a = np.triu(a, 1) + np.triu(a, 1).T
+        label = N.communities(a, seed, connected=True)
+        for c in set(label.tolist()):
+            own = np.flatnonzero(label == c)
+            reached, front = {int(own[0])}, [int(own[0])]
+            while front:
+                i = front.pop()
+                for j in own[a[i][own] > 0].tolist():
+                    if j not in reached:
+                        reached.add(j)
+                        front.append(j)
+            assert reached == set(own.tolist())
 
 
 def test_text_neighbours(spark, rows):
