@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.columns import field_name, micros, pick, present, symbol
+from gridloom.engine.session import checkpoint
+from gridloom.operators.columns import field_name, micros, named, pick, present, symbol
 from gridloom.operators.readings import one_per_instant, usable
 from gridloom.operators.sharding import MOST_ROWS, before_shards, plan_shards
 
@@ -47,7 +48,8 @@ def asof_join(
     if plan.hot is not None:
         both = both.withColumn("part", part.cast("long"))
         groups = [*groups, "part"]
-        parts = plan.hot_rows(both.where(whole)).groupBy(*groups).agg(F.max("_known").alias("_last"))
+        # one row per shard of a hot key, used several times below
+        parts = checkpoint(plan.hot_rows(both.where(whole)).groupBy(*groups).agg(F.max("_known").alias("_last")))
         carried = before_shards(parts, keys, "_last", ["shard", "part"]).where("carried is not null").select(
             *groups, F.lit(None).cast("long").alias("t"), F.lit(0).alias("_side"),
             F.lit(None).cast(left.schema["_event"].dataType).alias("_event"), F.col("carried").alias("_known")
@@ -68,12 +70,11 @@ def known_at_decision(decisions: DataFrame, facts: DataFrame, most: int = MOST_R
     count; among readings of one instant the greatest period_end, then fact_id. Decisions before any reading, or with a
     NULL ticker, field or time, have NULL known columns. Repeated decisions count once.
     """
-    events = pick(decisions, {c: c for c in ("event_id", "ticker", "decided_at", "field", "used_value")}).select(
-        "event_id", symbol("ticker").alias("ticker"), field_name("field").alias("field"), micros(F.col("decided_at").cast("timestamp_ntz")).alias("t"), present("used_value").alias("used_value")
-    )
+    raw = pick(decisions, {c: c for c in ("event_id", "ticker", "decided_at", "field", "used_value")})
+    at = [symbol("ticker").alias("ticker"), field_name("field").alias("field"), micros(F.col("decided_at").cast("timestamp_ntz")).alias("t")]
     rows = usable(facts)
-    sizes = rows.select(*KEYS, "t").unionByName(events.where("ticker is not null and field is not null and t is not null").select(*KEYS, "t"))
-    events = events.dropDuplicates()
+    sizes = rows.select(*KEYS, "t").unionByName(raw.where(named("ticker") & named("field") & F.col("decided_at").isNotNull()).select(*at))
+    events = raw.select("event_id", *at, present("used_value").alias("used_value")).dropDuplicates()
     versions = one_per_instant(rows).select(*KEYS, "t", F.col("value").alias("known_value"), F.col("fact_id").alias("known_fact_id"))
     out = asof_join(events, versions, KEYS, ["known_value", "known_fact_id"], most, sizes)
     return out.select("event_id", *KEYS, F.col("t").alias("decided_us"), "used_value", "known_value", "known_fact_id", F.col("known_t").alias("known_us"))

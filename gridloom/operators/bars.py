@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.columns import day_number, pick, present, symbol
+from gridloom.operators.columns import day_number, named, pick, present, symbol
 
 
 def valid_bars(prices: DataFrame, measures: dict[str, str]) -> DataFrame:
@@ -16,16 +16,15 @@ def valid_bars(prices: DataFrame, measures: dict[str, str]) -> DataFrame:
     repeated and superseded rows of a hot ticker cost nothing beyond their scan.
     """
     rows = pick(prices, {"date": "date", "ticker": "ticker", "loaded_at": "loaded_at", **measures}, optional={"loaded_at"})
-    rows = rows.select(
+    rows = rows.where(named("ticker") & F.col("date").isNotNull()).select(
         symbol("ticker").alias("ticker"), day_number("date").alias("day"), F.col("loaded_at").cast("timestamp_ntz").alias("_at"),
         *(present(m).alias(m) for m in measures)
     )
-    rows = rows.where("ticker is not null and day is not null")
     best = rows.groupBy("ticker", "day").agg(F.max(F.struct("_at", *measures)).alias("_r"))
     return best.select("ticker", "day", *(F.col(f"_r.{m}").alias(m) for m in measures))
 
 
 def spans(prices: DataFrame) -> DataFrame:
     """ticker, first and last day with a bar; reads two columns and combines before the shuffle."""
-    rows = pick(prices, {"date": "date", "ticker": "ticker"}).select(symbol("ticker").alias("ticker"), day_number("date").alias("day"))
-    return rows.where("ticker is not null and day is not null").groupBy("ticker").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    rows = pick(prices, {"date": "date", "ticker": "ticker"}).where(named("ticker") & F.col("date").isNotNull())
+    return rows.select(symbol("ticker").alias("ticker"), day_number("date").alias("day")).groupBy("ticker").agg(F.min("day").alias("first"), F.max("day").alias("last"))

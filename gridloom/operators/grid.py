@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.engine.session import checkpoint
 from gridloom.operators.columns import quarter_label, quarter_of, quarter_start_us
 from gridloom.operators.readings import one_per_instant, usable
 from gridloom.operators.sharding import MOST_ROWS, before_shards, plan_shards
@@ -25,7 +26,7 @@ def validity_intervals(readings: DataFrame, keys: list[str] = KEYS, most: int =
     rows = rows.withColumn("until", F.lead("t").over(Window.partitionBy(*plan.groups).orderBy("t")))
     if plan.hot is None:
         return rows.drop("shard")
-    firsts = plan.assign(plan.hot_rows(readings), "t").groupBy(*keys, "shard").agg(F.min("t").alias("_first"))
+    firsts = checkpoint(plan.assign(plan.hot_rows(readings), "t").groupBy(*keys, "shard").agg(F.min("t").alias("_first")))  # one row per shard
     following = before_shards(firsts, keys, "_first", ["shard"], forward=True).select(*keys, "shard", F.col("carried").alias("_next"))
     # joined by key and shard, so the rows of a hot key stay apart
     return rows.join(following, [*keys, "shard"], "left").withColumn("until", F.coalesce("until", "_next")).drop("shard", "_next")

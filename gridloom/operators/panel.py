@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.bars import valid_bars
-from gridloom.operators.columns import BLANKS, day_number, day_of, pick
+from gridloom.operators.columns import day_number, day_of, named, pick
 
 FIELDS = {"open": "open", "high": "high", "low": "low", "close": "close", "adj": "adj close", "volume": "volume"}
 
@@ -42,7 +42,7 @@ def last_pos(days: DataFrame) -> int:
 
 def trading_days(prices: DataFrame) -> DataFrame:
     """The calendar of a price table: all days with a row that names a ticker. Reads two columns."""
-    rows = pick(prices, {"date": "date", "ticker": "ticker"}).where(F.btrim("ticker", F.lit(BLANKS)) != "")  # those with a symbol
+    rows = pick(prices, {"date": "date", "ticker": "ticker"}).where(named("ticker"))
     return calendar(rows.select(day_number("date").alias("day")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.columns import field_name, micros, pick, present, symbol
+from gridloom.operators.columns import field_name, micros, named, pick, present, symbol
 
 COLUMNS = {"ticker": "ticker", "available_date": "available_date", "field": "field", "value": "value", "period_end": "period_end", "fact_id": "fact_id"}
 
@@ -16,14 +16,15 @@ def usable(facts: DataFrame, fields: list[str] | None = None) -> DataFrame:
     NULL and NaN values, NULL dates, tickers and fields make a row unusable; an empty table gives an empty result.
     """
     rows = pick(facts, COLUMNS, optional={"period_end", "fact_id"})
-    rows = rows.select(
+    # on the raw columns: a filter on the finished ones would compute them twice
+    rows = rows.where(named("ticker") & named("field") & F.col("available_date").isNotNull() & present("value").isNotNull()).select(
         symbol("ticker").alias("ticker"),
         field_name("field").alias("field"),
         micros(F.col("available_date").cast("timestamp_ntz")).alias("t"),
         present("value").alias("value"),
         micros(F.col("period_end").cast("timestamp_ntz")).alias("period_end"),
         F.col("fact_id").cast("long").alias("fact_id"),
-    ).where("ticker is not null and field is not null and t is not null and value is not null")
+    )
     return rows.where(F.col("field").isin(fields)) if fields else rows
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.columns import field_name, pick, symbol
+from gridloom.operators.columns import field_name, named, pick, symbol
 from gridloom.operators.readings import latest, usable
 
 TYPES = ("double", "bigint", "boolean", "date")
@@ -51,7 +51,7 @@ def attribute_arrays(facts: DataFrame, attributes: list[tuple[str, str]]) -> Dat
     columns), the latest usable readings are left joined, and every ticker's cells are gathered: as many as attributes.
     """
     places = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(f).alias("field")) for i, (f, _) in enumerate(attributes)))
-    tickers = pick(facts, {"ticker": "ticker"}).select(symbol("ticker").alias("ticker")).where("ticker is not null").distinct()
+    tickers = pick(facts, {"ticker": "ticker"}).where(named("ticker")).select(symbol("ticker").alias("ticker")).distinct()
     grid = tickers.select("ticker", F.inline(places))
     filled = grid.join(latest(usable(facts)), ["ticker", "field"], "left")
     return filled.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("pos", "value", "fact_id"))).alias("cells"))
@@ -65,7 +65,7 @@ def widen(facts: DataFrame, types: DataFrame) -> DataFrame:
     """
     attributes = attribute_list(types)
     if not attributes:
-        return pick(facts, {"ticker": "ticker"}).select(symbol("ticker").alias("ticker")).where("ticker is not null").distinct()
+        return pick(facts, {"ticker": "ticker"}).where(named("ticker")).select(symbol("ticker").alias("ticker")).distinct()
     rows = attribute_arrays(facts, attributes)
     return rows.select("ticker", *(typed(F.col("cells")[i]["value"], kind).alias(f) for i, (f, kind) in enumerate(attributes)))
 
