@@ -22,7 +22,7 @@ from gridloom.operators import metrics as M
 from gridloom.operators import panel as P
 from gridloom.operators import universe as U
 from gridloom.operators.bars import valid_bars
-from gridloom.operators.columns import day_of, symbol
+from gridloom.operators.columns import day_label, day_of, symbol
 from gridloom.operators.readings import usable
 from gridloom.plans import portfolios as Q
 from gridloom.plans import signals as S
@@ -230,9 +230,9 @@ def open_prices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shares_long(spark: SparkSession, d: str) -> DataFrame:
-    """Shares as a wide table with a column per ticker and back."""
-    f = usable(table(spark, d, "fundamentals"), ["shares_outstanding"]).select("ticker", F.date_format(F.date_from_unix_date(day_of("t")), "yyyy-MM-dd").alias("available_date"), "value")
-    return R.shares_long(f.groupBy("available_date").pivot("ticker").agg(F.max("value")))
+    """The greatest reading of shares per ticker and day; never wide in between, as tickers grow with the table and a column each does not."""
+    f = usable(table(spark, d, "fundamentals"), ["shares_outstanding"]).groupBy(day_of("t").alias("day"), "ticker").agg(F.max("value").alias("shares"))
+    return f.select(day_label(F.col("day")).alias("available_date"), "ticker", "shares")
 
 
 def lowest_volumes(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ from gridloom.functions import inference as I
 from gridloom.functions import network as N
 from gridloom.operators import audit, backtest, evaluate, graphs, metrics, panel, universe, vectors
 from gridloom.operators import factors as X
-from gridloom.plans import study
+from gridloom.plans import intake, study
 from gridloom.sources import filings
 from gridloom.sources import tables as sources
 from gridloom.sources.catalog import Catalog
@@ -402,6 +402,18 @@ def test_other_sources(spark, rows, tmp_path):
         assert "&lt;b&gt;" in f.read()
 
 
+def test_shares_of_more_tickers_than_a_pivot_holds(spark, tmp_path):
+    at = F.lit("2020-01-02 10:00:00").cast("timestamp_ntz")
+    facts = [F.lit("shares_outstanding").alias("field"), at.alias("available_date"), F.lit(None).cast("timestamp_ntz").alias("period_end"), F.col("id").alias("fact_id")]
+    spark.range(10_050).select(F.concat(F.lit("T"), F.col("id")).alias("ticker"), F.col("id").cast("double").alias("value"), *facts).write.parquet(f"{tmp_path}/many/fundamentals.parquet")
+    got = sorted(tuple(r) for r in intake.shares_long(spark, f"{tmp_path}/many").select("ticker", "available_date", "shares").collect())
+    assert got == sorted((f"T{i}", "2020-01-02", float(i)) for i in range(10_050))
+    odd = [("available_date", 1.0), ("a`b", 2.0), ("A`B ", 3.0), ("null", 4.0), ("shares", 5.0), (None, 6.0), ("x", None), ("x", float("nan"))]
+    spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(odd)], "id long, ticker string, value double").select("ticker", "value", *facts).write.parquet(f"{tmp_path}/odd/fundamentals.parquet")
+    got = sorted(tuple(r) for r in intake.shares_long(spark, f"{tmp_path}/odd").select("ticker", "available_date", "shares").collect())
+    assert got == [("AVAILABLE_DATE", "2020-01-02", 1.0), ("A`B", "2020-01-02", 3.0), ("NULL", "2020-01-02", 4.0), ("SHARES", "2020-01-02", 5.0)]
+
+
 def test_nearest_vectors(rows):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(60, 5))
